@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import decontaminate, lang_id, secret_scan, toxicity
+from artscan.llm import decontaminate, lang_id, quality, secret_scan, toxicity
 from artscan.llm.shared import table
 
 CALLS: dict = {}
@@ -38,6 +38,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return dict(CALLS)
 
