@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import decontaminate, lang_id, quality, secret_scan, toxicity
+from artscan.llm import decontaminate, lang_id, near_dup, quality, secret_scan, toxicity
 from artscan.llm.shared import table
 
 CALLS: dict = {}
@@ -33,6 +33,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_near_dup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find(table(spark, sf_dir, "documents"), words=4)
+
+
 @query("op7_decontaminate")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
