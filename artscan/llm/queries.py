@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, each over its whole table."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import decontaminate, lang_id, near_dup, quality, secret_scan, toxicity
+from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, quality, secret_scan, toxicity
 from artscan.llm.shared import table
 
 CALLS: dict = {}
@@ -28,6 +29,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
