@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, quality, secret_scan, toxicity
+from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, quality, secret_scan, token_files, toxicity
 from artscan.llm.shared import table
 
 CALLS: dict = {}
@@ -54,6 +54,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return dict(CALLS)
 
