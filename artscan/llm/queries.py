@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, quality, secret_scan, token_files, toxicity, vector_search
+from artscan.llm import bpe_codec, class_lm, decontaminate, lang_id, near_dup, quality, secret_scan, token_files, toxicity, vector_search
 from artscan.llm.shared import table
 
 CALLS: dict = {}
@@ -81,6 +81,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+@query("op10_class_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return dict(CALLS)
 
