@@ -64,8 +64,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, carry: tuple[str, ...] =
     return encoded.select(*carry, "ids").mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in carry) + ", decoded binary")
 
 
-def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, in one pass."""
+def digest(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the bytes decoded from them, in one pass; ``with_ids`` adds the ids."""
 
     def run(batches):
         c = codec(path, pattern)
@@ -73,9 +73,10 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = []
             texts = batch.column("_text")
             for ids in (x for at in range(0, batch.num_rows, 256) for x in c.encode(texts.slice(at, 256).to_pylist())):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()))
-            cols = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest(), ids))
+            kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
+            cols = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *kinds])
 
     ready = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    return ready.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ready.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
