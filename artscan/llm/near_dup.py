@@ -7,14 +7,20 @@ over the set; these 168 values form 28 bands of six.  Two sets of similarity
 
 1. Documents of equal sets become one class, by a 128-bit digest of the set, so
    exact copies cost one partial aggregate and never meet as pairs.
-2. In every bucket (band value held by several classes) each class is compared
-   with the bucket's least class; one comparison a class, at most.
+2. In every bucket (band value held by several classes) each class may be
+   compared with the bucket's class that meets most others, and each class is
+   compared with one such class at most.
 3. Links join classes to components.  A bucket whose classes then belong to
    several components is taken up again: the classes outside the bucket's
-   largest component meet all classes of other components in it.  That leaves
-   no pair of a bucket unexamined unless the two are already connected, so the
-   components are those of all pairs that share a band, while a group of
-   thousands of near copies costs comparisons in proportion to its size.
+   largest component meet all classes of other components in it.  Here a hash
+   that at most 16 of these classes hold is rare.  Pairs that share a rare hash
+   are listed from its holders.  A pair that shares none has at most the other
+   hashes of each in common, and only if that is enough for the similarity
+   asked is it compared.  This bound is exact, and of the pairs of near copies
+   of one text that are no links themselves it leaves few.
+
+So no pair of a bucket is left out unless the two are already connected or
+cannot be similar: the components are those of all pairs that share a band.
 
 Links are confirmed on full sets.  Only documents that are in some shared
 bucket have their texts moved, once.
@@ -38,6 +44,8 @@ from artscan.llm.components import components
 from artscan.llm.shared import drop_kept, keep
 
 BANDS, ROWS = 28, 6
+#: Most holders of a rare hash.
+RARE = 16
 FUNCTIONS = BANDS * ROWS // 2
 _RNG = np.random.default_rng(20)
 _FACTORS = (_RNG.integers(0, 1 << 31, FUNCTIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -119,34 +127,66 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(compare, ", ".join(f"{c} {t}" for c, t in pairs.select("a", "b").dtypes)).distinct()
 
 
+def rare_hashes(texts: DataFrame, placed: DataFrame, words: int, most: int = RARE) -> DataFrame:
+    """(id, component, size, hash, n, spans) for the hashes that n <= ``most`` of the documents hold.
+
+    ``spans`` says whether the holders belong to several components.
+    """
+    known = texts.join(placed.withColumnRenamed("id", "doc_id"), "doc_id")
+    types = dict(known.dtypes)
+
+    def spread(batches):
+        for batch in batches:
+            for at, hashes, places in shingle_sets(batch.column("text"), words):
+                of = np.repeat(np.arange(at, at + len(places) - 1), np.diff(places))
+                rows = [batch.column(c).take(pa.array(of)) for c in ("doc_id", "component", "size")]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(hashes.view(np.int64))], names=["id", "component", "size", "hash"])
+
+    each = known.mapInArrow(spread, f"id {types['doc_id']}, component {types['component']}, size long, hash long")
+    held = each.groupBy("hash").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("spans")).filter(F.col("n") <= most)
+    return each.join(held, "hash")
+
+
+def meetings(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare hash; a hash has few holders."""
+    holders = rare.filter("spans").groupBy("hash").agg(F.array_sort(F.collect_set(F.struct("id", "component", "size"))).alias("held")).select("held").distinct()
+    pairs = holders.select(F.explode("held").alias("a"), "held").select("a", F.explode("held").alias("b"))
+    pairs = pairs.filter((F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _close(F.col("a.size"), F.col("b.size"), percent))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
 def find(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = docs.select("doc_id", "text")
     signed = keep(signatures(docs, words))
     classes = keep(signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     in_bands = classes.select("id", "size", F.explode("bands").alias("bucket"))
-    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("least")).filter("n > 1").drop("n")
+    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = keep(in_bands.join(buckets, "bucket"))
-
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = keep(docs.join(needed, "doc_id", "left_semi"))
-
-    stars = members.filter((F.col("id") != F.col("least.id")) & _close(F.col("size"), F.col("least.size"), percent))
-    stars = stars.groupBy("id").agg(F.min("least.id").alias("b")).select(F.col("id").alias("a"), "b")
-    links = keep(confirm(stars, texts, words, percent))
+    # A class that meets many others is likely the text that the others were copied from.
+    known = members.groupBy("id").agg(F.sum("n").alias("met"))
+    members = keep(members.drop("n").join(known, "id"))
+    texts = keep(docs.join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+
+    heads = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("order"), "id", "size")).alias("head"))
+    stars = members.join(heads, "bucket").filter((F.col("id") != F.col("head.id")) & _close(F.col("size"), F.col("head.size"), percent))
+    stars = stars.groupBy("id").agg(F.max(F.struct("head.met", "head.order", "head.id")).alias("head"))
+    links = keep(confirm(stars.select(F.col("id").alias("a"), F.col("head.id").alias("b")), texts, words, percent))
     found = components(links)
 
-    placed = keep(members.select("bucket", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    placed = members.select("bucket", "id", "size").join(found.withColumnRenamed("node", "id"), "id", "left")
+    placed = keep(placed.withColumn("component", F.coalesce("component", "id")))
     shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("bucket", F.col("top.component").alias("main"))
-    inside = placed.join(mixed, "bucket")
-    outer = inside.filter(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_part"))
-    again = (
-        outer.join(inside, "bucket")
-        .filter((F.col("component") != F.col("x_part")) & _close(F.col("size"), F.col("x_size"), percent))
-        .select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
-        .distinct()
-    )
+    inside = keep(placed.join(mixed, "bucket"))
+    rare = keep(rare_hashes(texts, inside.select("id", "component", "size").distinct(), words))
+    inside = inside.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
+    inside = inside.withColumn("shared", F.col("size") - F.coalesce("rare", F.lit(0))).filter(F.col("shared") * 100 >= F.col("size") * percent)
+    outer = inside.filter(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"), F.col("component").alias("x_part"))
+    common = F.least("shared", "x_shared")
+    reach = common * 100 >= (F.col("size") + F.col("x_size") - common) * percent
+    again = outer.join(inside, (outer["bucket"] == inside["bucket"]) & (F.col("component") != F.col("x_part")) & reach).select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
+    again = again.unionByName(meetings(rare, percent)).distinct()
     more = keep(confirm(again, texts, words, percent))
     found = components(links.unionByName(more)).withColumnRenamed("node", "id")
     of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
