@@ -33,12 +33,12 @@ def cooccurring(ev: DataFrame, a: str, b: str) -> DataFrame:
 
 def escalate(ev: DataFrame) -> DataFrame:
     """Raises weak persistence names beside process execution, and crypto calls beside on-chain markers."""
-    flagged = with_flags(ev, has_process=_is("d01"), has_chain=_is("d11") & (F.col("context")["onchain"] == "1"))
+    flagged = with_flags(ev, has_process=_is("d01"), has_chain=_is("d11") & (F.col("context")["onchain_indicator"] == "1"))
     weak = _is("d05") & (F.col("context")["weak_indicator"] == "1") & F.col("has_process")
-    crypto = _is("d11") & (F.col("context")["crypto"] == "1") & F.col("has_chain")
+    crypto = _is("d11") & (F.col("context")["crypto_call"] == "1") & F.col("has_chain")
     weak, crypto = F.coalesce(weak, F.lit(False)), F.coalesce(crypto, F.lit(False))
     text = F.when(weak, F.replace("description", F.lit("identifier"), F.lit("mechanism (co-occurring with process execution)")))
-    text = text.when(crypto, F.concat("description", F.lit(" (co-occurring with on-chain indicator)"))).otherwise(F.col("description"))
+    text = text.when(crypto, F.concat("description", F.lit(" (co-occurring with on-chain C2 indicator)"))).otherwise(F.col("description"))
     return flagged.withColumn("severity", F.when(weak | crypto, HIGH).otherwise(F.col("severity"))).withColumn("description", text).select(*ev.columns)
 
 

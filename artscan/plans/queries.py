@@ -54,8 +54,8 @@ def events_as_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked, hidden = F.col("event_id") % 3 == 0, F.col("event_id") % 7 == 0
     detector = F.element_at(F.array(*[F.lit(d) for d in DETECTORS]), at)
     marks = [
-        (marked & (detector == "d05"), "weak_indicator"), (marked & (detector == "d11"), "onchain"),
-        (~marked & (detector == "d11"), "crypto"), (hidden, "reconstructed"),
+        (marked & (detector == "d05"), "weak_indicator"), (marked & (detector == "d11"), "onchain_indicator"),
+        (~marked & (detector == "d11"), "crypto_call"), (hidden, "reconstructed"),
     ]
     ctx = F.map_from_entries(F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n), F.lit("1"))) for c, n in marks])))
     return e.select(
@@ -78,7 +78,7 @@ def _(spark, sf):
 ), x AS (SELECT *, detector_id = 'd05' AND marked AND p AS weak, detector_id = 'd11' AND NOT marked AND oc AS crypto FROM w)
 SELECT event_id, CASE WHEN weak OR crypto THEN 3 ELSE severity END AS severity,
   CASE WHEN weak THEN replace(description, 'identifier', 'mechanism (co-occurring with process execution)')
-       WHEN crypto THEN concat(description, ' (co-occurring with on-chain indicator)') ELSE description END AS description
+       WHEN crypto THEN concat(description, ' (co-occurring with on-chain C2 indicator)') ELSE description END AS description
 FROM x""")
 def _(spark, sf):
     return correlate.escalate(events_as_evidence(spark, sf)).select(F.col("seq")[0].alias("event_id"), "severity", "description")

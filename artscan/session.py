@@ -1,11 +1,14 @@
-"""Session helpers: a tuned local session, and shipping this package to executors."""
+"""Session helpers: a local session, shipping this package, and tables in the shared folder."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -38,3 +41,31 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _SHIPPED.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new path below ``spark.checkpoint.dir``; a temporary folder where that is unset on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="artscan-")
+        atexit.register(shutil.rmtree, top, True)
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Writes a table to the shared folder and reads it back, which cuts the lineage."""
+    path = shared_dir(df.sparkSession)
+    df.write.option("compression", codec).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop_kept(df: DataFrame) -> None:
+    """Deletes a table made by ``keep`` that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
