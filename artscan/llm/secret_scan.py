@@ -147,7 +147,7 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
     maybe = docs.filter(has_candidate(F.col("text")))
     clean = docs.filter(~has_candidate(F.col("text")))
     keyed = maybe.select(F.struct(F.col("doc_id"), key.alias("sha")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    spans = scan(keyed, reach).filter(F.size("found") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.sha").alias("_sha"), "found")
+    spans = scan(keyed, reach).filter(F.size("found") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.sha").alias("_sha"), F.col("found").alias("_spans"))
     # Start of each kept stretch: the furthest end so far, if it lies before the next start.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     text = F.col("text")
@@ -157,7 +157,7 @@ def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
         more = F.when(begin < acc["at"], F.lit("")).otherwise(F.concat(F.substring(text, acc["at"].cast("int") + 1, (begin - acc["at"]).cast("int")), F.lit(mask)))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    masked = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
     joined = maybe.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_sha")), "left")
-    redacted = joined.withColumn("text", F.when(F.col("found").isNull(), text).otherwise(masked)).withColumn("n_chars", F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    redacted = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(masked)).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return clean.unionByName(redacted.select(*docs.columns))

@@ -7,7 +7,7 @@ model), so ``ORACLE_SQL`` is None and the tests hold it against brute force.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, secret_scan
@@ -15,13 +15,18 @@ from artscan.llm.shared import keep, table
 from artscan.session import ship
 
 
+def _whole(docs: DataFrame) -> Column:
+    """All columns as one, so that none can clash with those that an operator adds."""
+    return F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language: null ones and those without a letter."""
     model = lang_id.train(docs)
     if not model.families:  # nothing to learn from: only the texts themselves decide
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    labelled = lang_id.predict(docs, model, carry=tuple(docs.columns))
-    return labelled.filter(F.col("lang_pred") != lang_id.UNKNOWN).select(*docs.columns)
+    labelled = lang_id.predict(docs.select(_whole(docs), "text"), model, carry=("_row",))
+    return labelled.filter(F.col("lang_pred") != lang_id.UNKNOWN).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    marked = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
-    return marked.filter("n_hit = 0").select(*docs.columns)
+    marked = decontaminate.scan(docs.select(_whole(docs), "text"), table(spark, sf_dir, "benchmark"), carry=("_row",))
+    return marked.filter("n_hit = 0").select("_row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
