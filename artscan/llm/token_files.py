@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from artscan.llm.bpe import Remembered, splitter
+from artscan.llm.pretokens import Encoder
 from artscan.llm.quality import summed
 from artscan.llm.shared import drop_kept, keep
 
@@ -67,8 +67,13 @@ def unpack(shard: bytes) -> np.ndarray:
     return out
 
 
-class Encoder:
-    """A tokenizer file of the tokenizers library, applied to pre-tokens and remembered."""
+class Library:
+    """A tokenizer file of the tokenizers library, as an encoder of many pre-tokens.
+
+    Pre-tokens that begin with a blank are handed over as one running text, and
+    plain words with a newline after each, since the library splits such texts
+    back into just these; byte lengths of the tokens tell where each ends.
+    """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,51 +81,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.split = splitter(pattern)
-        self.known = Remembered(self._many)
-
-    def _many(self, pieces):
-        pieces = list(pieces)
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [(p, np.array(e.ids, dtype=np.uint32).tobytes()) for p, e in zip(pieces, found)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.known.encode([self.split(t) for t in texts])
+        self.lengths = np.ones(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.lengths[i] = len(token)  # one character stands for one byte
+        self.texts = Encoder(self.many, pattern)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _running(self, pieces: list[str], between: str) -> list:
+        out = []
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            ids = np.array(self._ids([between.join(part)])[0], dtype=np.uint32)
+            end = np.cumsum(self.lengths[ids])
+            sizes = np.array([len(p.encode()) for p in part])
+            stops = np.cumsum(sizes) + np.arange(len(part)) * len(between)
+            to = np.searchsorted(end, stops) + 1
+            begin = np.concatenate(([0], to[:-1] + len(between)))
+            if len(ids) and end[-1] == stops[-1] and (end[to - 1] == stops).all():
+                out += [ids[a:b] for a, b in zip(begin, to)]
+            else:
+                out += self._ids(part)
+        return out
+
+    def many(self, pieces: list[str]) -> list:
+        groups: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for i, p in enumerate(pieces):
+            groups[0 if len(p) > 1 and p[0] == " " and not p[1].isspace() else 1 if p.isalpha() else 2].append(i)
+        out: list = [None] * len(pieces)
+        for rows, runs in zip(groups, (self._running([pieces[i] for i in groups[0]], ""), self._running([pieces[i] for i in groups[1]], "\n"), self._ids([pieces[i] for i in groups[2]]))):
+            for i, r in zip(rows, runs):
+                out[i] = r
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def library(path: str, pattern: str) -> Library:
+    """One tokenizer per worker and file."""
+    return Library(path, pattern)
 
 
 def _tokenised(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFrame:
     """Shards of plain ids in document order: part, ids of the part before it, doc_ids, sizes, ids."""
     hashed = F.xxhash64("text")
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first(), hashed).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), hashed)
-    end = np.uint32(end_id).tobytes()
+    kinds = {"part": pa.int32(), "before": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "width": pa.int32(), "ids": pa.binary()}
 
     def run(batches):
-        c, part = encoder(path, pattern), TaskContext.get().partitionId()
+        texts, part = library(path, pattern).texts, TaskContext.get().partitionId()
         names, sizes, ids, held, before = [], [], [], 0, 0
 
         def shard():
-            flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
-            small = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
-            cols = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([small.itemsize], pa.int32()), pa.array([small.tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "before", "doc_ids", "sizes", "width", "ids"])
+            flat = np.concatenate(ids)
+            small = flat.astype(np.uint16) if flat.max() < 1 << 16 else flat
+            row = (part, before, np.concatenate(names), np.concatenate(sizes), small.itemsize, small.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds.values())], names=list(kinds))
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for at in range(0, batch.num_rows, 128):
-                for i, x in enumerate(c.encode(texts.slice(at, 128).to_pylist()), at):
-                    names.append(doc_ids[i])
-                    sizes.append(len(x) // 4 + 1)
-                    ids += (x, end)
-                    held += sizes[-1]
-                    if held >= SHARD:
-                        yield shard()
-                        before += held
-                        names, sizes, ids, held = [], [], [], 0
+            at = 0
+            doc_ids = np.array(batch.column("doc_id").to_pylist(), dtype=object)
+            for found, first in texts.encode(batch.column("text")):
+                n = len(first) - 1
+                ids.append(np.insert(found, first[1:], np.uint32(end_id)))
+                names.append(doc_ids[at : at + n])
+                sizes.append(np.diff(first) + 1)
+                held += len(ids[-1])
+                at += n
+                if held >= SHARD:
+                    yield shard()
+                    before += held
+                    names, sizes, ids, held = [], [], [], 0
         if names:
             yield shard()
 
@@ -134,7 +165,7 @@ def _plain(row_width: int, ids: bytes) -> np.ndarray:
 def write(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Writes the files; returns them (part, before, doc_ids, sizes, shard) and the ids by rank."""
     shards = keep(_tokenised(docs, path, pattern, end_id))
-    size = max(encoder(path, pattern).tokenizer.get_vocab_size(), end_id + 1)
+    size = max(library(path, pattern).tokenizer.get_vocab_size(), end_id + 1)
 
     def count(batch) -> np.ndarray:
         total = np.zeros(size)
