@@ -166,7 +166,8 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # A class that meets many others is likely the text that the others were copied from.
     known = members.groupBy("id").agg(F.sum("n").alias("met"))
     members = keep(members.drop("n").join(known, "id"))
-    texts = keep(docs.join(known.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    # These ids grow with the corpus: every size takes the shuffled join that a large one needs.
+    texts = keep(docs.join(known.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
 
     heads = members.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("order"), "id", "size")).alias("head"))
     stars = members.join(heads, "bucket").filter((F.col("id") != F.col("head.id")) & _close(F.col("size"), F.col("head.size"), percent))
