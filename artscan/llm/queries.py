@@ -4,11 +4,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import bpe_codec, class_lm, decontaminate, lang_id, near_dup, quality, secret_scan, token_files, toxicity, vector_search
+from artscan.llm import bpe_codec, class_lm, decontaminate, lang_id, near_dup, oracles, quality, secret_scan, token_files, toxicity, vector_search
 from artscan.llm.shared import table
 
 CALLS: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_exact_topk": oracles.TOP_K, "op3_secret_scan": oracles.SECRETS, "op6_near_dup": oracles.NEAR_DUPLICATES, "op7_decontaminate": oracles.CONTAMINATION}
 
 
 def query(name: str):
@@ -30,22 +30,6 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-ORACLES["op2_exact_topk"] = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0 * CAST(x AS DOUBLE))) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
-  WHERE q.vec_id % 100 = 0
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
-) WHERE rank <= 10
-"""
-
-
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
@@ -68,7 +52,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_decontaminate")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
 
 
 @query("op8_quality")
