@@ -1,14 +1,13 @@
-"""Session helpers: folds, and tables kept in the folder that all executors share."""
+"""Folds and tables; what every session needs comes from ``artscan.session``."""
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from artscan.session import drop_kept, keep, shared_dir
+
+__all__ = ["drop_kept", "fold", "keep", "shared_dir", "table"]
+
 
 def fold(key: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id gives 0."""
@@ -17,35 +16,3 @@ def fold(key: str, parts: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``.
-
-    Where that is unset, as in tests on one machine, a temporary folder is set.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="artscan-")
-        atexit.register(shutil.rmtree, top, True)
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def drop_kept(df: DataFrame) -> None:
-    """Deletes a table made by ``keep`` that nothing will read again."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
