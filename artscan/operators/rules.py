@@ -80,10 +80,15 @@ def pattern_values(pattern: Pattern, text: Column, data: Column) -> Column:
     return F.coalesce(found, none)
 
 
+def chunked(entries: DataFrame) -> DataFrame:
+    """Adds ``chunk``: the entry's ``tail``, a newline, and its text; the text alone where the tail is empty."""
+    return entries.withColumn("chunk", F.when(F.col("tail") != "", F.concat("tail", F.lit("\n"), "text")).otherwise(F.col("text")))
+
+
 def with_tail(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds ``chunk``: the end of the entry before, a newline, and the entry's own text."""
+    """The same for entries of any table: the tail is taken from the row before in the group."""
     tail = F.lag(F.right(F.col("text"), F.lit(TAIL_CHARS))).over(Window.partitionBy(*keys).orderBy(order))
-    return entries.withColumn("tail", F.coalesce(tail, F.lit(""))).withColumn("chunk", F.when(F.col("tail") != "", F.concat("tail", F.lit("\n"), "text")).otherwise(F.col("text")))
+    return chunked(entries.withColumn("tail", F.coalesce(tail, F.lit(""))))
 
 
 def matches(entries: DataFrame, rules: list[Rule], keys: list[str], order: str, text: str = "text", data: Column | None = None) -> DataFrame:
@@ -136,7 +141,8 @@ def evaluate(found: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
 def scan(entries: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rule evidence of archives: every level of nesting is judged by itself, values belong to no class."""
     keys = ["artifact_id", "level"]
-    texts = with_tail(entries.withColumn("text", decoded(F.col("data"))), keys, "ordinal")
+    # The archive pass hands each entry the end of the one before, so no text is shuffled for it.
+    texts = chunked(entries.withColumn("text", decoded(F.col("data"))))
     raw = F.when(F.length("data") > 0, F.col("data")).otherwise(F.encode("chunk", "UTF-8"))
     found = matches(texts, rules, keys, "ordinal", "chunk", raw)
     held = evaluate(found, rules, keys)

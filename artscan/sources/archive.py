@@ -18,11 +18,13 @@ MAX_ENTRY = 100 * 1024 * 1024
 MAX_RATIO = 100
 MAX_TOTAL = 500 * 1024 * 1024
 MAX_DEPTH = 6
+#: Characters of the entry before that patterns may reach back to.
+TAIL = 256
 ZIP_MAGIC = b"PK\x03\x04"
 CLASS_MAGIC = b"\xca\xfe\xba\xbe"
 ROWS = (
     "artifact_id string, kind string, level int, level_path string, depth int, ordinal int, name string, data binary,"
-    " size long, compressed_size long, offset long, reason string, nested boolean"
+    " size long, compressed_size long, offset long, reason string, nested boolean, tail string"
 )
 
 
@@ -67,6 +69,7 @@ class Walk:
 
     def _level(self, path: str, content: bytes, depth: int) -> Iterator[dict]:
         level, self.levels = self.levels, self.levels + 1
+        tail = ""
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for info in z.infolist():
                 if info.is_dir():
@@ -83,7 +86,8 @@ class Walk:
                     yield self._row("skip", level, path, depth, info.filename, reason=why)
                     continue
                 nested = data[:4] == ZIP_MAGIC and depth < self.max_depth
-                yield self._row("entry", level, path, depth, info.filename, data=data, size=info.file_size, compressed_size=info.compress_size, offset=info.header_offset, nested=nested)
+                yield self._row("entry", level, path, depth, info.filename, data=data, size=info.file_size, compressed_size=info.compress_size, offset=info.header_offset, nested=nested, tail=tail)
+                tail = data[-4 * TAIL - 4 :].decode("utf-8", "replace")[-TAIL:]
                 if nested:
                     inner = f"{path}!/{info.filename}"
                     try:

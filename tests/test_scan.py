@@ -144,6 +144,16 @@ def test_archive_limits():
     assert max(r["depth"] for r in archive.Walk("x.jar", deep).rows()) == 6
 
 
+def test_rules_reach_back_within_a_level(spark):
+    rule = [Rule("p", "r", "f", "HIGH", "d", (Pattern("regex", r"foo\s\w{3}"), Pattern("hex", "00 ff")), "count() >= 1")]
+    inner = jar({"x": "foo"})
+    files = {"/a.jar": jar({"1": "é foo", "2": "bar"}), "/b.jar": jar({"1": "foo", "2": "", "3": "bar"}), "/c.jar": jar({"1": "foo", "2.jar": inner}, True), "/d.jar": jar({"1": b"\x00\xff"})}
+    df = spark.createDataFrame([(k, k, len(v), bytearray(v)) for k, v in files.items()], "artifact_id string, path string, length long, content binary")
+    out = scan(df, rule)
+    got = {r["artifact_id"]: r["matched_value"] for r in out.findings.filter("detector_id = 'rule:p:r'").collect()}
+    assert got == {"/a.jar": "foo\nbar", "/d.jar": "00ff"}
+
+
 def test_malformed_classes():
     assert classfile.parse(b"") is None and classfile.parse(b"\xca\xfe\xba\xbe" + b"\0" * 4) is None
     with pytest.raises(classfile.TruncatedSwitch):
