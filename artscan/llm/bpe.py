@@ -10,8 +10,8 @@ encoding is read off from the end.
 Whether two tokens may stand beside each other is a property of the pair (the
 bytes of both, encoded together, give just these two) and is remembered.
 
-Pre-tokens repeat, so each Python worker remembers encodings of recent ones in
-two generations of bounded size.
+``splitter`` applies a vocabulary's split pattern to a text; ``pretokens`` does
+so for many texts at once and remembers what was encoded.
 """
 from __future__ import annotations
 
@@ -20,9 +20,6 @@ import re
 
 import regex
 
-#: Entries of one generation of remembered pre-tokens in a worker.
-REMEMBERED = 400_000
-
 #: White space as the split pattern means it (fixed value).
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters for which the standard library's classes differ from \p{L} and \p{N}.
@@ -168,23 +165,3 @@ def encode_sorted(vocabulary: Vocabulary, pieces: list[str]) -> list[tuple[str,
         out.append((piece, ids[::-1]))
         before = data
     return out
-
-
-class Remembered:
-    """Pre-token to bytes of its ids, in two generations of bounded size."""
-
-    def __init__(self, encode_many, size: int = REMEMBERED):
-        self.encode_many, self.size, self.new, self.old = encode_many, size, {}, {}
-
-    def encode(self, texts: list[list[str]]) -> list[bytes]:
-        """Ids of texts given as lists of pre-tokens."""
-        missing = set().union(*texts) - self.new.keys()
-        if missing:
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-                missing = set().union(*texts)
-            again = missing & self.old.keys()
-            self.new.update((w, self.old[w]) for w in again)
-            self.new.update(self.encode_many(missing - again))
-        get = self.new.__getitem__
-        return [b"".join(map(get, t)) for t in texts]
