@@ -41,7 +41,7 @@ def _named(path_column: str = "path"):
 def gate(artifacts: DataFrame, excluded: tuple[str, ...] = (), good: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Artifacts to analyse, with their hash, and clean verdicts of excluded or known-good ones."""
     out = fn.excluded(F.col("path"), excluded) if excluded else F.lit(False)
-    hashed = artifacts.withColumn("excluded", out).withColumn("sha256", F.when(~F.col("excluded"), F.sha2("content", 256)).otherwise(""))
+    hashed = artifacts.withColumn("excluded", out).withColumn("sha256", F.when(~F.col("excluded"), F.coalesce(F.sha2("content", 256), F.lit(""))).otherwise(""))
     rest = hashed.filter("NOT excluded")
     done = hashed.filter("excluded").select("artifact_id", "sha256", F.lit("excluded").alias("why"))
     if good is not None:
@@ -86,10 +86,14 @@ def scan(artifacts: DataFrame, packs: list[Rule], excluded: tuple[str, ...] = ()
     texts = rest.withColumn("name", _named()).withColumnRenamed("content", "data").withColumn("text", fn.decoded(F.col("data")))
     single = keep(scripts.script_evidence(texts.filter(F.col("path").rlike(SCRIPT_SUFFIX))).unionByName(scripts.config_evidence(texts.filter(F.col("path").rlike(CONFIG_SUFFIX)))))
 
+    unseen = rest.filter(F.col("content").isNull() & (F.col("path").rlike(SCRIPT_SUFFIX) | F.col("path").rlike(CONFIG_SUFFIX))).select("artifact_id")
+    single = single.unionByName(evidence(unseen, "scan_engine", MEDIUM, "Scan failed: the file cannot be read", F.lit("")))
+
     judged = verdict.verdicts(found, archives.select("artifact_id")).select("artifact_id", "verdict", "confidence")
     unread = unreadable.withColumn("unread", F.lit(True))
     judged = judged.join(unread, "artifact_id", "left").select("artifact_id", F.when(F.col("unread"), SUSPICIOUS).otherwise(F.col("verdict")).alias("verdict"), F.when(F.col("unread"), 0.5).otherwise(F.col("confidence")).alias("confidence"))
-    odd = single.select("artifact_id").distinct().select("artifact_id", F.lit(SUSPICIOUS).alias("verdict"), F.lit(0.7).alias("confidence"))
+    odd = single.filter("detector_id <> 'scan_engine'").select("artifact_id").distinct().select("artifact_id", F.lit(SUSPICIOUS).alias("verdict"), F.lit(0.7).alias("confidence"))
+    odd = odd.unionByName(unseen.select("artifact_id", F.lit(SUSPICIOUS).alias("verdict"), F.lit(0.3).alias("confidence")))
     decided = judged.unionByName(odd)
     verdicts = rest.select("artifact_id", "sha256").join(decided, "artifact_id", "left").select(
         "artifact_id", "sha256", F.coalesce("verdict", F.lit(CLEAN)).alias("verdict"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.lit(None).cast("string").alias("why")

@@ -108,7 +108,7 @@ def explode(artifacts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         for batch in batches:
             for key, path, content in zip(batch.column("artifact_id"), batch.column("path"), batch.column("content")):
                 held, size = [], 0
-                for row in Walk(path.as_py().rsplit("/", 1)[-1], content.as_py(), max_depth).rows():
+                for row in Walk(path.as_py().rsplit("/", 1)[-1], content.as_py() or b"", max_depth).rows():
                     held.append(row | {"artifact_id": key.as_py()})
                     size += len(row.get("data", b""))
                     if size > 8 << 20 or len(held) >= 1000:

@@ -103,3 +103,36 @@ def test_cli(spark, tree, tmp_path, capsys, monkeypatch):
     assert code == 2 and json.loads((tmp_path / "r.json").read_text())["summary"]["malicious"] == 1
     assert cli.main(["--home", str(tmp_path / "home"), "rulegen", str(tree / "mods"), "--family", "fam", "--output", str(tmp_path / "p.yaml")]) == 0
     assert (tmp_path / "p.yaml").exists()
+
+
+def test_service(spark, tree, tmp_path):
+    from artscan.plans.service import Busy, Forbidden, Service
+
+    s = Service(spark, packs.load_packs(), [str(tree)], stores.History(tmp_path / "h"))
+    with pytest.raises(Forbidden):
+        s.start([str(tmp_path)])
+    job = s.start([str(tree / "mods")])
+    events = list(s.follow(job.job_id))
+    assert [e["type"] for e in events][-2:] == ["status", "done"] and job.status == "COMPLETED", job.error
+    assert list(s.follow(job.job_id)) == list(job.events) and s.history.list()[0]["scan_id"] == job.job_id
+    assert {r["path"].rsplit("/", 1)[-1] for r in s.findings().collect()} == {"a.jar", "d.js"}
+    assert [r["path"].rsplit("/", 1)[-1] for r in s.findings("high").collect()] == ["a.jar"]
+    assert s.finding("mods/a.jar")["verdict"] == "MALICIOUS" and s.finding("none") is None
+    assert [m["rule_id"] for m in s.test_rules(str(tree / "mods/a.jar"))] == ["makslibraries_mcmod"] and s.test_rules(str(tree / "mods/a.jar"), "nope") == []
+    assert {p["rule_count"] for p in s.rules()} == {6}
+    s.jobs |= {f"x{i}": type(job)(f"x{i}", []) for i in range(2)}
+    with pytest.raises(Busy):
+        s.start([str(tree)])
+    s.dismiss()
+    assert s.findings() is None
+
+
+def test_signing():
+    from artscan.sources import signing
+
+    if not signing.AVAILABLE:
+        with pytest.raises(RuntimeError):
+            signing.generate_keypair()
+        return
+    private, public = signing.generate_keypair()
+    assert signing.verify(b"x", signing.sign(b"x", private), public) and not signing.verify(b"y", signing.sign(b"x", private), public)

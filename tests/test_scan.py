@@ -154,6 +154,12 @@ def test_rules_reach_back_within_a_level(spark):
     assert got == {"/a.jar": "foo\nbar", "/d.jar": "00ff"}
 
 
+def test_files_that_cannot_be_read(spark):
+    df = spark.createDataFrame([("/a.jar", "/a.jar", 0, None), ("/b.js", "/b.js", 0, None)], "artifact_id string, path string, length long, content binary")
+    out = scan(df, [])
+    assert {r["artifact_id"]: (r["verdict"], r["confidence"], r["sha256"]) for r in out.verdicts.collect()} == {"/a.jar": ("SUSPICIOUS", 0.5, ""), "/b.js": ("SUSPICIOUS", 0.3, "")}
+
+
 def test_malformed_classes():
     assert classfile.parse(b"") is None and classfile.parse(b"\xca\xfe\xba\xbe" + b"\0" * 4) is None
     with pytest.raises(classfile.TruncatedSwitch):
