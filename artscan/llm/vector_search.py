@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 LEAF = 128
 SHARD_BYTES = 16 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20
+#: Queries that walk a tree together, and the most peers that give a first kth score.
+TOGETHER, PEERS = 1024, 4096
 SCALE = 1024.0
 
 
@@ -100,9 +102,10 @@ class Block:
         self.ids, self.x, self.k = ids, x, k
         self.floor = np.full(len(ids), -np.inf)
         if len(ids) > k and exact(x):
-            for a in range(0, len(ids), 256):
-                s = x[a : a + 256] @ x.T
-                s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
+            peers = x[:: -(-len(ids) // PEERS)]
+            own = ids[:: -(-len(ids) // PEERS)]
+            for a in range(0, len(ids) if len(peers) > k else 0, 256):
+                s = np.where(own[None, :] == ids[a : a + 256, None], -np.inf, x[a : a + 256] @ peers.T)
                 self.floor[a : a + 256] = np.partition(s, -k, axis=1)[:, -k]
         self.start()
 
@@ -124,28 +127,33 @@ class Block:
             self._search_all(ids, x)
             return
         tree = Tree(x)
-        bounds = tree.bounds(self.x)
-        active = bounds >= self.kth[:, None]
+        for a in range(0, len(self.ids), TOGETHER):
+            self._walk(tree, ids, x, np.arange(a, min(a + TOGETHER, len(self.ids))))
+
+    def _walk(self, tree: Tree, ids: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+        """Takes some of the queries through a tree."""
+        bounds = tree.bounds(self.x[own])
+        active = bounds >= self.kth[own][:, None]
         for node in np.flatnonzero(tree.left >= 0):  # parents come before children
             active[:, tree.left[node]] &= active[:, node]
             active[:, tree.right[node]] &= active[:, node]
         leaf_bounds = np.where(active, bounds, -np.inf)[:, tree.leaves]
         order = np.argsort(-leaf_bounds, axis=1, kind="stable")
-        alive = np.arange(len(self.ids))
+        alive = np.arange(len(own))
         for turn in range(order.shape[1]):
             bound = leaf_bounds[alive, order[alive, turn]]
-            alive = alive[(bound >= self.kth[alive]) & (bound > -np.inf)]
+            alive = alive[(bound >= self.kth[own[alive]]) & (bound > -np.inf)]
             if not len(alive):
                 break
             leaf = order[alive, turn]
             by_leaf = alive[np.argsort(leaf, kind="stable")]
             for group in np.split(by_leaf, np.flatnonzero(np.diff(np.sort(leaf))) + 1):
                 a, b = tree.span[tree.leaves[order[group[0], turn]]]
-                rows = tree.order[a:b]
-                scores = self.x[group] @ x[rows].T
-                hit = (scores >= self.kth[group][:, None]) & (ids[rows][None, :] != self.ids[group][:, None])
+                rows, q = tree.order[a:b], own[group]
+                scores = self.x[q] @ x[rows].T
+                hit = (scores >= self.kth[q][:, None]) & (ids[rows][None, :] != self.ids[q][:, None])
                 for g in np.flatnonzero(hit.any(axis=1)):
-                    self._take(group[g], scores[g, hit[g]], ids[rows][hit[g]])
+                    self._take(q[g], scores[g, hit[g]], ids[rows][hit[g]])
 
     def _search_all(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Components too large for double precision: integers of any size."""
