@@ -3,10 +3,10 @@
 Each text gives a short vector of statistics (shares of kinds of characters,
 word and line shapes, repetition).  Fixed random cosines of the standardised
 vector approximate a Gaussian kernel.  Ridge weights come from the normal
-equations, whose matrices each partition sums by itself; up to 64 sums at a
-time are added by a task until at most 64 are left for the driver.  All labelled texts outside the held-out fold
-take part: two thirds fit the weights, one third the isotonic curve, from counts
-per score bin.
+equations, whose matrices each partition sums by itself; tasks add up to 64
+sums (64 MB) at a time until so many are left for the driver.  All labelled
+texts outside the held-out fold take part: two thirds fit the weights, one third
+the isotonic curve, from counts per score bin.
 
 The statistics are written once to the shared folder; only they, not texts,
 meet the labels.  Null and empty texts have the statistics of an empty text.
@@ -27,8 +27,8 @@ from artscan.llm.shared import fold, keep
 
 STATS = 22
 COSINES = 256
-#: Partial sums that one task adds up.
-GROUP = 64
+#: Partial sums that one task adds up, and the most bytes of them.
+GROUP, GROUP_BYTES = 64, 64 << 20
 BINS = 512
 
 _KIND = np.full(256, 4, dtype=np.uint8)  # other punctuation
@@ -131,24 +131,25 @@ def _rows(batch) -> np.ndarray:
 
 def summed(df: DataFrame, part, size: int) -> np.ndarray:
     """Sum over all batches of ``part(batch)``, a vector: by partition, then by group, then here."""
+    group = max(2, min(GROUP, GROUP_BYTES // (8 * size)))
 
     def own(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += part(batch)
-        slot = TaskContext.get().partitionId() // GROUP
+        slot = TaskContext.get().partitionId() // group
         yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "sums"])
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(size)
         for blob in rows["sums"]:
             total += np.frombuffer(blob.as_py())
-        return pa.table({"slot": pa.array([rows["slot"][0].as_py() // GROUP], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"slot": pa.array([rows["slot"][0].as_py() // group], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     sums, rows = df.mapInArrow(own, "slot int, sums binary"), df.rdd.getNumPartitions()
-    while rows > GROUP:
-        sums, rows = sums.groupBy("slot").applyInArrow(add, "slot int, sums binary"), rows // GROUP
+    while rows > group:
+        sums, rows = sums.groupBy("slot").applyInArrow(add, "slot int, sums binary"), -(-rows // group)
     return sum((np.frombuffer(r["sums"]) for r in sums.collect()), np.zeros(size))
 
 
