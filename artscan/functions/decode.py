@@ -13,10 +13,8 @@ def to_bytes(values: Column) -> Column:
 
 
 def to_values(data: Column) -> Column:
-    """Bytes as an array of integers from 0 to 255."""
-    n = F.octet_length(data)
-    none = F.array().cast("array<int>")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))).otherwise(none)
+    """Bytes as an array of integers from 0 to 255; the bytes are evaluated once, not per element."""
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
 def xor_bytes(data: Column, key: bytes) -> Column:

@@ -64,11 +64,11 @@ def legitimate_url(url: Column, domains: tuple[str, ...] = sig.LEGITIMATE_DOMAIN
     return F.coalesce(F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d))), F.lit(False))
 
 
-def library_reference(s: Column) -> Column:
-    """Whether the first place of a library extension is followed by no letter or digit."""
+def library_reference(s: Column, extensions: tuple[str, ...] = sig.LIBRARY_EXTENSIONS) -> Column:
+    """Whether the first place of some extension is followed by no letter or digit."""
     low = F.lower(s)
     found = F.lit(False)
-    for ext in sig.LIBRARY_EXTENSIONS:
+    for ext in extensions:
         at = F.instr(low, ext)
         after = F.substring(low, at + len(ext), F.lit(1))
         found = found | ((at > 0) & ~after.rlike(r"^[\p{L}\p{N}]$"))

@@ -116,7 +116,7 @@ def _persistence(strings: Column, hidden: bool, cut) -> Column:
 def _native(strings: Column, hidden: bool, cut) -> Column:
     prefix = "Obfuscated " if hidden else ""
     staged = F.exists(strings, lambda s: fn.contains_any(s, sig.STAGING))
-    files = F.array_distinct(F.filter(strings, fn.library_reference))
+    files = F.array_distinct(F.filter(strings, lambda s: fn.library_reference(s)))
 
     def of(s: Column) -> Column:
         known = fn.contains_any(F.lower(s), sig.BENIGN_LIBRARIES)

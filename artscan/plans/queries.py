@@ -369,11 +369,12 @@ def _(spark, sf):
     return tokens.select("doc_id", "token", fn.looks_like_base64(F.col("token")).alias("base64"))
 
 
-@query("native_ext_boundary", r"""SELECT page_id, regexp_matches(lower(split_part(url, '?', 1)), '\.html') AS has_ext,
-  NOT regexp_matches(lower(url), '^[^.]*$') AS dotted FROM pages""")
+_EXT = " OR ".join(f"(strpos(v, '{e}') > 0 AND NOT regexp_matches(substr(v, strpos(v, '{e}') + {len(e)}, 1), '^[a-z0-9]$'))" for e in (".com", ".co", ".ne"))
+
+
+@query("native_ext_boundary", f"SELECT page_id, {_EXT} AS boundary FROM (SELECT page_id, lower(url) AS v FROM pages)")
 def _(spark, sf):
-    pages = table(spark, sf, "pages")
-    return pages.select("page_id", F.lower(F.split_part("url", F.lit("?"), F.lit(1))).rlike(r"\.html").alias("has_ext"), (~F.lower("url").rlike("^[^.]*$")).alias("dotted"))
+    return table(spark, sf, "pages").select("page_id", fn.library_reference(F.col("url"), (".com", ".co", ".ne")).alias("boundary"))
 
 
 _LIB = " OR ".join(f"(strpos(v, '{e}') > 0 AND NOT regexp_matches(substr(v, strpos(v, '{e}') + {len(e)}, 1), '^[a-z0-9]$'))" for e in sig.LIBRARY_EXTENSIONS)
