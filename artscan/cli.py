@@ -8,7 +8,7 @@ from pathlib import Path
 
 from artscan.operators import rulegen
 from artscan.plans.scan import sample_features, scan
-from artscan.session import local_session, ship
+from artscan.session import local_session, prepare
 from artscan.sinks import reports, stores
 from artscan.sources import files, packs
 
@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     home = Path(a.home)
     settings = packs.Settings.load(home / "config.yaml")
-    spark = ship(local_session())
+    spark = prepare(local_session())
     if a.command == "rulegen":
         result = scan(files.read(spark, [a.samples], scripts=False, configs=False), packs.load_packs().all())
         ev, rebuilt = sample_features(result)

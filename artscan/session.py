@@ -43,6 +43,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of one Arrow batch: rows here are whole texts and files, so the default of rows and bytes is large.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ships the package and bounds the batches that Python workers get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return ship(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``; a temporary folder where that is unset on one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
