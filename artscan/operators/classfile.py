@@ -22,6 +22,7 @@ MAGIC = b"\xca\xfe\xba\xbe"
 UTF8, INTEGER, FLOAT, LONG, DOUBLE, CLASS, STRING, FIELD, METHOD, IMETHOD, NAMETYPE, HANDLE, MTYPE, INDY = 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 18
 #: Bytes of a constant by its tag; UTF8 has its own length.
 CONSTANT_SIZE = {INTEGER: 4, FLOAT: 4, LONG: 8, DOUBLE: 8, CLASS: 2, STRING: 2, FIELD: 4, METHOD: 4, IMETHOD: 4, NAMETYPE: 4, HANDLE: 3, MTYPE: 2, INDY: 4}
+INVOKES = {182: "invokevirtual", 183: "invokespecial", 184: "invokestatic", 185: "invokeinterface", 186: "invokedynamic"}
 MAX_SWITCH = 65_536
 MAX_ELEMENTS = 5000
 PLAUSIBLE = re.compile(r"[\x20-\x7E\t\n\r]+\Z")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artscan.functions import signatures as sig
+from artscan.functions.text import ipv4s
 from artscan.schemas import CRITICAL, HIGH, LOW, MEDIUM, context
 
 KEYS = ["artifact_id", "class_name"]
@@ -89,3 +90,11 @@ def max_severity(ev: DataFrame, classes: DataFrame) -> DataFrame:
 def summary(ev: DataFrame) -> DataFrame:
     """Counts by detector, by severity and overall, of rows and of classes."""
     return ev.groupingSets([[F.col("detector_id")], [F.col("severity")], []], "detector_id", "severity").agg(F.count("*").alias("n_rows"), F.countDistinct("artifact_id", "class_name").alias("n_classes"))
+
+
+def indicators(ev: DataFrame) -> DataFrame:
+    """(artifact_id, kind, value): the distinct URLs and IPv4-shaped parts among matched values."""
+    value = F.col("matched_value")
+    urls = F.when(F.startswith(value, F.lit("http://")) | F.startswith(value, F.lit("https://")), F.array(value)).otherwise(F.array().cast("array<string>"))
+    kinds = F.concat(F.transform(urls, lambda u: F.struct(F.lit("url").alias("kind"), u.alias("value"))), F.transform(ipv4s(value), lambda i: F.struct(F.lit("ipv4").alias("kind"), i.alias("value"))))
+    return ev.filter(value.isNotNull()).select("artifact_id", F.explode(kinds).alias("k")).select("artifact_id", "k.*").distinct()

@@ -13,6 +13,23 @@ JARJAR = "META-INF/jarjar/metadata.json"
 PRECEDENCE = ("fabric.mod.json", "mcmod.info", "plugin.yml", MANIFEST)
 
 
+def is_class(data: Column) -> Column:
+    return F.startswith(data, F.lit(b"\xca\xfe\xba\xbe"))
+
+
+def is_archive(data: Column) -> Column:
+    return F.startswith(data, F.lit(b"PK\x03\x04"))
+
+
+def with_suffix(entries: DataFrame, suffix: str) -> DataFrame:
+    return entries.filter(F.endswith("name", F.lit(suffix)))
+
+
+def with_main_class(entries: DataFrame) -> DataFrame:
+    """(artifact_id, level) of archives whose manifest names a main class."""
+    return entries.filter((F.col("name") == MANIFEST) & F.contains(fn.decoded(F.col("data")), F.lit("Main-Class"))).select("artifact_id", "level").distinct()
+
+
 def _bytes(s: str) -> Column:
     return F.lit(s.encode())
 
@@ -102,8 +119,7 @@ def unsigned_evidence(entries: DataFrame) -> DataFrame:
     top = entries.filter("depth = 0")
     files = top.filter(F.startswith("name", F.lit("META-INF/")) & F.endswith("name", F.lit(".SF")))
     signed = files.select("artifact_id", F.col("name").alias("sf"), F.explode(F.regexp_extract_all(fn.decoded(F.col("data")), F.lit(r"(?m)^Name:\s*(.+)$"), F.lit(1))).alias("entry")).select("artifact_id", "sf", F.trim(F.regexp_replace("entry", r"\r$", "")).alias("entry"))
-    magic = F.startswith(F.col("data"), F.lit(b"\xca\xfe\xba\xbe"))
-    classes = top.filter(magic & F.endswith("name", F.lit(".class"))).select("artifact_id", F.col("name").alias("entry")).distinct()
+    classes = with_suffix(top.filter(is_class(F.col("data"))), ".class").select("artifact_id", F.col("name").alias("entry")).distinct()
     added = classes.join(signed.select("artifact_id", "sf").distinct(), "artifact_id").join(signed, ["artifact_id", "sf", "entry"], "left_anti")
     text = F.concat(F.lit("Class file present in signed archive but absent from "), "sf", F.lit(" — added after the JAR was signed, possibly indicating a legitimate mod was trojanized post-signing"))
     hit = added.withColumn("seq", F.array(F.lit(1 << 30)).cast("array<bigint>"))
@@ -146,12 +162,22 @@ def manifests(entries: DataFrame) -> DataFrame:
     pick = lambda path: F.transform(jars, lambda j: F.try_variant_get(j, path, "string"))
     plain = F.transform(jars, lambda j: F.when(F.schema_of_variant(j) == "STRING", F.try_variant_get(j, "$", "string")))
     declared = F.when(F.col("name") == "fabric.mod.json", F.concat(pick("$.file"), plain)).when(F.col("name") == JARJAR, F.concat(pick("$.identifier.path"), pick("$.path"))).otherwise(none)
+    listed = lambda path: F.coalesce(get(path, "array<string>"), F.when(get(path).isNotNull(), F.array(get(path))), none)
+    starts = F.flatten(F.map_values(F.coalesce(get("$.entrypoints", "map<string,array<variant>>"), F.create_map().cast("map<string,array<variant>>"))))
+    people = F.when(F.col("name") == "mcmod.info", F.coalesce(*[get(f"$.{top}[0].{field}", "array<string>") for top in ("modList", "mods") for field in ("authorList", "authors")], none)).when(F.col("name") == "fabric.mod.json", listed("$.authors")).otherwise(none)
+    fabric = lambda c: F.when(F.col("name") == "fabric.mod.json", c).otherwise(none)
+    cols += [
+        people.alias("authors"),
+        fabric(F.array_compact(F.transform(starts, lambda e: F.coalesce(F.try_variant_get(e, "$.value", "string"), F.try_variant_get(e, "$", "string"))))).alias("entrypoints"),
+        fabric(F.coalesce(F.map_keys(get("$.depends", "map<string,variant>")), none)).alias("dependencies"),
+        fabric(F.coalesce(get("$.mixins", "array<string>"), none)).alias("mixins"),
+    ]
     each = named.select("artifact_id", "ordinal", rank.alias("rank"), *cols, F.array_compact(declared).alias("declared"))
     first = Window.partitionBy("artifact_id")
     chosen = each.withColumn("best", F.min(F.struct("rank", "ordinal")).over(first))
     used = (F.col("rank") == F.col("best.rank")) | (F.col("rank") == 99)
     return chosen.groupBy("artifact_id").agg(
-        *[F.min_by(c, F.struct("rank", "ordinal")).alias(c) for c in ("loader", "mod_id", "mod_name", "version", "main_class")],
+        *[F.min_by(c, F.struct("rank", "ordinal")).alias(c) for c in ("loader", "mod_id", "mod_name", "version", "main_class", "authors", "entrypoints", "dependencies", "mixins")],
         F.array_distinct(F.flatten(F.collect_list(F.when(used, F.col("declared"))))).alias("declared"),
     )
 
