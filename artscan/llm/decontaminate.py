@@ -120,15 +120,19 @@ def _written_spans(hit: np.ndarray, begin: np.ndarray, end: np.ndarray, text: np
     return ",".join(f"{point[begin[a]]}:{point[end[b - 1]]}" for a, b in zip(edges[0::2], edges[1::2]))
 
 
-def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, limit: int = LIMIT, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry`` with n_words, n_hit, items (sorted array of strings) and spans."""
+def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, limit: int = LIMIT, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Columns ``carry`` with n_words, n_hit, items (sorted array of strings) and spans.
+
+    ``text`` may be a field of a carried struct; a carried text is not sent twice.
+    """
     spark = docs.sparkSession
     items = bench.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     volume = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(volume / limit))
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in carry)
-    out = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text"), F.lit(b"").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    sent = [] if text.split(".")[0] in carry else [text]
+    out = docs.select(*carry, *sent, F.lit(b"").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     part = F.pmod(F.xxhash64("item"), F.lit(groups))
     for g in range(groups):
         group = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in items.filter(part == g).collect()], width))
@@ -142,7 +146,7 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, limit: int = LIM
                 before, listed = batch.column("_hits"), batch.column("_items")
                 cols: list[list] = [[], [], [], []]
                 bits, lists = [], []
-                for at, begin, end, hashes, first, raw, starts in _hashed_words(batch.column("_text")):
+                for at, begin, end, hashes, first, raw, starts in _hashed_words(textkit.at_path(batch, text)):
                     hit, found = _marks(windows, hashes, first)
                     for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
                         own = hit[a:b]
@@ -157,14 +161,14 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, limit: int = LIM
                         else:
                             bits.append(np.packbits(own).tobytes() if any_hit else b"")
                         lists.append(names)
-                kept = [batch.column(c) for c in carry]
+                kept = [batch.column(c) for c in (*carry, *(() if final else sent))]
                 lists = pa.array(lists, pa.list_(pa.string()))
                 if final:
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), lists, pa.array(cols[3], pa.string())], names=[*carry, "n_words", "n_hit", "items", "spans"])
                 else:
-                    yield pa.RecordBatch.from_arrays([*kept, batch.column("_text"), pa.array(bits, pa.binary()), lists], names=[*carry, "_text", "_hits", "_items"])
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(bits, pa.binary()), lists], names=[*carry, *sent, "_hits", "_items"])
 
-        result = "n_words long, n_hit long, items array<string>, spans string" if final else "_text string, _hits binary, _items array<string>"
+        result = "n_words long, n_hit long, items array<string>, spans string" if final else f"`{text}` string, " * bool(sent) + "_hits binary, _items array<string>"
         out = out.mapInArrow(mark, f"{schema}, {result}")
     return out
 

@@ -18,6 +18,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,8 @@ class Model:
         self.families = sorted({FAMILY_OF.get(n, n) for n in names})
         self.members = [[n for n in names if FAMILY_OF.get(n, n) == f] for f in self.families]
         scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(BINS, dtype=np.float32)
-        x = (x * scale).astype(np.float32)
+        scale = scale.astype(np.float32)
+        x *= scale
         lang = np.array(langs)
         family = np.array([self.families.index(FAMILY_OF.get(n, n)) for n in langs], dtype=int)
         machines = []
@@ -144,6 +146,62 @@ class Model:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
+def train(docs: DataFrame, per_lang: int = 800, max_langs: int = 100) -> Model:
+    """Learns from the bounded sample of rows outside the held-out fold."""
+    usable = docs.filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not counts:
+        return Model(np.zeros((0, BINS), dtype=np.float32), [])
+    share = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
+    drawn = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    sample = usable.filter(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+
+    def features(batches):
+        for batch in batches:
+            x = _shares(batch.column("text"))
+            row, col = np.nonzero(x)
+            cuts = np.searchsorted(row, np.arange(len(x) + 1))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lang").cast(pa.string()),
+                    pa.array([col[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([x[i, col[a:b]].tobytes() for i, (a, b) in enumerate(zip(cuts, cuts[1:]))], pa.binary()),
+                ],
+                names=["lang", "bins", "shares"],
+            )
+
+    rows = sample.mapInArrow(features, "lang string, bins binary, shares binary").toArrow()
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names]))
+    x = np.zeros((len(rows), BINS), dtype=np.float32)
+    for i, (bins, shares) in enumerate(zip(rows["bins"], rows["shares"])):
+        x[i, np.frombuffer(bins.as_buffer(), dtype=np.uint16)] = np.frombuffer(shares.as_buffer(), dtype=np.float32)
+    return Model(x, rows["lang"].to_pylist())
+
+
+def predict(self, buffer: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
+        n = len(starts) - 1
+        margins = self.margins(buffer, starts)
+        sure = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -30, 30)))
+        n_families = len(self.families) if len(self.families) > 1 else 0
+        family = margins[:n_families].argmax(axis=0) if n_families else np.zeros(n, dtype=int)
+        score = sure(margins[:n_families].max(axis=0)) if n_families else np.ones(n)
+        lang = np.empty(n, dtype=object)
+        for f, members in enumerate(self.members):
+            rows = np.flatnonzero(family == f)
+            votes, belief = np.zeros((len(members), len(rows))), np.zeros((len(members), len(rows)))
+            for a, b, m in self.pairs[f]:
+                p = sure(margins[m, rows])
+                votes[a] += p >= 0.5
+                votes[b] += p < 0.5
+                belief[a] += p
+                belief[b] += 1 - p
+            best = (votes + belief / (len(members) + 1)).argmax(axis=0)
+            lang[rows] = np.array(members, dtype=object)[best]
+            if len(members) > 1:
+                score[rows] *= belief[best, np.arange(len(rows))] / (len(members) - 1)
+        return lang.tolist(), np.clip(score, 0, 1)
+
+
 def train(docs: DataFrame, per_lang: int = 800, max_langs: int = 100) -> Model:
     """Learns from the bounded sample of rows outside the held-out fold."""
     usable = docs.filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
@@ -176,17 +234,18 @@ def train(docs: DataFrame, per_lang: int = 800, max_langs: int = 100) -> Model:
     return Model(x, [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry`` with lang_pred and score for every row."""
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Columns ``carry`` with lang_pred and score for every row; ``text`` may be a field of a carried struct."""
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in carry)
-    ready = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_letter"))
+    own = [] if text.split(".")[0] in carry else [text]  # a carried text is not sent twice
+    ready = docs.select(*carry, *own, F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_letter"))
 
     def label(batches):
         for batch in batches:
             letter = batch.column("_letter").to_numpy(zero_copy_only=False)
             lang, score = [], []
             if model.families:
-                for _, buffer, starts in textkit.pieces(batch.column("_text")):
+                for _, buffer, starts in textkit.pieces(textkit.at_path(batch, text)):
                     a, b = model.predict(buffer, starts)
                     lang += a
                     score.append(b)

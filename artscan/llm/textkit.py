@@ -63,6 +63,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
+def at_path(batch: pa.RecordBatch, path: str):
+    """A column of a batch, or a field of a struct column by dots."""
+    first, *rest = path.split(".")
+    column = batch.column(first)
+    for name in rest:
+        column = column.field(name)
+    return column
+
+
 def pieces(column, limit: int = PIECE_BYTES):
     """Yields (first row, buffer, starts) for slices of a string column.
 

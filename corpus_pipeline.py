@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, secret_scan
 from artscan.llm.shared import keep, table
-from artscan.session import ship
+from artscan.session import prepare
 
 
 def _whole(docs: DataFrame) -> Column:
@@ -25,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.train(docs)
     if not model.families:  # nothing to learn from: only the texts themselves decide
         return docs.filter(F.col("text").rlike("\\p{L}"))
-    labelled = lang_id.predict(docs.select(_whole(docs), "text"), model, carry=("_row",))
+    labelled = lang_id.predict(docs.select(_whole(docs)), model, carry=("_row",), text="_row.text")
     return labelled.filter(F.col("lang_pred") != lang_id.UNKNOWN).select("_row.*")
 
 
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark."""
-    marked = decontaminate.scan(docs.select(_whole(docs), "text"), table(spark, sf_dir, "benchmark"), carry=("_row",))
+    marked = decontaminate.scan(docs.select(_whole(docs)), table(spark, sf_dir, "benchmark"), carry=("_row",), text="_row.text")
     return marked.filter("n_hit = 0").select("_row.*")
 
 
@@ -52,19 +52,22 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
+def _prepared(stage):
+    return lambda spark, docs, sf_dir: stage(prepare(spark), docs, sf_dir)
+
+
 STAGES = [
-    ("language_id", language),
-    ("near_dup", near_duplicates),
-    ("decontaminate", benchmark_free),
-    ("secret_scan", without_secrets),
-    ("byte_bpe", tokens),
+    ("language_id", _prepared(language)),
+    ("near_dup", _prepared(near_duplicates)),
+    ("decontaminate", _prepared(benchmark_free)),
+    ("secret_scan", _prepared(without_secrets)),
+    ("byte_bpe", _prepared(tokens)),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage before it is written and read again."""
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
