@@ -1,18 +1,23 @@
 """Scores from a Brown class-based bigram model, beside a unigram base.
 
 Training texts are those outside the held-out fold.  All their words are
-counted over the whole corpus by partial aggregates.  The ``clustered``
-commonest words get classes by exchange clustering: each word in turn moves to
-the class that raises the class bigram likelihood most, until a round moves
-few.  All other words fall into classes of their shape (length and kind of last
-character).  A token's probability is the smoothed class transition times the
-emission of the word by its class, (c + 1) / (C + V + 1) with the class's
-tokens C and distinct words V, so unseen words have a place in each class.
-
-Word counts have two homes.  The commonest words, at most ``HEAD``, are
-broadcast (a fixed size) and scored as the texts are read; they are most
-tokens.  The rest are counted per text and joined with the count table, so
-neither the driver nor a task holds the vocabulary.
+counted over the whole corpus by partial aggregates.  Exchange clustering
+starts with the ``clustered`` commonest words: each in turn moves to the class
+that raises the class bigram likelihood most, until a round moves few.  All
+other words begin in classes of their shape (length and kind of last
+character).  Two rounds over the corpus then move words to learned classes: the
+first the commonest ``HEAD``, the second every word that occurs twice or more.
+In such a round the counts of (word, class of neighbour) are gathered by word,
+and all words choose against the class bigrams of the round before.  Only words
+that occur once, and unseen ones, stay in the class of their shape.  A token's
+probability is the smoothed class transition times the emission of the word by
+its class, (c + 1) / (C + V + 1) with the class's tokens C and distinct words V,
+so unseen words have a place in each class.
+
+Words have two homes.  Counts and classes of the commonest, at most ``HEAD``,
+are broadcast (a fixed size); they are most tokens.  The rest lie in a table
+that the tokens are joined with, so neither the driver nor a task holds the
+vocabulary.  Transitions are counted and scored on the classes of whole texts.
 
 Null texts count as empty: their only token is the end.  Each input row gives
 one output row, also for repeated rows and null ids; a repeated row counts each
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from artscan.llm import textkit
 from artscan.llm.quality import summed
-from artscan.llm.shared import fold, keep
+from artscan.llm.shared import drop_kept, fold, keep
 
 #: Words whose counts are broadcast, at most.
 HEAD = 1 << 16
@@ -147,10 +152,168 @@ def exchange(counts: np.ndarray, classes: int, fixed: int = 0, rounds: int = 10)
     return of
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+class Head:
+    """The commonest words in order of their hashes, with counts and current classes."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+        self.unit = np.zeros(len(words), dtype=np.int64)
+        self.first_shape, self.end = 0, SHAPES
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.words):
+            return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return at, self.words[at] == h
+
+    def classes(self, h: np.ndarray, shape: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, place and whether it has one of every token; words outside have the class of their shape."""
+        at, known = self.places(h)
+        u = np.where(known, self.unit[at] if len(self.words) else 0, self.first_shape + shape)
+        u[first[1:] - 1] = self.end
+        return u, at, known
+
+
+def class_pairs(docs: DataFrame, head: Head, units: int) -> np.ndarray:
+    """Bigram counts of classes over all training texts; a text follows an end."""
+
+    def run(batch) -> np.ndarray:
+        total = np.zeros(units * units)
+        for _, h, shape, first in _tokens(batch.column("text")):
+            u, _, _ = head.classes(h, shape, first)
+            before = np.concatenate(([head.end], u[:-1]))
+            total += np.bincount(before * units + u, minlength=units * units)
+        return total
+
+    return summed(docs.select("text"), run, units * units).reshape(units, units)
+
+
+def contexts(docs: DataFrame, head: Head, units: int, every: bool) -> DataFrame:
+    """word, shape, and the classes of its neighbours with their counts; a word has several rows.
+
+    Neighbours after the word have their class plus ``units``.  Without
+    ``every`` only the head's words have rows.
+    """
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            h, shape, before, after = (np.concatenate(x) for x in zip(*held))
+            words, at, back = np.unique(h, return_index=True, return_inverse=True)
+            code, n = np.unique(np.concatenate((back * (2 * units) + before, back * (2 * units) + units + after)), return_counts=True)
+            cuts = np.searchsorted(code, np.arange(len(words) + 1) * (2 * units))
+            lists = [
+                pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+                for x in ((code % (2 * units)).astype(np.uint16), n.astype(np.uint32))
+            ]
+            whole = pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(shape[at].astype(np.int32)), *lists], names=["word", "shape", "near", "n"])
+            for a in range(0, len(words), 20_000):
+                yield whole.slice(a, 20_000)
+
+        for batch in batches:
+            for _, h, shape, first in _tokens(batch.column("text")):
+                u, _, known = head.classes(h, shape, first)
+                used = known.copy() if not every else np.ones(len(h), dtype=bool)
+                used[first[1:] - 1] = False
+                used = np.flatnonzero(used)
+                held.append((h[used], shape[used], np.concatenate(([head.end], u[:-1]))[used], u[used + 1]))
+                size += len(used)
+                if size > 2_000_000:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "word long, shape int, near binary, n binary")
+
+
+def choices(near: np.ndarray, n: np.ndarray, first: np.ndarray, now: np.ndarray, pair: np.ndarray, k: int) -> np.ndarray:
+    """The class below ``k`` that each word raises the likelihood most in, all others staying where they are.
+
+    ``near`` and ``n`` hold the words' neighbour classes and their counts, ``first``
+    where each word's begin and ``now`` the words' present classes.
+    """
+    units = len(pair)
+    to = np.concatenate((pair[:, :k], pair[:k].T))
+    row, col = pair[:k].sum(axis=1), pair[:, :k].sum(axis=0)
+    out = np.empty(len(now), dtype=np.int64)
+    at = 0
+    while at < len(now):
+        end = max(at + 1, int(np.searchsorted(first, first[at] + 20_000, "right")) - 1)
+        a, b = first[at], first[end]
+        v, sizes = n[a:b, None].astype(np.float64), np.diff(first[at : end + 1])
+        # A word that is in a learned class is taken out of it first.
+        own = np.where((now[at:end, None] == np.arange(k)), 1.0, 0.0)
+        was = np.maximum(to[near[a:b]] - v * np.repeat(own, sizes, axis=0), 0)
+        begin = first[at:end] - a
+        gain = np.add.reduceat(_xlogx(was + v) - _xlogx(was), begin, axis=0)
+        after = near[a:b, None] >= units
+        for total, part in ((row, after), (col, ~after)):
+            s = np.add.reduceat(v * part, begin, axis=0)
+            rest = np.maximum(total - s * own, 0)
+            gain -= _xlogx(rest + s) - _xlogx(rest)
+        out[at:end] = gain.argmax(axis=1)
+        at = end
+    return out
+
+
+def exchange_round(docs: DataFrame, head: Head, pair: np.ndarray, every: bool) -> DataFrame:
+    """word, n, class, and whether it is in the head; words that occur once have the class of their shape."""
+    units, k = len(pair), head.first_shape
+    sent = docs.sparkSession.sparkContext.broadcast((head, pair))
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        head, pair = sent.value
+        word = rows["word"].to_numpy()
+        new = np.concatenate(([True], word[1:] != word[:-1]))
+        near = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in rows["near"]]
+        of = np.repeat(np.cumsum(new) - 1, [len(x) for x in near])
+        code = of * (2 * units) + np.concatenate(near)
+        order = np.argsort(code, kind="stable")
+        n = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in rows["n"]]).astype(np.int64)[order]
+        code = code[order]
+        begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        n, code = np.add.reduceat(n, begin), code[begin]
+        word, shape = word[new], rows["shape"].to_numpy()[new]
+        first = np.searchsorted(code, np.arange(len(word) + 1) * (2 * units))
+        near = code % (2 * units)
+        times = np.add.reduceat(n * (near < units), first[:-1])
+        at, known = head.places(word.view(np.uint64))
+        shaped = head.first_shape + shape.astype(np.int64)
+        now = np.where(known, head.unit[at] if len(head.words) else 0, shaped)
+        best = np.where(times > 1, choices(near, n, first, now, pair, k), shaped)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(times), pa.array(best.astype(np.int32)), pa.array(known)], names=["word", "n", "class", "head"])
+
+    def run(batches):
+        held = None  # the last word's rows may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            word = rows["word"].to_numpy()
+            cut = int(np.searchsorted(word, word[-1])) if len(word) else 0
+            if cut:
+                yield settle(rows.slice(0, cut).combine_chunks())
+            held = rows.slice(cut)
+        if held is not None and len(held):
+            yield settle(held.combine_chunks())
+
+    ordered = contexts(docs, head, units, every).repartition("word").sortWithinPartitions("word")
+    return keep(ordered.mapInArrow(run, "word long, n long, class int, head boolean"))
+
+
 class Model:
-    """What scoring needs besides the counts of rare words: a bounded amount."""
+    """Classes of all words, and what scoring needs besides those of rare words: a bounded amount.
 
-    def __init__(self, docs: DataFrame, counts: DataFrame, clustered: int, classes: int):
+    ``docs`` are the training texts.  ``coded`` are the texts of ``whole`` (or the
+    training texts) as classes, with the column ``training``.
+    """
+
+    def __init__(self, docs: DataFrame, counts: DataFrame, clustered: int, classes: int, whole: DataFrame | None = None):
         level = F.floor(F.log2("n") * 16)
         levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
         least, room = None, HEAD
@@ -158,118 +321,145 @@ class Model:
             if n > room:
                 break
             least, room = value, room - n
-        head = counts.filter(level >= F.lit(least)).toArrow() if least is not None else counts.limit(0).toArrow()
-        word, n, shape = head["word"].to_numpy().view(np.uint64), head["n"].to_numpy(), head["shape"].to_numpy()
+        common = F.col("word") == F.lit(int(END))
+        found = counts.filter(common if least is None else common | (level >= F.lit(least))).toArrow()
+        word, n, shape = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["shape"].to_numpy()
         order = np.argsort(word)
-        self.words, self.counts, shape = word[order], n[order], shape[order]
+        self.head = head = Head(word[order], n[order])
+        shape = shape[order].astype(np.int64)
         totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = int(totals["n"] or 0), int(totals["v"])
-        # Units: the clustered words, then the shapes, then the end.
-        common = np.lexsort((self.words, -self.counts))
-        common = common[self.words[common] != END][:clustered]
+        # Units at first: the clustered words, then the shapes, then the end.
+        common = np.lexsort((head.words, -head.counts))
+        common = common[head.words[common] != END][:clustered]
         m = len(common)
-        self.unit = m + shape.astype(np.int64)
-        self.unit[common] = np.arange(m)
-        self.unit[self.words == END] = m + SHAPES
-        self.n_shape_unit = m
+        head.first_shape, head.end = m, m + SHAPES
+        head.unit = m + shape
+        head.unit[common] = np.arange(m)
+        head.unit[head.words == END] = head.end
         units = m + SHAPES + 1
-        pairs = self.pairs(docs, units)
+        pairs = class_pairs(docs, head, units)
         of = exchange(pairs, classes, SHAPES + 1)
-        self.class_of = of
-        self.unit = of[self.unit] if len(self.unit) else self.unit
         self.n_classes = int(of.max()) + 1
         onehot = np.zeros((units, self.n_classes))
         onehot[np.arange(units), of] = 1
-        self.first_shape = int(of[m])
-        between = onehot.T @ pairs @ onehot
-        unigram = (between.sum(axis=0) + 0.5) / (between.sum() + 0.5 * self.n_classes)
+        pairs = onehot.T @ pairs @ onehot
+        head.unit = of[head.unit]
+        head.first_shape, head.end = int(of[m]), int(of[m]) + SHAPES
+        self._take(exchange_round(docs, head, pairs, False))
+        self.table = exchange_round(docs, head, class_pairs(docs, head, self.n_classes), True)
+        self._take(self.table)
+        self.unit, self.counts = head.unit, head.counts
+
+        self.coded = code(docs.withColumn("training", F.lit(True)) if whole is None else whole, head, self.table, self.n_classes)
+        size, end, kind = self.n_classes, head.end, _kind(self.n_classes)
+
+        def follow(batch) -> np.ndarray:
+            u, _ = _filled(batch, kind)
+            before = np.concatenate(([end], u[:-1])).astype(np.int64)  # every text closes with an end
+            return np.bincount(before * size + u, minlength=size * size).astype(np.float64)
+
+        between = summed(self.coded.filter("training").select("classes", "fills"), follow, size * size).reshape(size, size)
+        unigram = (between.sum(axis=0) + 0.5) / (between.sum() + 0.5 * size)
         seen = (between > 0).sum(axis=1, keepdims=True)
         rest = between.sum(axis=1, keepdims=True)
-        backed = np.where(rest + seen > 0, (between + seen * unigram) / np.maximum(rest + seen, 1), unigram)
-        self.transition = np.log10(backed)
-        # Tokens and distinct words of each class: all of a shape's words that are not clustered.
-        tokens, types = np.zeros(self.n_classes), np.zeros(self.n_classes)
-        for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-            tokens[self.first_shape + r["shape"]] += r["n"]
-            types[self.first_shape + r["shape"]] += r["v"]
-        np.add.at(tokens, self.first_shape + shape, -np.where(self.unit != self.first_shape + shape, self.counts, 0))
-        np.add.at(types, self.first_shape + shape, -1 * (self.unit != self.first_shape + shape))
-        other = self.unit != self.first_shape + shape
-        np.add.at(tokens, self.unit[other], self.counts[other])
-        np.add.at(types, self.unit[other], 1)
+        self.transition = np.log10(np.where(rest + seen > 0, (between + seen * unigram) / np.maximum(rest + seen, 1), unigram))
+        # Tokens and distinct words of each class.
+        tokens, types = np.zeros(size), np.zeros(size)
+        for r in self.table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+            tokens[r["class"]] += r["n"]
+            types[r["class"]] += r["v"]
+        tokens[head.end] += head.counts[head.words == END].sum()
+        types[head.end] += (head.words == END).sum()
         self.room = np.log10(tokens + types + 1)
         self.base_room = math.log10(self.n + self.v + 1)
-        self.emission = np.log10(self.counts + 1.0) - (self.room[self.unit] if len(self.unit) else 0)
+        self.emission = np.log10(head.counts + 1.0) - self.room[head.unit]
 
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.words):
-            return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return at, self.words[at] == h
+    def _take(self, table: DataFrame) -> None:
+        """The head's words to the classes of a round."""
+        got = table.filter("head").select("word", "class").toArrow()
+        at, _ = self.head.places(got["word"].to_numpy().view(np.uint64))
+        self.head.unit = self.head.unit.copy()
+        self.head.unit[at] = got["class"].to_numpy()
 
-    def pairs(self, docs: DataFrame, units: int) -> np.ndarray:
-        """Bigram counts of units over all training texts; a text follows an end."""
-        words, unit, shapes = self.words, self.unit, self.n_shape_unit
-        places = self.places
 
-        def run(batch) -> np.ndarray:
-            total = np.zeros(units * units)
-            for _, h, shape, first in _tokens(batch.column("text")):
-                at, known = places(h)
-                u = np.where(known, unit[at] if len(words) else 0, shapes + shape)
-                u[first[1:] - 1] = shapes + SHAPES
-                before = np.concatenate(([shapes + SHAPES], u[:-1]))
-                total += np.bincount(before * units + u, minlength=units * units)
-            return total
+def _kind(classes: int) -> type:
+    return np.uint8 if classes <= 256 else np.uint16
 
-        return summed(docs.select("text"), run, units * units).reshape(units, units)
 
+def code(docs: DataFrame, head: Head, table: DataFrame, classes: int) -> DataFrame:
+    """Texts as classes: doc_id, training, n_tokens, n_known, logs, classes, fills; written to the shared folder.
 
-def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    training = docs.filter(fold("doc_id", 7) != 2).select("text")
-    counts = count_words(training)
-    model = Model(training, counts, clustered, classes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = dict(docs.dtypes)["doc_id"]
+    ``classes`` holds those of shapes for words outside the head; ``fills`` are
+    the (place, class) of those that the table knows.  ``logs`` sums log10(c + 1).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+    kind = _kind(classes)
+    id_type = dict(docs.dtypes).get("doc_id", "long")
 
     def run(batches):
         m = sent.value
         for batch in batches:
             for start, h, shape, first in _tokens(batch.column("_text")):
-                at, known = m.places(h)
-                unit = np.where(known, m.unit[at] if len(m.words) else 0, m.first_shape + shape)
-                unit[first[1:] - 1] = m.first_shape + SHAPES
-                before = np.concatenate(([m.first_shape + SHAPES], unit[:-1]))
-                logs = m.transition[before, unit]
-                base = np.zeros(len(h))
+                u, at, known = m.classes(h, shape, first)
+                logs = np.zeros(len(h))
                 if len(m.words):
-                    logs[known] += m.emission[at[known]]
-                    base[known] = np.log10(m.counts[at[known]] + 1.0)
-                logs[~known] -= m.room[unit[~known]]  # the joined counts add log10(c + 1)
-                n = np.diff(first)
+                    logs[known] = np.log10(m.counts[at[known]] + 1.0)
+                u, n = u.astype(kind), np.diff(first)
                 rare = np.flatnonzero(~known)
-                text = np.searchsorted(first, rare, "right") - 1
-                order = np.lexsort((h[rare], text))
-                text, word = text[order], h[rare][order]
-                new = np.ones(len(word), dtype=bool)
-                new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
-                at_new = np.flatnonzero(new)
-                times = np.diff(np.append(at_new, len(word)))
-                cuts = np.searchsorted(text[at_new], np.arange(len(n) + 1)).astype(np.int32)
+                cuts = np.searchsorted(rare, first).astype(np.int32)
+                place = rare - np.repeat(first[:-1], np.diff(cuts))
                 cols = [
-                    batch.column("doc_id").slice(start, len(n)), batch.column("row").slice(start, len(n)), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(known, first[:-1], dtype=np.int64)),
-                    pa.array(np.add.reduceat(base, first[:-1])), pa.array(np.add.reduceat(logs, first[:-1])),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(word[at_new].view(np.int64)), pa.array(times.astype(np.int32))], names=["word", "times"])),
+                    *(batch.column(c).slice(start, len(n)) for c in ("doc_id", "training", "row")), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(known, first[:-1], dtype=np.int64)),
+                    pa.array(np.add.reduceat(logs, first[:-1])), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(((first - first[0]) * u.itemsize).astype(np.int32)), pa.py_buffer(u)]),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(place.astype(np.int32))], names=["word", "place"])),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_tokens", "n_known", "base", "logs", "rare"])
-
-    ready = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
-    scored = keep(ready.mapInArrow(run, f"doc_id {id_type}, row long, n_tokens long, n_known long, base double, logs double, rare array<struct<word:long,times:int>>"))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    more = rare.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs_more"))
-    extra = F.coalesce("logs_more", F.lit(0.0))
-    return scored.drop("rare").join(more, "row", "left").select(
-        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * F.lit(model.base_room)).alias("base_score"), (F.col("logs") + extra).alias("score"),
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "training", "row", "n_tokens", "n_known", "logs", "classes", "rare"])
+
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id")
+    ready = docs.select(doc_id, "training", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
+    read = keep(ready.mapInArrow(run, f"doc_id {id_type}, training boolean, row long, n_tokens long, n_known long, logs double, classes binary, rare array<struct<word:long,place:int>>"))
+    rare = read.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.place")
+    more = rare.join(table.filter("NOT head").select("word", "n", "class"), "word")
+    more = more.groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.collect_list(F.struct("place", "class")).alias("fills"))
+    out = read.drop("rare").join(more, "row", "left").select(
+        "doc_id", "training", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"), "classes", "fills"
+    )
+    out = keep(out)
+    drop_kept(read)
+    return out
+
+
+def _filled(batch, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the batch's texts in a row, and where each begins."""
+    texts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in batch.column("classes")]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))
+    u = np.concatenate([np.zeros(0, dtype=kind), *texts]).astype(np.int64)
+    fills = batch.column("fills")
+    flat = fills.flatten()
+    begin = np.repeat(first[:-1], fills.value_lengths().fill_null(0).to_numpy())
+    u[begin + flat.field("place").to_numpy()] = flat.field("class").to_numpy()
+    return u, first
+
+
+def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    training = docs.filter(fold("doc_id", 7) != 2).select("text")
+    model = Model(training, count_words(training), clustered, classes, docs.withColumn("training", fold("doc_id", 7) != 2))
+    transition, room, end, kind = model.transition, model.room, model.head.end, _kind(model.n_classes)
+    id_type = dict(docs.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, first = _filled(batch, kind)
+            before = np.concatenate(([end], u[:-1]))
+            logs = np.add.reduceat(transition[before, u] - room[u], first[:-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")), pa.array(logs)], names=["doc_id", "n_tokens", "n_known", "logs", "classed"])
+
+    scored = model.coded.select("doc_id", "n_tokens", "n_known", "logs", "classes", "fills").mapInArrow(run, f"doc_id {id_type}, n_tokens long, n_known long, logs double, classed double")
+    return scored.select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(model.base_room)).alias("base_score"), (F.col("logs") + F.col("classed")).alias("score"),
     )

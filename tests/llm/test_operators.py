@@ -299,6 +299,24 @@ def test_class_model_is_a_distribution(spark):
         assert (10.0 ** m.emission[m.unit == c]).sum() <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("head", [1 << 16, 20])
+def test_every_repeated_word_has_a_learned_class(spark, head, monkeypatch):
+    """Words beyond the clustered ones go where their neighbours say, not where their shape does."""
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    rng = random.Random(6)
+    nouns, verbs = ([f"{a}{'x' * (i % 9)}{i}" for i in range(40)] for a in "nv")
+    pick = lambda of: of[min(int(rng.expovariate(0.1)), len(of) - 1)]
+    docs = spark.createDataFrame([(i, " ".join(pick(nouns) + " " + pick(verbs) for _ in range(30))) for i in range(80)] + [(99, "once")], "doc_id long, text string")
+    training = keep(docs)
+    m = class_lm.Model(training, class_lm.count_words(training), 8, 2)
+    got = {np.uint64(r["word"] % (1 << 64)): (r["n"], r["class"]) for r in m.table.collect()}
+    words = nouns + verbs + ["once"]
+    hashes = dict(zip(words, next(class_lm._tokens(pa.array([" ".join(words)])))[1]))
+    seen = [{got[hashes[w]][1] for w in of if hashes[w] in got and got[hashes[w]][0] > 1} for of in (nouns, verbs)]
+    assert len(seen[0]) == len(seen[1]) == 1 and seen[0] | seen[1] == {0, 1}
+    assert got[hashes["once"]] == (1, m.head.first_shape + 3 + 0)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     counts = rng.poisson(0.2, (24, 24)).astype(float)
