@@ -457,7 +457,7 @@ def _(spark, sf):
 def _(spark, sf):
     from artscan.functions.decode import xor_bytes
 
-    data = F.encode(F.left("text", F.lit(64)), "UTF-8")
+    data = F.encode("text", "UTF-8")
     once = xor_bytes(data, b"key")
     return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", (xor_bytes(once, b"key") == data).alias("same"))
 
@@ -467,9 +467,13 @@ def _(spark, sf):
     from artscan.functions.decode import aes_ecb
 
     key = F.lit(b"0123456789abcdef")
-    plain = F.encode(F.rpad(F.left(F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(32)), 32, "x"), "UTF-8")
-    sealed = F.substring(F.aes_encrypt(plain, key, F.lit("ECB"), F.lit("PKCS")), 1, 32)
-    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", (aes_ecb(sealed, key) == plain).alias("same"))
+    data = F.encode("text", "UTF-8")
+    short = (16 - F.octet_length(data) % 16) % 16  # bytes up to the next whole block
+    plain = F.concat(data, F.encode(F.repeat(F.lit("x"), short), "UTF-8"))
+    size = F.octet_length(plain)
+    sealed = F.substring(F.aes_encrypt(plain, key, F.lit("ECB"), F.lit("PKCS")), F.lit(1), size)  # without the block of padding
+    same = F.when(size > 0, aes_ecb(sealed, key) == plain).otherwise(aes_ecb(sealed, key).isNull())  # no block, nothing to decipher
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.coalesce(same, F.lit(False)).alias("same"))
 
 
 def queries() -> dict:

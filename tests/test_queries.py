@@ -38,6 +38,18 @@ def test_round_trips(spark, name):
     assert all(r["same"] for r in queries.queries()[name](spark, SF).collect())
 
 
+@pytest.mark.parametrize(("name", "decoder"), [("xor_roundtrip", "xor_bytes"), ("aes_nopad_roundtrip", "aes_ecb")])
+def test_round_trips_take_whole_texts(spark, monkeypatch, tmp_path, name, decoder):
+    """A decoder that spoils the end of a long text shows; whole texts of any length are right."""
+    given = [(1, "é" * 50), (2, "short"), (3, "x" * 5000 + "日本 end"), (4, ""), (5, "y" * 32), (6, None)]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["same"] for r in queries.queries()[name](spark, str(tmp_path)).collect()} == {i: True for i in range(1, 6)}
+    whole = getattr(decode, decoder)
+    monkeypatch.setattr(decode, decoder, lambda data, key: F.substring(whole(data, key), 1, 80))
+    got = {r["doc_id"]: r["same"] for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    assert not got[1] and not got[3] and got[2]
+
+
 def test_decoders(spark):
     df = spark.createDataFrame([([104, 105, -1],)], "a array<int>").select(
         decode.to_bytes(F.col("a")).alias("b"), decode.base64_text(F.lit("aGk=")).alias("t"), decode.base64_text(F.lit("/w==")).alias("none"),
