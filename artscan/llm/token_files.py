@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,19 +74,46 @@ class Library:
     Pre-tokens that begin with a blank are handed over as one running text, and
     plain words with a newline after each, since the library splits such texts
     back into just these; byte lengths of the tokens tell where each ends.
+
+    Texts that hold one of the file's added tokens are handed over whole, to the
+    library as it is, which gives those tokens their ids.
     """
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # no pre-token comes from a text that holds one
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lengths = np.ones(self.tokenizer.get_vocab_size(), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.lengths[i] = len(token)  # one character stands for one byte
         self.texts = Encoder(self.many, pattern)
 
+    @functools.cached_property
+    def untouched(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def encode(self, column):
+        """Yields (ids, first id of each text) per piece of a string column."""
+        marked = np.zeros(len(column), dtype=bool)
+        for token in self.added:
+            marked |= pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(marked), "", column) if marked.any() else column
+        at = 0
+        for ids, first in self.texts.encode(plain):
+            n = len(first) - 1
+            if marked[at : at + n].any():
+                parts = [ids[a:b] for a, b in zip(first, first[1:])]
+                for i in np.flatnonzero(marked[at : at + n]):
+                    parts[i] = np.array(self.untouched.encode(column[at + int(i)].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                ids, first = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            yield ids, first
+            at += n
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -129,7 +157,7 @@ def _tokenised(docs: DataFrame, path: str, pattern: str, end_id: int) -> DataFra
     kinds = {"part": pa.int32(), "before": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "width": pa.int32(), "ids": pa.binary()}
 
     def run(batches):
-        texts, part = library(path, pattern).texts, TaskContext.get().partitionId()
+        texts, part = library(path, pattern), TaskContext.get().partitionId()
         names, sizes, ids, held, before = [], [], [], 0, 0
 
         def shard():

@@ -194,6 +194,19 @@ def test_token_files(spark, tables, odd, none, monkeypatch):
     assert token_files.digest(none, FILE, PATTERN).count() == 0
 
 
+def test_token_files_give_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(FILE)
+    given = ["plain text", "a <|endoftext|> b", "<|endoftext|>", "é <|endoftext|><|endoftext|> 日本", None, "", "<|endoftext |> x", "after"]
+    assert t.encode(given[1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got, at = rows(token_files.digest(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), FILE, PATTERN)), 0
+    for i, text in enumerate(given):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())), text
+        at += len(ids)
+
+
 def test_byte_coding():
     for v in ([], [0], [255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], list(range(1000))):
         assert token_files.unpack(token_files.pack(np.array(v, dtype=np.uint32))).tolist() == v
