@@ -128,9 +128,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
 
 def rare_hashes(texts: DataFrame, placed: DataFrame, words: int, most: int = RARE) -> DataFrame:
-    """(id, component, size, hash, n, spans) for the hashes that n <= ``most`` of the documents hold.
+    """(id, component, size, hash, n, spans) for the hashes that n <= ``most`` of the documents' rows hold.
 
-    ``spans`` says whether the holders belong to several components.
+    ``spans`` says whether the holders belong to several components.  Rows that
+    repeat a document give each hash once.
     """
     known = texts.join(placed.withColumnRenamed("id", "doc_id"), "doc_id")
     types = dict(known.dtypes)
@@ -144,7 +145,17 @@ def rare_hashes(texts: DataFrame, placed: DataFrame, words: int, most: int = RAR
 
     each = known.mapInArrow(spread, f"id {types['doc_id']}, component {types['component']}, size long, hash long")
     held = each.groupBy("hash").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("spans")).filter(F.col("n") <= most)
-    return each.join(held, "hash")
+    return each.join(held, "hash").dropDuplicates(["id", "component", "size", "hash"])
+
+
+def with_shared(inside: DataFrame, rare: DataFrame, signed: DataFrame) -> DataFrame:
+    """Adds ``shared``: the most hashes that a class can have in common with one that it shares no rare hash with.
+
+    The rare hashes of an id with different texts are not told apart, so for it that is its size.
+    """
+    several = signed.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several")).filter("several").withColumnRenamed("doc_id", "id")
+    inside = inside.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left").join(several, "id", "left")
+    return inside.withColumn("shared", F.when(F.col("several"), F.col("size")).otherwise(F.col("size") - F.coalesce("rare", F.lit(0)))).drop("several")
 
 
 def meetings(rare: DataFrame, percent: int) -> DataFrame:
@@ -181,8 +192,7 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     mixed = shares.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("bucket", F.col("top.component").alias("main"))
     inside = keep(placed.join(mixed, "bucket"))
     rare = keep(rare_hashes(texts, inside.select("id", "component", "size").distinct(), words))
-    inside = inside.join(rare.groupBy("id").agg(F.count("*").alias("rare")), "id", "left")
-    inside = inside.withColumn("shared", F.col("size") - F.coalesce("rare", F.lit(0))).filter(F.col("shared") * 100 >= F.col("size") * percent)
+    inside = with_shared(inside, rare, signed).filter(F.col("shared") * 100 >= F.col("size") * percent)
     outer = inside.filter(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"), F.col("component").alias("x_part"))
     common = F.least("shared", "x_shared")
     reach = common * 100 >= (F.col("size") + F.col("x_size") - common) * percent

@@ -258,6 +258,18 @@ def test_near_duplicates(spark, words):
     assert {i: r["n_shingles"] for i, r in got.items()} == sizes and all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_bound_of_repeated_rows(spark):
+    """Repeated rows count each hash once; the bound never falls below what a document can share."""
+    crowd = " ".join(f"c{i}" for i in range(90))
+    given = [(i, crowd) for i in range(20)] + [(30, f"{crowd} {' '.join(f'a{i}' for i in range(12))}")] * 2 + [(31, crowd), (31, " ".join(f"b{i}" for i in range(90)))]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    placed = spark.createDataFrame([(i, i, 86) for i in range(20)] + [(30, 30, 98), (31, 31, 86)], "id long, component long, size long")
+    rare = near_dup.rare_hashes(docs, placed, 5)
+    assert rare.filter("id = 30").count() == 12
+    got = {r["id"]: r["shared"] for r in near_dup.with_shared(placed, rare, near_dup.signatures(docs, 5)).collect()}
+    assert got[0] == 86 and got[30] == 86 and got[31] == 86
+
+
 def test_near_duplicates_odd(odd, none):
     got = n_odd(near_dup.find(odd))
     assert got[None]["component_id"] is None and got[None]["kept"] and got[7]["component_id"] == 7 and got[1]["n_shingles"] == 0
