@@ -74,8 +74,9 @@ def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def drop_kept(df: DataFrame) -> None:
-    """Deletes a table made by ``keep`` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def drop_kept(*tables: DataFrame) -> None:
+    """Deletes tables made by ``keep`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
