@@ -5,7 +5,8 @@ words, or the whole item if it is shorter.  All windows form one automaton
 whose alphabet is the benchmark's vocabulary.  A document word outside that
 vocabulary returns the automaton to its root, so only stretches of known words
 at least as long as the shortest window are fed to it; the text is scanned
-once.  Matches are word positions, mapped back to code points of the original.
+once.  A word is looked up by a hash and then compared byte by byte.  Matches
+are word positions, mapped back to code points of the original.
 
 The automaton is broadcast.  ``limit`` bounds the benchmark text of one
 automaton; a larger benchmark is cut into groups by item, and the documents
@@ -33,12 +34,11 @@ WIDTH = 10
 LIMIT = 32 << 20
 
 
-def _hashed_words(column):
-    """Yields (first row, begins, ends, hashes, first word of each text, buffer, starts) per piece."""
+def _words(column):
+    """Yields (first row, lower-cased buffer, begins, ends, first word of each text, buffer, starts) per piece."""
     for at, raw, starts in textkit.pieces(column):
         buffer = textkit.LOWER[raw]
-        begin, end, first = textkit.words(buffer, starts, textkit.ALNUM)
-        yield at, begin, end, textkit.span_hashes(buffer, begin, end), first, raw, starts
+        yield at, buffer, *textkit.words(buffer, starts, textkit.ALNUM), raw, starts
 
 
 class Windows:
@@ -46,20 +46,41 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
         known: dict[tuple[int, ...], set[str]] = {}
+        numbers: dict[bytes, int] = {}
         for (item, text) in items:
-            for _, _, _, hashes, _, _, _ in _hashed_words(pa.array([text], pa.string())):
-                seq = hashes.tolist()
+            for _, buffer, begin, end, _, _, _ in _words(pa.array([text], pa.string())):
+                whole = buffer.tobytes()
+                seq = [numbers.setdefault(whole[a:b], len(numbers) + 1) for a, b in zip(begin, end)]
                 for i in range(max(1, len(seq) - width + 1) if seq else 0):
                     known.setdefault(tuple(seq[i : i + width]), set()).add(item)
-        self.vocabulary = np.array(sorted({x for w in known for x in w}), dtype=np.uint64)
-        self.windows = [(np.searchsorted(self.vocabulary, np.array(w, dtype=np.uint64)) + 1).astype(int).tolist() for w in known]
-        self.items = [sorted(x) for x in known.values()]
+        self.windows, self.items = list(known), [sorted(x) for x in known.values()]
         self.shortest = min(map(len, self.windows), default=0)
         self._automaton = None
+        # The vocabulary by hash: its bytes, and the number of each word.
+        sizes = np.array([len(w) for w in numbers], dtype=np.int64)
+        self.room = textkit.padded(int(sizes.sum()))
+        self.room[: len(self.room) - 8] = np.frombuffer(b"".join(numbers), dtype=np.uint8)
+        end = np.cumsum(sizes)
+        self.lane, hashes = 0, np.zeros(0, dtype=np.uint64)
+        while len(numbers) and len(set(hashes.tolist())) < len(numbers):  # two words of one hash: take another
+            hashes = textkit.span_hashes(self.room[:-8], end - sizes, end, self.lane)
+            self.lane += 1
+        self.lane, order = max(0, self.lane - 1), np.argsort(hashes)
+        self.hashes, self.begin, self.end, self.number = hashes[order], (end - sizes)[order], end[order], order + 1
 
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}
 
+    def numbers_of(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each word, 0 for words outside the vocabulary."""
+        hashes = textkit.span_hashes(buffer, begin, end, self.lane)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        out = np.zeros(len(hashes), dtype=np.int64)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        hit = hit[textkit.same_spans(self.room, self.begin[at[hit]], self.end[at[hit]], buffer, begin[hit], end[hit])]
+        out[hit] = self.number[at[hit]]
+        return out
+
     @property
     def automaton(self):
         if self._automaton is None:
@@ -70,15 +91,15 @@ class Windows:
             self._automaton = a
         return self._automaton
 
-    def find(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window number, first and last word of every occurrence in a piece."""
         none = np.zeros(0, dtype=np.int64)
-        if not self.windows or not len(hashes):
+        if not self.windows or not len(begin):
             return none, none, none
-        no = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[no] == hashes
+        no = self.numbers_of(buffer, begin, end)
+        known = no > 0
         # Bounds of stretches of known words within one text.
-        breaks = np.zeros(len(hashes) + 1, dtype=bool)
+        breaks = np.zeros(len(no) + 1, dtype=bool)
         breaks[first] = True
         opens = known.copy()
         opens[1:] &= ~known[:-1] | breaks[1:-1]
@@ -92,7 +113,7 @@ class Windows:
         sizes = b - a + 1  # with a blank symbol after each stretch
         at = np.concatenate(([0], np.cumsum(sizes)))
         place = np.arange(at[-1]) - np.repeat(at[:-1] - a, sizes)
-        symbols = np.where(place < np.repeat(b, sizes), no[np.minimum(place, len(no) - 1)] + 1, 0)
+        symbols = np.where(place < np.repeat(b, sizes), no[np.minimum(place, len(no) - 1)], 0)
         found = [(i, w, n) for i, (w, n) in self.automaton.iter(tuple(symbols.tolist()))]
         if not found:
             return none, none, none
@@ -100,10 +121,10 @@ class Windows:
         return window, place[last] - length + 1, place[last]
 
 
-def _marks(windows: Windows, hashes, first):
+def _marks(windows: Windows, buffer, begin, end, first):
     """For a piece: hit words as booleans, and the items found in each text."""
-    window, a, b = windows.find(hashes, first)
-    step = np.zeros(len(hashes) + 1, dtype=np.int64)
+    window, a, b = windows.find(buffer, begin, end, first)
+    step = np.zeros(len(begin) + 1, dtype=np.int64)
     np.add.at(step, a, 1)
     np.add.at(step, b + 1, -1)
     hit = np.cumsum(step[:-1]) > 0
@@ -146,8 +167,8 @@ def scan(docs: DataFrame, bench: DataFrame, width: int = WIDTH, limit: int = LIM
                 before, listed = batch.column("_hits"), batch.column("_items")
                 cols: list[list] = [[], [], [], []]
                 bits, lists = [], []
-                for at, begin, end, hashes, first, raw, starts in _hashed_words(textkit.at_path(batch, text)):
-                    hit, found = _marks(windows, hashes, first)
+                for at, buffer, begin, end, first, raw, starts in _words(textkit.at_path(batch, text)):
+                    hit, found = _marks(windows, buffer, begin, end, first)
                     for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
                         own = hit[a:b]
                         if old := before[at + i].as_py():

@@ -1,9 +1,10 @@
 """Near-duplicate detection by min-max hashing, with every link confirmed.
 
-A document's set holds the 64-bit hashes of its distinct runs of ``words``
-words.  Each of 84 hash functions keeps both its least and its greatest value
-over the set; these 168 values form 28 bands of six.  Two sets of similarity
-0.8 share a band with probability 0.9998.
+A document's set holds its distinct runs of ``words`` words, each as two
+independent 64-bit hashes; sizes, equality and links go by both (128 bits), the
+rest by the first.  Each of 84 hash functions keeps both its least and its
+greatest value over the set; these 168 values form 28 bands of six.  Two sets of
+similarity 0.8 share a band with probability 0.9998.
 
 1. Documents of equal sets become one class, by a 128-bit digest of the set, so
    exact copies cost one partial aggregate and never meet as pairs.
@@ -46,6 +47,8 @@ from artscan.llm.shared import drop_kept, keep
 BANDS, ROWS = 28, 6
 #: Most holders of a rare hash.
 RARE = 16
+#: Pairs of one document that are compared together.
+SHARE = 4096
 FUNCTIONS = BANDS * ROWS // 2
 _RNG = np.random.default_rng(20)
 _FACTORS = (_RNG.integers(0, 1 << 31, FUNCTIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -53,16 +56,35 @@ _FLIPS = _RNG.integers(0, 1 << 32, FUNCTIONS, dtype=np.uint32)
 _BAND_FACTORS = _RNG.integers(0, 1 << 63, (ROWS, BANDS), dtype=np.uint64) | np.uint64(1)
 
 
+def _distinct(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes, in order."""
+    order = np.argsort(one)
+    one, other = one[order], other[order]
+    tie = one[1:] == one[:-1]
+    if (tie & (other[1:] != other[:-1])).any():
+        order = np.lexsort((other, one))
+        one, other = one[order], other[order]
+        tie = (one[1:] == one[:-1]) & (other[1:] == other[:-1])
+    kept = np.concatenate((np.ones(min(1, len(one)), dtype=bool), ~tie))
+    return one[kept], other[kept]
+
+
 def shingle_sets(column, words: int):
-    """Yields (first row, sorted distinct hashes of the piece's texts, where each text's begin)."""
+    """Yields (first row, first and second hashes of the sets of the piece's texts, where each text's begin)."""
     for at, buffer, starts in textkit.pieces(column):
         buffer = textkit.LOWER[buffer]
         begin, end, first = textkit.words(buffer, starts)
-        hashes, cuts = textkit.shingle_hashes(textkit.span_hashes(buffer, begin, end), first, words)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(cuts, cuts[1:])]
+        (one, cuts), (other, _) = (textkit.shingle_hashes(textkit.span_hashes(buffer, begin, end, lane), first, words) for lane in (0, 1))
+        sets = [_distinct(one[a:b], other[a:b]) for a, b in zip(cuts, cuts[1:])]
         places = np.zeros(len(sets) + 1, dtype=np.int64)
-        np.cumsum([len(s) for s in sets], out=places[1:])
-        yield at, np.concatenate(sets), places
+        np.cumsum([len(x) for x, _ in sets], out=places[1:])
+        yield at, np.concatenate([x for x, _ in sets]), np.concatenate([y for _, y in sets]), places
+
+
+def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """Pairs of hashes that two sets share."""
+    one, _ = _distinct(*(np.concatenate(p) for p in zip(x, y)))
+    return len(x[0]) + len(y[0]) - len(one)
 
 
 def band_values(hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -85,14 +107,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def sign(batches):
         for batch in batches:
             sizes, digests, bands = [], [], []
-            for _, hashes, places in shingle_sets(batch.column("text"), words):
+            for _, hashes, others, places in shingle_sets(batch.column("text"), words):
                 size = np.diff(places)
                 full = np.flatnonzero(size)
                 values = np.zeros((len(size), BANDS), dtype=np.uint64)
                 if len(full):
                     values[full] = band_values(hashes, np.append(places[:-1][full], places[-1]))
                 sizes.append(size)
-                digests += [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(places, places[1:])]
+                digests += [hashlib.blake2b(hashes[a:b].tobytes() + others[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(places, places[1:])]
                 bands.append(values.view(np.int64))
             flat = pa.array(np.concatenate(bands).ravel() if bands else np.zeros(0, dtype=np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), flat)
@@ -108,20 +130,27 @@ def _close(a, b, percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    A document that stands in many pairs as ``b`` has its text once for each
+    ``SHARE`` of them, so that no task needs all pairs of one document.
+    """
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
+    other = other.join(shares, "b").select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    both = dealt.join(one, "a").join(other, ["b", "share"]).select("a", "b", "text_a", "text_b")
 
     def compare(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [[h[x:y] for _, h, p in shingle_sets(part.column(c), words) for x, y in zip(p, p[1:])] for c in ("text_a", "text_b")]
+                sets = [[(h[x:y], g[x:y]) for _, h, g, p in shingle_sets(part.column(c), words) for x, y in zip(p, p[1:])] for c in ("text_a", "text_b")]
                 ok = []
                 for x, y in zip(*sets):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+                    both = common(x, y)
+                    ok.append(both > 0 and 100 * both >= percent * (len(x[0]) + len(y[0]) - both))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(compare, ", ".join(f"{c} {t}" for c, t in pairs.select("a", "b").dtypes)).distinct()
@@ -138,7 +167,7 @@ def rare_hashes(texts: DataFrame, placed: DataFrame, words: int, most: int = RAR
 
     def spread(batches):
         for batch in batches:
-            for at, hashes, places in shingle_sets(batch.column("text"), words):
+            for at, hashes, _, places in shingle_sets(batch.column("text"), words):
                 of = np.repeat(np.arange(at, at + len(places) - 1), np.diff(places))
                 rows = [batch.column(c).take(pa.array(of)) for c in ("doc_id", "component", "size")]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(hashes.view(np.int64))], names=["id", "component", "size", "hash"])
@@ -173,10 +202,10 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = keep(signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     in_bands = classes.select("id", "size", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keep(in_bands.join(buckets, "bucket"))
+    in_buckets = keep(in_bands.join(buckets, "bucket"))
     # A class that meets many others is likely the text that the others were copied from.
-    known = members.groupBy("id").agg(F.sum("n").alias("met"))
-    members = keep(members.drop("n").join(known, "id"))
+    known = in_buckets.groupBy("id").agg(F.sum("n").alias("met"))
+    members = keep(in_buckets.drop("n").join(known, "id"))
     # These ids grow with the corpus: every size takes the shuffled join that a large one needs.
     texts = keep(docs.join(known.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
 
@@ -190,18 +219,18 @@ def find(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     placed = keep(placed.withColumn("component", F.coalesce("component", "id")))
     shares = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("bucket", F.col("top.component").alias("main"))
-    inside = keep(placed.join(mixed, "bucket"))
-    rare = keep(rare_hashes(texts, inside.select("id", "component", "size").distinct(), words))
-    inside = with_shared(inside, rare, signed).filter(F.col("shared") * 100 >= F.col("size") * percent)
+    inside_all = keep(placed.join(mixed, "bucket"))
+    rare = keep(rare_hashes(texts, inside_all.select("id", "component", "size").distinct(), words))
+    inside = with_shared(inside_all, rare, signed).filter(F.col("shared") * 100 >= F.col("size") * percent)
     outer = inside.filter(F.col("component") != F.col("main")).select("bucket", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("shared").alias("x_shared"), F.col("component").alias("x_part"))
-    common = F.least("shared", "x_shared")
-    reach = common * 100 >= (F.col("size") + F.col("x_size") - common) * percent
+    most = F.least("shared", "x_shared")
+    reach = most * 100 >= (F.col("size") + F.col("x_size") - most) * percent
     again = outer.join(inside, (outer["bucket"] == inside["bucket"]) & (F.col("component") != F.col("x_part")) & reach).select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b"))
     again = again.unionByName(meetings(rare, percent)).distinct()
     more = keep(confirm(again, texts, words, percent))
     found = components(links.unionByName(more)).withColumnRenamed("node", "id")
     of_class = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "size", "digest").join(of_class, "digest", "left")
-    drop_kept(texts)
+    drop_kept(in_buckets, members, texts, links, placed, inside_all, rare, more)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

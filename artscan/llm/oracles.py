@@ -56,13 +56,17 @@ SECRETS = _secrets()
 CONTAMINATION = rf"""
 WITH i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 q AS (SELECT DISTINCT item, n, array_to_string(w[a : a + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS a FROM (SELECT *, least(10, len(w)) AS n FROM i WHERE len(w) > 0))),
-d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, string_split_regex({_ASCII}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS g FROM documents),
 e AS (SELECT row, n, a, array_to_string(w[a : a + n - 1], ' ') AS win FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM d, (SELECT DISTINCT n FROM q) s WHERE len(w) >= n)),
 h AS (SELECT row, a, n, item FROM e JOIN q USING (n, win)),
-c AS (SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(a, a + n)) AS place FROM h) GROUP BY row),
+k AS (SELECT DISTINCT row, unnest(range(a, a + n)) AS place FROM h),
+c AS (SELECT row, count(*) AS n_hit FROM k GROUP BY row),
+r AS (SELECT row, min(place) AS a, max(place) AS b FROM (SELECT row, place, place - row_number() OVER (PARTITION BY row ORDER BY place) AS run FROM k) GROUP BY row, run),
+z AS (SELECT row, string_agg(s || ':' || e, ',' ORDER BY s) AS spans FROM (
+  SELECT row, length(array_to_string(g[1 : a], '')) + length(array_to_string(w[1 : a - 1], '')) AS s, length(array_to_string(g[1 : b], '')) + length(array_to_string(w[1 : b], '')) AS e FROM r JOIN d USING (row)) GROUP BY row),
 t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN c USING (row) LEFT JOIN t USING (row) LEFT JOIN z USING (row)
 """
 
 NEAR_DUPLICATES = rf"""

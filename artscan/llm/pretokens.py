@@ -6,8 +6,10 @@ byte is a table entry, so all pre-token boundaries of a piece of the corpus
 follow from a few numpy passes.  Other texts take the pattern itself.
 
 Each pre-token is hashed to 64 bits and looked up in an open-addressing table
-held by the worker; only unknown ones go to the encoder.  The table has a fixed
-size and starts anew when it is half full.
+held by the worker; only unknown ones go to the encoder.  An entry keeps its
+bytes and counts only for spans of the same bytes; others of that hash are
+looked up by another hash.  The table has a fixed size and starts anew when it
+is half full.
 """
 from __future__ import annotations
 
@@ -67,19 +69,19 @@ def cut(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Memo:
-    """Hash of a pre-token to its run of ids."""
+    """Hash of a pre-token to its bytes and its run of ids."""
 
     def __init__(self, bits: int = 21):
         self.bits = bits
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.slots = np.zeros(1 << self.bits, dtype=np.int32)
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.slots = np.zeros(1 << bits, dtype=np.int32)
         self.count, self.used = 0, 0
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int32)
         self.flat = np.zeros(1 << 18, dtype=np.uint32)
+        self.bytes_used = 0
+        self.room = textkit.padded(1 << 20)
+        self.from_byte, self.to_byte = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
     def _slot(self, h: np.ndarray, turn: int) -> np.ndarray:
         return ((h + np.uint64(turn) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -98,18 +100,27 @@ class Memo:
             turn += 1
         return out
 
-    def add(self, h: np.ndarray, runs: list) -> None:
-        """Adds distinct unknown hashes with their ids."""
+    def add(self, h: np.ndarray, pieces: list[bytes], runs: list) -> None:
+        """Adds distinct unknown hashes with their bytes and ids."""
         sizes = np.fromiter(map(len, runs), dtype=np.int32, count=len(runs))
         entry = np.arange(self.count, self.count + len(h), dtype=np.int32)
         total = int(sizes.sum())
         while self.count + len(h) > len(self.begin):
-            self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
+            self.begin, self.size, self.from_byte, self.to_byte = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.size, self.from_byte, self.to_byte))
         while self.used + total > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         self.begin[entry] = self.used + np.cumsum(sizes) - sizes
         self.size[entry] = sizes
         self.flat[self.used : self.used + total] = np.concatenate([np.asarray(r, dtype=np.uint32) for r in runs]) if runs else 0
+        raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        if self.bytes_used + len(raw) + 8 > len(self.room):
+            grown = textkit.padded(2 * (self.bytes_used + len(raw)))
+            grown[: self.bytes_used] = self.room[: self.bytes_used]
+            self.room = grown
+        self.room[self.bytes_used : self.bytes_used + len(raw)] = raw
+        self.to_byte[entry] = self.bytes_used + np.cumsum([len(p) for p in pieces])
+        self.from_byte[entry] = self.to_byte[entry] - [len(p) for p in pieces]
+        self.bytes_used += len(raw)
         self.count += len(h)
         self.used += total
         left, turn = np.arange(len(h)), 0
@@ -122,6 +133,10 @@ class Memo:
             left = left[~won]
             turn += 1
 
+    def holds(self, entry: np.ndarray, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the entries have the bytes of these spans."""
+        return textkit.same_spans(self.room, self.from_byte[entry], self.to_byte[entry], buffer, begin, end)
+
     def runs(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the entries in order, and the number of ids of each."""
         size = self.size[entry].astype(np.int64)
@@ -137,20 +152,25 @@ class Encoder:
         self.encode_many, self.memo = encode_many, Memo()
         self.split, self.plain = splitter(pattern), pattern == PATTERN
 
-    def _entries(self, h: np.ndarray, piece) -> np.ndarray:
-        """Entries of hashed pre-tokens; ``piece(i)`` gives the i-th as text."""
-        out = self.memo.find(h)
-        unknown = np.flatnonzero(out < 0)
-        if len(unknown):
-            new, place = np.unique(h[unknown], return_index=True)
-            if self.memo.count + len(new) > 1 << (self.memo.bits - 1) and self.memo.count:
-                self.memo.clear()
-                return self._entries(h, piece)
-            while 2 * len(new) > 1 << self.memo.bits:
-                self.memo = Memo(self.memo.bits + 1)
-                return self._entries(h, piece)
-            self.memo.add(new, self.encode_many([piece(i) for i in unknown[place]]))
-            out[unknown] = self.memo.find(h[unknown])
+    def _entries(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, whole: bytes) -> np.ndarray:
+        """Entries of the pre-tokens; those that share a hash with other bytes are tried by the next one."""
+        out, left, lane = np.zeros(len(begin), dtype=np.int32), np.arange(len(begin)), 0
+        while len(left):
+            a, b = begin[left], end[left]
+            h = textkit.span_hashes(buffer, a, b, lane)
+            entry = self.memo.find(h)
+            unknown = np.flatnonzero(entry < 0)
+            if len(unknown):
+                new, place = np.unique(h[unknown], return_index=True)
+                if self.memo.count + len(new) > 1 << (self.memo.bits - 1):
+                    self.memo = Memo(max(self.memo.bits + (lane > 0), int(2 * len(new) - 1).bit_length()))
+                    return self._entries(buffer, begin, end, whole)
+                pieces = [whole[a[i] : b[i]] for i in unknown[place]]
+                self.memo.add(new, pieces, self.encode_many([p.decode() for p in pieces]))
+                entry[unknown] = self.memo.find(h[unknown])
+            same = self.memo.holds(entry, buffer, a, b)
+            out[left[same]] = entry[same]
+            left, lane = left[~same], lane + 1
         return out
 
     def encode(self, column):
@@ -163,7 +183,7 @@ class Encoder:
                 begin, end = begin[keep], end[keep]
                 first = np.concatenate(([0], np.cumsum(np.diff(first) * ~odd)))
             whole = buffer.tobytes()
-            entry = self._entries(textkit.span_hashes(buffer, begin, end), lambda i: whole[begin[i] : end[i]].decode())
+            entry = self._entries(buffer, begin, end, whole)
             ids, size = self.memo.runs(entry)
             cuts = np.concatenate(([0], np.cumsum(size)))[first]
             if not odd.any():

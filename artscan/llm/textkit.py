@@ -8,7 +8,7 @@ working on UTF-8 bytes gives the same words as working on code points.
 """
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,6 @@ import pyarrow.compute as pc
 PIECE_BYTES = 2_000_000
 
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,9 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random-looking 64-bit value for each byte, never zero.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
-
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -47,22 +42,6 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-@functools.lru_cache(maxsize=2)
-def _powers_of_size(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_P, _P_INV):
-        p = np.full(n, base, dtype=_U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, (n - 1).bit_length())
-    a, b = _powers_of_size(size)
-    return a[:n], b[:n]
-
-
 def at_path(batch: pa.RecordBatch, path: str):
     """A column of a batch, or a field of a struct column by dots."""
     first, *rest = path.split(".")
@@ -117,12 +96,65 @@ def words(buffer: np.ndarray, starts: np.ndarray, is_word: np.ndarray = NON_SPAC
     return begin, end, np.searchsorted(begin, starts)
 
 
-def span_hashes(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one running polynomial sum."""
-    up, down = powers(len(buffer) + 1)
-    total = np.zeros(len(buffer) + 1, dtype=_U)
-    np.cumsum(BYTE_VALUES[buffer] * up[:-1], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(_U))
+#: Masks that keep the first n bytes of a block.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
+#: Spans beyond this many bytes are hashed, or compared, one by one.
+_LONG = 2048
+
+
+def padded(size: int) -> np.ndarray:
+    """Room for ``size`` bytes with the spare ones that reading in blocks needs."""
+    return np.zeros(size + 8, dtype=np.uint8)
+
+
+def _blocks(room: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each."""
+    return np.ndarray(shape=(len(room) - 7,), dtype="<u8", buffer=room, strides=(1,))
+
+
+def _with_room(buffer: np.ndarray) -> np.ndarray:
+    room = padded(len(buffer))
+    room[: len(buffer)] = buffer
+    return room
+
+
+def span_hashes(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span: its length, then its blocks of eight bytes, are scrambled in turn.
+
+    Lanes are independent of each other.  Where a result depends on equality,
+    the bytes are compared (``same_spans``) or two lanes are taken.
+    """
+    key = (0x9E3779B97F4A7C15 * (2 * lane + 1)) & 0xFFFFFFFFFFFFFFFF
+    size, words = end - begin, _blocks(_with_room(buffer))
+    h = mix(mix(size.astype(_U) + _U(key)) ^ (words[begin] & _MASKS[np.minimum(size, 8)]))
+    left = np.flatnonzero((size > 8) & (size <= _LONG))
+    at = 8
+    while len(left):
+        rest = size[left] - at
+        h[left] = mix((h[left] * _U(0xD1342543DE82EF95)) ^ (words[begin[left] + at] & _MASKS[np.minimum(rest, 8)]))
+        at, left = at + 8, left[rest > 8]
+    for i in np.flatnonzero(size > _LONG):
+        digest = hashlib.blake2b(buffer[begin[i] : end[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def same_spans(room: np.ndarray, begin: np.ndarray, end: np.ndarray, buffer: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether spans of a buffer made by ``padded`` equal those of another buffer, byte by byte."""
+    size = end - begin
+    same = size == other_end - other
+    if not len(size):
+        return same
+    words, others = _blocks(room), _blocks(_with_room(buffer))
+    left, at = np.flatnonzero(same & (size <= _LONG)), 0
+    while len(left):
+        rest = size[left] - at
+        equal = (words[begin[left] + at] ^ others[other[left] + at]) & _MASKS[np.minimum(rest, 8)] == 0
+        same[left] &= equal
+        at, left = at + 8, left[equal & (rest > 8)]
+    for i in np.flatnonzero(same & (size > _LONG)):
+        same[i] = np.array_equal(room[begin[i] : end[i]], buffer[other[i] : other_end[i]])
+    return same
 
 
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int):

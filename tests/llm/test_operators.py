@@ -45,6 +45,38 @@ def test_words_and_shingles():
     assert sum(len(s) - 1 for _, _, s in textkit.pieces(pa.array(["ab"] * 100), 10)) == 100
 
 
+def twins(n=1024):
+    """The Thue-Morse word over two letters and its complement: equal under any sum linear modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_hashes_tell_twins_apart(n):
+    for _, buffer, starts in textkit.pieces(pa.array([" ".join(twins(n))])):
+        begin, end, _ = textkit.words(buffer, starts)
+        lanes = [textkit.span_hashes(buffer, begin, end, lane).tolist() for lane in (0, 1)]
+        assert len({*lanes[0], *lanes[1]}) == 4
+
+
+def test_spans_are_compared_by_bytes():
+    words = ["", "a", "ab", "abcdefgh", "abcdefghi", "abcdefghj", "x" * 2047, "x" * 2049, "x" * 2048 + "y", "é" * 9]
+    raw = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    end = np.cumsum([len(w.encode()) for w in words])
+    begin = end - [len(w.encode()) for w in words]
+    room = textkit.padded(len(raw))
+    room[: len(raw)] = raw
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    assert np.array_equal(textkit.same_spans(room, begin[i], end[i], raw, begin[j], end[j]), i == j)
+
+
+@pytest.fixture
+def colliding(monkeypatch):
+    """All spans share a few hashes in each lane."""
+    whole = textkit.span_hashes
+    monkeypatch.setattr(textkit, "span_hashes", lambda *a: whole(*a) & np.uint64(0xF000000000000000) if (a[3] if len(a) > 3 else 0) < 6 else whole(*a))
+
+
 # --- 1 ---------------------------------------------------------------------------------
 def test_language(spark, tables, odd, none):
     got = rows(lang_id.identify(tables("documents")))
@@ -152,6 +184,29 @@ def test_bpe_equals_tiktoken(strange_texts, tables):
         assert ids.tolist() == e.encode_ordinary(t) and c.decode(ids) == t.encode(), t
 
 
+def test_bpe_with_equal_hashes(colliding):
+    c = bpe_codec.Codec(RANKS, PATTERN)
+    given = ["one two three four five six seven eight nine ten one two", *twins()]
+    assert [c.decode(ids).decode() for ids in c.encode(pa.array(given))] == given
+
+
+def test_twins(spark):
+    """Texts whose words only a linear hash takes for equal."""
+    from tokenizers import Tokenizer
+
+    for n in (1024, 2048):
+        one, other = twins(n)
+        docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {other} y"), (3, f"x {one} y")], "doc_id long, text string").coalesce(1)
+        truth = dict(texts(docs))
+        assert all(r["decoded_sha256"] == brute.sha(truth[i]) for i, r in rows(bpe_codec.digest(docs, RANKS, PATTERN)).items())
+        t = Tokenizer.from_file(FILE)
+        crc = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4").tobytes()) for i, x in truth.items()}
+        assert {i: r["ids_crc32"] for i, r in rows(token_files.digest(docs, FILE, PATTERN)).items()} == crc
+        assert {i: r["component_id"] for i, r in rows(near_dup.find(docs, 4)).items()} == {1: 1, 2: 2, 3: 1}
+        bench = spark.createDataFrame([(1, other)], "item_id long, text string")
+        assert {i: r["n_hit"] for i, r in rows(decontaminate.digest(docs, bench)).items()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_prefixes_append_and_edit():
     v = bpe.Vocabulary(bpe.load_ranks(RANKS))
     random.seed(4)
@@ -270,6 +325,34 @@ def test_bound_of_repeated_rows(spark):
     assert got[0] == 86 and got[30] == 86 and got[31] == 86
 
 
+@pytest.mark.parametrize("copies", [1, 3, 20])
+def test_near_duplicates_with_repeated_rows(spark, copies):
+    common = [f"c{i}" for i in range(103)]
+    given = [(10 + i, " ".join([*common, f"own{i}"])) for i in range(25)] + [(1, " ".join(common[:93]))]
+    given += [(2, " ".join(common[:90] + [f"d{i}" for i in range(10)]))]
+    component, _ = brute.near(given, 4)
+    repeated = given + given[-1:] * (copies - 1)
+    got = near_dup.find(spark.createDataFrame(repeated, "doc_id long, text string").repartition(3), 4).collect()
+    assert len(got) == len(repeated) and {r["doc_id"]: r["component_id"] for r in got} == component and component[2] == 1
+    # Two texts under one id: it has the links of each.
+    second = near_dup.find(spark.createDataFrame([*repeated, (2, "one two three four five six"), (3, "One two three four five six")], "doc_id long, text string"), 4)
+    assert {r["doc_id"]: r["component_id"] for r in second.collect()} == component | {3: 1}
+
+
+def test_sets_are_compared_by_both_hashes():
+    one, other = np.array([5, 5, 5, 7], dtype=np.uint64), np.array([2, 1, 2, 9], dtype=np.uint64)
+    assert [x.tolist() for x in near_dup._distinct(one, other)] == [[5, 5, 7], [1, 2, 9]]
+    assert near_dup.common((one[:1], other[:1]), (one[1:2], other[1:2])) == 0
+
+
+def test_pairs_of_one_document_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHARE", 3)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} own{i}") for i in range(20)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 20)], "a long, b long")
+    assert sorted(r["a"] for r in near_dup.confirm(pairs, docs, 4, 80).collect()) == list(range(1, 20))
+
+
 def test_near_duplicates_odd(odd, none):
     got = n_odd(near_dup.find(odd))
     assert got[None]["component_id"] is None and got[None]["kept"] and got[7]["component_id"] == 7 and got[1]["n_shingles"] == 0
@@ -296,6 +379,12 @@ def test_decontamination(spark, tables, limit):
     assert got[9000]["spans"] == "2:25" and got[9002]["contaminated"]
 
 
+def test_decontamination_with_equal_hashes(spark, colliding):
+    windows = decontaminate.Windows([("1", "one two three four five six seven eight nine ten eleven"), ("2", "red green")])
+    for _, buffer, begin, end, first, _, _ in decontaminate._words(pa.array(["one two three four five six seven eight nine ten twelve red green", "eleven red"])):
+        assert sorted(zip(*(x.tolist() for x in windows.find(buffer, begin, end, first)[1:]))) == [(0, 9), (11, 12)]
+
+
 def test_decontamination_odd(odd, none, spark):
     bench = spark.createDataFrame([(1, "cat sat on", "x"), (None, "the mat", "y")], "item_id long, text string, n_hit string")
     got = n_odd(decontaminate.digest(odd, bench))
