@@ -95,11 +95,11 @@ def test_language_without_labels(spark):
 
 
 # --- 2 ---------------------------------------------------------------------------------
-def brute_top(vectors, k=10):
-    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
+def brute_top(vectors, k=10, queries=None):
+    whole, asked = ({i: [int(np.floor(1024 * x)) for x in v] for i, v in given} for given in (vectors, queries or [(i, v) for i, v in vectors if i % 100 == 0]))
     out = []
-    for q in (i for i in whole if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
+    for q in asked:
+        best = sorted((-sum(a * b for a, b in zip(asked[q], v)), i) for i, v in whole.items() if i != q)[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -113,6 +113,29 @@ def test_top_k(spark, block):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(base)
 
 
+@pytest.mark.parametrize("block", [vector_search.BLOCK_BYTES, 640])
+def test_top_k_for_queries_outside(spark, block):
+    """Queries that are no candidates, or whose id has another vector there, and columns whose names clash."""
+    rng = np.random.default_rng(5)
+    make = lambda ids, size: [(i, (size * rng.normal(size=8) / 4).round(2).tolist()) for i in ids]
+    base, asked = make(range(1000), 1), make([*range(5000, 5050), *range(40, 60)], 3)
+    df, other = (spark.createDataFrame([(i, v, 7, "x", 0) for i, v in rows], "vec_id long, embedding array<double>, id int, v string, score int").repartition(4) for rows in (base, asked))
+    got = vector_search.search(df, other, block_bytes=block)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(base, queries=asked)
+
+
+def test_walk_prunes():
+    """In few dimensions a query meets few of a tree's nodes, and its result is still exact."""
+    rng = np.random.default_rng(6)
+    x = np.floor(1024 * rng.normal(size=(20_000, 2)))
+    tree = vector_search.Tree.build(np.arange(20_000), x)
+    block = vector_search.Block(np.arange(20_000, 20_050), np.floor(1024 * rng.normal(size=(50, 2))), 10)
+    met = block.search(next(vector_search.Tree.rows(tree.row())))
+    assert met < 50 * len(tree.left) / 5
+    for q, (scores, _) in zip(block.x, block.best):
+        assert scores.tolist() == np.sort(x @ q)[::-1][:10].tolist()
+
+
 def test_top_k_odd_vectors(spark):
     given = [(0, [1.0, 2.0]), (100, [1e300, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [3.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (200, [5.0]), (None, [1.0, 1.0]), (8, []), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(given, "vec_id long, embedding array<double>")
