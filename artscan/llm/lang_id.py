@@ -3,12 +3,15 @@
 A text's features are the shares of its hashed byte pairs and triples (letters
 lower-cased, other ASCII as blanks).  One linear support vector machine per
 language family, against all others, picks the family; within the family, one
-machine per pair of languages votes.  The machines are squared-hinge, fitted on
-the driver to a bounded sample: at most about ``per_lang`` texts for each of at
-most ``max_langs`` languages.  A prediction is a gather of weights and a sum
-over each whole text, with no shuffle.
-
-Null texts and texts without a letter give ``und`` with score 0, as does every
+machine per pair of languages votes.  Every language of the table is learned.
+The machines are squared-hinge, each fitted in a task of its own to a bounded
+sample: at most ``per_lang`` distinct texts of a language, less if there are so
+many languages that ``SAMPLE`` would be passed, but ``FEWEST`` at least.  A
+prediction is a gather of weights and a sum over each whole text, with no
+shuffle.
+
+A language's sample has its distinct texts of least hash (ties by the text), so
+repeated rows count once.  Null texts and texts without a letter give ``und`` with score 0, as does every
 text if nothing could be learned.  Each input row gives one output row, also
 for repeated rows and null ids.
 """
@@ -19,7 +22,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from artscan.llm import textkit
@@ -36,6 +39,8 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BINS = 4096
+#: Texts of the whole sample, and the fewest of one language.
+SAMPLE, FEWEST = 12_000, 32
 UNKNOWN = "und"
 
 _VALUE = np.full(256, 32, dtype=np.uint32)
@@ -79,8 +84,9 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 1
     steep = 2 * float(np.square(x).sum(axis=1) @ weight) + 2 + penalty
     look, look_bias, t = w.copy(), bias, 1.0
     for _ in range(rounds):
-        gap = np.maximum(0, 1 - y * (x @ look + look_bias)) * weight * y
-        new = look - (penalty * look - 2 * (gap @ x)) / steep
+        # Plain sums: the threads of matrix products would fight over the cores that other tasks use.
+        gap = np.maximum(0, 1 - y * (np.einsum("ij,j->i", x, look) + look_bias)) * weight * y
+        new = look - (penalty * look - 2 * np.einsum("i,ij->j", gap, x)) / steep
         new_bias = look_bias + 2 * float(gap.sum()) / steep
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look = new + (t - 1) / t_new * (new - w)
@@ -89,31 +95,57 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 1
     return w, bias
 
 
+class Sample:
+    """Shares of the sampled texts, sparse, with their languages."""
+
+    def __init__(self, rows: pa.Table):
+        self.langs = np.array(rows["lang"].to_pylist(), dtype=object)
+        bins = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in rows["bins"]]
+        self.cuts = np.concatenate(([0], np.cumsum([len(b) for b in bins], dtype=np.int64)))
+        self.bins = np.concatenate([np.zeros(0, dtype=np.uint16), *bins])
+        self.shares = np.concatenate([np.zeros(0, dtype=np.float32), *(np.frombuffer(x.as_buffer(), dtype=np.float32) for x in rows["shares"])])
+        mean = np.bincount(self.bins, weights=self.shares, minlength=BINS) / max(1, len(self.langs))
+        self.scale = (1 / np.sqrt(mean + 1e-5)).astype(np.float32)
+
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        """Scaled shares of some texts."""
+        x = np.zeros((len(rows), BINS), dtype=np.float32)
+        for i, r in enumerate(rows):
+            at = slice(self.cuts[r], self.cuts[r + 1])
+            x[i, self.bins[at]] = self.shares[at]
+        return x * self.scale
+
+
 class Model:
     """Families, their languages, and the machines as columns of one weight table."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, langs):
         names = sorted(set(langs))
         self.families = sorted({FAMILY_OF.get(n, n) for n in names})
         self.members = [[n for n in names if FAMILY_OF.get(n, n) == f] for f in self.families]
-        scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5) if len(x) else np.ones(BINS, dtype=np.float32)
-        scale = scale.astype(np.float32)
-        x *= scale
-        lang = np.array(langs)
-        family = np.array([self.families.index(FAMILY_OF.get(n, n)) for n in langs], dtype=int)
-        machines = []
-        if len(self.families) > 1:
-            machines = [fit_svm(x, np.where(family == f, 1, -1).astype(np.float32)) for f in range(len(self.families))]
+        #: What each machine tells apart: a family from all others, or two languages.
+        self.machines: list[tuple[str, str | None]] = [(f, None) for f in self.families] if len(self.families) > 1 else []
         self.pairs: list[list[tuple[int, int, int]]] = []
         for members in self.members:
             own = []
             for a, b in itertools.combinations(range(len(members)), 2):
-                rows = (lang == members[a]) | (lang == members[b])
-                own.append((a, b, len(machines)))
-                machines.append(fit_svm(x[rows], np.where(lang[rows] == members[a], 1, -1).astype(np.float32)))
+                own.append((a, b, len(self.machines)))
+                self.machines.append((members[a], members[b]))
             self.pairs.append(own)
-        self.weights = [(w * scale).astype(np.float32) for w, _ in machines]
-        self.biases = [b for _, b in machines]
+        self.weights: list[np.ndarray] = []
+        self.biases: list[float] = []
+
+    def fit(self, no: int, sample: Sample) -> tuple[np.ndarray, float]:
+        """Weights (for shares as they are) and bias of a machine."""
+        one, other = self.machines[no]
+        if other is None:
+            rows = np.arange(len(sample.langs))
+            mine = np.array([FAMILY_OF.get(x, x) == one for x in sample.langs])
+        else:
+            rows = np.flatnonzero((sample.langs == one) | (sample.langs == other))
+            mine = sample.langs[rows] == one
+        w, bias = fit_svm(sample.matrix(rows), np.where(mine, 1, -1).astype(np.float32))
+        return (w * sample.scale).astype(np.float32), float(bias)
 
     def margins(self, buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A row per machine, a column per text."""
@@ -146,15 +178,21 @@ class Model:
         return lang.tolist(), np.clip(score, 0, 1)
 
 
-def train(docs: DataFrame, per_lang: int = 800, max_langs: int = 100) -> Model:
+def train(docs: DataFrame, per_lang: int = 800) -> Model:
     """Learns from the bounded sample of rows outside the held-out fold."""
     usable = docs.filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    place = F.xxhash64(F.lit(17), "text")
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(place, 0.03).alias("n")).collect()
+    model = Model([r["lang"] for r in counts])
     if not counts:
-        return Model(np.zeros((0, BINS), dtype=np.float32), [])
-    share = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
-    drawn = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.filter(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+        return model
+    most = max(FEWEST, min(per_lang, SAMPLE // len(counts)))
+    # About twice the wanted texts pass by their hash; of these the first are taken.
+    share = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1.0, (2 * most + 50) / max(1, r["n"]))))])
+    drawn = F.pmod(place, F.lit(1 << 20)) / float(1 << 20)
+    passed = usable.filter(drawn < share[F.col("lang")]).select("lang", "text").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "text"))
+    chosen = passed.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "text")
 
     def features(batches):
         for batch in batches:
@@ -170,68 +208,24 @@ def train(docs: DataFrame, per_lang: int = 800, max_langs: int = 100) -> Model:
                 names=["lang", "bins", "shares"],
             )
 
-    rows = sample.mapInArrow(features, "lang string, bins binary, shares binary").toArrow()
+    rows = chosen.mapInArrow(features, "lang string, bins binary, shares binary").toArrow()
     rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names]))
-    x = np.zeros((len(rows), BINS), dtype=np.float32)
-    for i, (bins, shares) in enumerate(zip(rows["bins"], rows["shares"])):
-        x[i, np.frombuffer(bins.as_buffer(), dtype=np.uint16)] = np.frombuffer(shares.as_buffer(), dtype=np.float32)
-    return Model(x, rows["lang"].to_pylist())
-
-
-def predict(self, buffer: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
-        n = len(starts) - 1
-        margins = self.margins(buffer, starts)
-        sure = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -30, 30)))
-        n_families = len(self.families) if len(self.families) > 1 else 0
-        family = margins[:n_families].argmax(axis=0) if n_families else np.zeros(n, dtype=int)
-        score = sure(margins[:n_families].max(axis=0)) if n_families else np.ones(n)
-        lang = np.empty(n, dtype=object)
-        for f, members in enumerate(self.members):
-            rows = np.flatnonzero(family == f)
-            votes, belief = np.zeros((len(members), len(rows))), np.zeros((len(members), len(rows)))
-            for a, b, m in self.pairs[f]:
-                p = sure(margins[m, rows])
-                votes[a] += p >= 0.5
-                votes[b] += p < 0.5
-                belief[a] += p
-                belief[b] += 1 - p
-            best = (votes + belief / (len(members) + 1)).argmax(axis=0)
-            lang[rows] = np.array(members, dtype=object)[best]
-            if len(members) > 1:
-                score[rows] *= belief[best, np.arange(len(rows))] / (len(members) - 1)
-        return lang.tolist(), np.clip(score, 0, 1)
-
+    if not model.machines:
+        return model
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((model, Sample(rows)))
 
-def train(docs: DataFrame, per_lang: int = 800, max_langs: int = 100) -> Model:
-    """Learns from the bounded sample of rows outside the held-out fold."""
-    usable = docs.filter((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    if not counts:
-        return Model(np.zeros((0, BINS), dtype=np.float32), [])
-    share = F.create_map(*[v for r in counts for v in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
-    drawn = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.filter(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
-
-    def features(batches):
+    def fit(batches):
         for batch in batches:
-            x = _shares(batch.column("text"))
-            row, col = np.nonzero(x)
-            cuts = np.searchsorted(row, np.arange(len(x) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("lang").cast(pa.string()),
-                    pa.array([col[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                    pa.array([x[i, col[a:b]].tobytes() for i, (a, b) in enumerate(zip(cuts, cuts[1:]))], pa.binary()),
-                ],
-                names=["lang", "bins", "shares"],
-            )
-
-    rows = sample.mapInArrow(features, "lang string, bins binary, shares binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["bins"], r["shares"]))
-    x = np.zeros((len(rows), BINS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["bins"], dtype=np.uint16)] = np.frombuffer(r["shares"], dtype=np.float32)
-    return Model(x, [r["lang"] for r in rows])
+            for no in batch.column("id").to_pylist():
+                w, bias = sent.value[0].fit(no, sent.value[1])
+                yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["id", "weights", "bias"])
+
+    machines = spark.range(0, len(model.machines), 1, min(len(model.machines), 200))
+    fitted = sorted(machines.mapInArrow(fit, "id long, weights binary, bias double").collect(), key=lambda r: r["id"])
+    model.weights = [np.frombuffer(r["weights"], dtype=np.float32) for r in fitted]
+    model.biases = [r["bias"] for r in fitted]
+    return model
 
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

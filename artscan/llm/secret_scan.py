@@ -16,6 +16,8 @@ for repeated rows and null ids.  Other columns of the input are ignored.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,23 @@ def _holds(kind: str, match: Column, value: Column) -> Column:
     return F.lit(True)
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    """Whether a kind can occur at all, by plain parts of its pattern or by a run of characters that it needs."""
+    has = lambda *parts: functools.reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts])
+    if kind == "assign":
+        low = F.lower(text)
+        # Lower-casing keeps the ASCII letters of the names; what it makes of other letters can only add texts.
+        named = functools.reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in ("password", "passwd", "secret", "token", "api_key", "apikey")])
+        return has("=", ":") & named
+    if kind == "access":
+        return has("AKIA")
+    if kind == "url":
+        return has("http://", "https://")
+    if kind == "host":
+        return text.rlike("[0-9][.][0-9]")
+    return text.rlike("[A-Za-z0-9/+]{20}")
+
+
 def _matches(text: Column, no: int, kind: str) -> Column:
     """Array of the kind's matches: order, characters since the last one, length, and whether it holds."""
     pattern = KINDS[kind][2]
@@ -62,15 +81,12 @@ def _matches(text: Column, no: int, kind: str) -> Column:
         )
 
     none = F.array().cast("array<struct<no:int,i:int,gap:int,len:int,holds:boolean>>")
-    return F.when(text.rlike(pattern), F.transform(found, one)).otherwise(none)
+    return F.when(_may_hold(text, kind), F.transform(found, one)).otherwise(none)
 
 
 def has_candidate(text: Column) -> Column:
-    """Whether any pattern, strong or weak, occurs; null counts as no."""
-    any_kind = F.lit(False)
-    for _, _, pattern in KINDS.values():
-        any_kind = any_kind | text.rlike(pattern)
-    return F.coalesce(any_kind, F.lit(False))
+    """Whether anything can be reported: a strong part, or a weak identifier or key; null counts as no."""
+    return F.coalesce(_may_hold(text, "assign") | _may_hold(text, "access") | _may_hold(text, "key"), F.lit(False))
 
 
 def parts(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -137,27 +153,29 @@ def digest(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
-    """The documents with every reported span replaced by ``mask``.
+    """The documents with every reported span replaced by ``mask``; ``n_chars``, if there, follows the text.
 
-    Overlapping spans share one mask.  Texts without any candidate pass
-    through without a shuffle; only the others are joined with their spans, by
-    id and content, so that repeated ids keep their own texts.
+    Overlapping spans share one mask.  Texts in which nothing can be reported
+    pass by.  Of the others only spans are shuffled to be linked; they come back
+    to the texts by the id and a digest of the text, so that repeated ids keep
+    their own texts.  That join broadcasts the spans where they are small.
     """
-    key = F.sha2(F.col("text").cast("binary"), 256)
-    maybe = docs.filter(has_candidate(F.col("text")))
-    clean = docs.filter(~has_candidate(F.col("text")))
-    keyed = maybe.select(F.struct(F.col("doc_id"), key.alias("sha")).alias("doc_id"), "text").dropDuplicates(["doc_id"])
-    spans = scan(keyed, reach).filter(F.size("found") > 0).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.sha").alias("_sha"), F.col("found").alias("_spans"))
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    maybe = has_candidate(F.col("text"))
+    keyed = docs.filter(maybe).select(row, "doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    spans = scan(keyed.select(F.struct("doc_id", "sha").alias("doc_id"), "text"), reach).filter(F.size("found") > 0)
+    spans = spans.groupBy("doc_id").agg(F.first("found").alias("spans")).select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.sha").alias("of"), "spans")
     # Start of each kept stretch: the furthest end so far, if it lies before the next start.
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
         begin = x["start"]
-        more = F.when(begin < acc["at"], F.lit("")).otherwise(F.concat(F.substring(text, acc["at"].cast("int") + 1, (begin - acc["at"]).cast("int")), F.lit(mask)))
+        more = F.when(begin < acc["at"], F.array().cast("array<string>")).otherwise(F.array(F.substring(text, acc["at"].cast("int") + 1, (begin - acc["at"]).cast("int")), F.lit(mask)))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    joined = maybe.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_sha")), "left")
-    redacted = joined.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(masked)).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return clean.unionByName(redacted.select(*docs.columns))
+    masked = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("of")), "left")
+    new = joined.select("row", F.coalesce(F.when(F.col("spans").isNotNull(), masked), text).alias("new"))
+    put = {"text": F.col("new"), "n_chars": F.when(F.col("new") != F.col("row.text"), F.length("new").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return docs.filter(~maybe).unionByName(new.select(*[(put[c] if c in put else F.col("row").getField(c)).alias(c) for c in docs.columns]))

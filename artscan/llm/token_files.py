@@ -1,14 +1,16 @@
 """Token ids in files: frequency-ranked, byte-aligned variable length, control bytes apart.
 
 Texts are dealt by range of document id and sorted, so the files hold ids in
-ascending document order.  Each shard of up to ``SHARD`` ids stores the ranks
+ascending document order.  Each shard of about ``SHARD`` ids stores the ranks
 of its ids: a stream of two-bit lengths (four to a control byte) and a stream
 of one to four data bytes each.  Rank 0 is the commonest id of the corpus, so
 common ids take one byte.  Reading takes lengths from a table with one row per
 control byte and gathers all values with numpy.
 
-The shards are rows of a table in the shared folder, committed by Spark's
-writer, so a repeated task leaves no second copy; the rank table lies beside it.
+The files of one corpus are two tables in a folder, committed by Spark's writer,
+so a repeated task leaves no second copy: ``shards``, and ``ranks``, one row with
+the ids by rank, the end id, and the format's name.  Nothing else is needed to
+read them.
 
 Null texts count as empty and hold the end id alone.  Rows that repeat an id
 are documents of their own, ordered by a hash of the text; null ids come first.
@@ -17,18 +19,17 @@ from __future__ import annotations
 
 import functools
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from artscan.llm.pretokens import Encoder
 from artscan.llm.quality import summed
-from artscan.llm.shared import drop_kept, keep
+from artscan.llm.shared import drop_kept, keep, shared_dir
 
 SHARD = 1 << 20
 MAGIC = b"RVB1"
@@ -190,8 +191,9 @@ def _plain(row_width: int, ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, dtype=np.uint16 if row_width == 2 else np.uint32)
 
 
-def write(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """Writes the files; returns them (part, before, doc_ids, sizes, shard) and the ids by rank."""
+def write(docs: DataFrame, path: str, pattern: str, folder: str, end_id: int = 0) -> None:
+    """Writes the files to ``folder``, which must not exist."""
+    spark = docs.sparkSession
     shards = keep(_tokenised(docs, path, pattern, end_id))
     size = max(library(path, pattern).tokenizer.get_vocab_size(), end_id + 1)
 
@@ -213,13 +215,20 @@ def write(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> tuple[Da
                 packed = pack(rank_of[_plain(w, x.as_py())])
                 yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("part", "before", "doc_ids", "sizes")), pa.array([packed], pa.binary())], names=["part", "before", "doc_ids", "sizes", "shard"])
 
-    files = keep(shards.mapInArrow(encode, "part int, before long, doc_ids array<long>, sizes array<long>, shard binary"))
+    files = shards.mapInArrow(encode, "part int, before long, doc_ids array<long>, sizes array<long>, shard binary")
+    files.write.option("compression", "zstd").parquet(f"{folder}/shards")
+    ranks = spark.createDataFrame([(MAGIC.decode(), end_id, bytearray(by_rank.astype("<u4").tobytes()))], "format string, end_id long, ids_by_rank binary")
+    ranks.write.parquet(f"{folder}/ranks")
     drop_kept(shards)
-    return files, by_rank
 
 
-def read(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens and the checksum of the ids of every document in the files."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, and the ids (little-endian, 32 bits) of every document in the files."""
+    ranks = spark.read.parquet(f"{folder}/ranks").first()
+    if ranks["format"] != MAGIC.decode():
+        raise ValueError("not a folder of ranked ids")
+    by_rank = np.frombuffer(bytes(ranks["ids_by_rank"]), dtype="<u4")
+    files = spark.read.parquet(f"{folder}/shards")
     total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     parts = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum(total).alias("n")).collect())
     starts = dict(zip([p for p, _ in parts], np.cumsum([0] + [n for _, n in parts]).tolist()))
@@ -232,11 +241,14 @@ def read(files: DataFrame, by_rank: np.ndarray) -> DataFrame:
                 sizes = np.array(batch.column("sizes")[i].as_py(), dtype=np.int64)
                 end = np.cumsum(sizes)
                 begin = end - sizes
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(begin, end)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(begin + starts[parts[i]] + before[i]), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((4 * np.concatenate(([0], end))).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[i].values, pa.array(begin + starts[parts[i]] + before[i]), pa.array(sizes), raw], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> DataFrame:
-    return read(*write(docs, path, pattern, end_id))
+    """What the files say of each document: doc_id, start, n_tokens and the checksum of its ids."""
+    folder = shared_dir(docs.sparkSession)
+    write(docs, path, pattern, folder, end_id)
+    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
