@@ -1,4 +1,4 @@
-"""Corpus preparation in stages over ``documents``.
+"""Corpus preparation in stages over ``documents``; the stages are in ``artscan.llm.stages``.
 
 Each stage is written as Parquet and read again as the next one's input.  No
 part of it can be said in SQL as a whole (language identification learns a
@@ -6,71 +6,34 @@ model), so ``ORACLE_SQL`` is None and the tests hold it against brute force.
 """
 from __future__ import annotations
 
-import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import bpe_codec, decontaminate, lang_id, near_dup, secret_scan
-from artscan.llm.shared import keep, table
+from artscan.llm import stages
+from artscan.llm.shared import drop_kept, keep, table
 from artscan.session import prepare
 
 
-def _whole(docs: DataFrame) -> Column:
-    """All columns as one, so that none can clash with those that an operator adds."""
-    return F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: null ones and those without a letter."""
-    model = lang_id.train(docs)
-    if not model.families:  # nothing to learn from: only the texts themselves decide
-        return docs.filter(F.col("text").rlike("\\p{L}"))
-    labelled = lang_id.predict(docs.select(_whole(docs)), model, carry=("_row",), text="_row.text")
-    return labelled.filter(F.col("lang_pred") != lang_id.UNKNOWN).select("_row.*")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group of near copies (five words, similarity 0.8); rows without id stay."""
-    kept = near_dup.find(docs, words=5).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
-
-
-def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of the benchmark."""
-    marked = decontaminate.scan(docs.select(_whole(docs)), table(spark, sf_dir, "benchmark"), carry=("_row",), text="_row.text")
-    return marked.filter("n_hit = 0").select("_row.*")
-
-
-def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document and masks the secrets in its text."""
-    return secret_scan.redact(docs)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of the bytes decoded from them, and the ids."""
-    return bpe_codec.digest(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
-
-
 def _prepared(stage):
     return lambda spark, docs, sf_dir: stage(prepare(spark), docs, sf_dir)
 
 
 STAGES = [
-    ("language_id", _prepared(language)),
-    ("near_dup", _prepared(near_duplicates)),
-    ("decontaminate", _prepared(benchmark_free)),
-    ("secret_scan", _prepared(without_secrets)),
-    ("byte_bpe", _prepared(tokens)),
+    ("language_id", _prepared(stages.language)),
+    ("near_dup", _prepared(stages.near_duplicates)),
+    ("decontaminate", _prepared(stages.benchmark_free)),
+    ("secret_scan", _prepared(stages.without_secrets)),
+    ("byte_bpe", _prepared(stages.tokens)),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage before it is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; every stage before it is written and read again, and goes when the next is there."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
+        drop_kept(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
