@@ -1,4 +1,5 @@
 import corpus_pipeline
+from artscan.llm import stages
 from artscan.llm.shared import keep
 from tests.llm import brute
 from tests.llm.conftest import SF
@@ -38,8 +39,26 @@ def test_stages_against_plain_versions(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, "en", "s", 0), (2, "", None, None, 0), (3, "le chat est sur la table et il dort bien", "fr", "s", 9), (3, "le chat est sur la table et il dort bien", "fr", "s", 9), (None, "le chat dort", "fr", "s", 9)]
+    rows = [
+        (1, None, "en", "s", 0), (2, "", None, None, 0), (3, "le chat est sur la table et il dort bien", "fr", "s", 9), (3, "le chat est sur la table et il dort bien", "fr", "s", 9),
+        (3, "der hund liegt unter dem tisch und bellt laut", "de", "s", 9), (4, "les chats dorment bien", None, "t", 7), (None, "le chat dort", "fr", "s", 9),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         docs = keep(stage(spark, docs, SF))
-    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["3", "None"]
+        if not i:  # the prediction stands where no language was given
+            assert {r["doc_id"]: r["lang"] for r in docs.collect()}[4] in ("fr", "de") and docs.filter("lang IS NULL").count() == 0
+    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["3", "3", "4", "None"]
+
+
+def test_texts_in_no_language_go(spark):
+    words = {"en": "the cat sat on the mat and ran off", "fr": "le chat est sur la table et dort", "de": "der hund liegt unter dem tisch"}
+    docs = spark.createDataFrame([(i, f"{words[k]} {i}", k) for i in range(60) for k in [list(words)[i % 3]]], "doc_id long, text string, lang string")
+    assert stages.language(spark, docs, SF).count() == 60 and stages.language(spark, docs, SF, least=1.1).count() == 0
+
+
+def test_of_repeated_rows_the_choice_is_defined(spark):
+    rows = [(1, "one two three four five six", "b", 1), (1, "one two three four five six", "a", 2), (1, "other words", "c", 3), (2, "one two three four five six", "d", 4), (3, None, "e", 5), (3, "", "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = sorted((r["doc_id"], r["text"] or "", r["source"]) for r in stages.near_duplicates(spark, docs, SF).collect())
+    assert got == [(1, "one two three four five six", "a"), (1, "other words", "c"), (3, "", "e"), (3, "", "f")]
