@@ -12,7 +12,8 @@ and all words choose against the class bigrams of the round before.  Only words
 that occur once, and unseen ones, stay in the class of their shape.  A token's
 probability is the smoothed class transition times the emission of the word by
 its class, (c + 1) / (C + V + 1) with the class's tokens C and distinct words V,
-so unseen words have a place in each class.
+so unseen words have a place in each class.  A text's perplexity is 10 to the
+power of its negative score a token.
 
 Words have two homes.  Counts and classes of the commonest, at most ``HEAD``,
 are broadcast (a fixed size); they are most tokens.  The rest lie in a table
@@ -316,13 +317,15 @@ class Model:
     def __init__(self, docs: DataFrame, counts: DataFrame, clustered: int, classes: int, whole: DataFrame | None = None):
         level = F.floor(F.log2("n") * 16)
         levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
-        least, room = None, HEAD
+        room, common = HEAD, F.col("word") == F.lit(int(END))
         for value, n in levels:
-            if n > room:
+            # Of a level that is too large as a whole, the share of words (by hash) that there is room for.
+            share = min(1.0, 0.95 * room / n)
+            below = F.col("word") < F.lit(int((2 * share - 1) * (1 << 63))) if n > room else F.lit(True)
+            common, room = common | ((level == F.lit(value)) & below), room - n
+            if room <= 0:
                 break
-            least, room = value, room - n
-        common = F.col("word") == F.lit(int(END))
-        found = counts.filter(common if least is None else common | (level >= F.lit(least))).toArrow()
+        found = counts.filter(common).toArrow()
         word, n, shape = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["shape"].to_numpy()
         order = np.argsort(word)
         self.head = head = Head(word[order], n[order])
@@ -443,7 +446,7 @@ def _filled(batch, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     training = docs.filter(fold("doc_id", 7) != 2).select("text")
     model = Model(training, count_words(training), clustered, classes, docs.withColumn("training", fold("doc_id", 7) != 2))
     transition, room, end, kind = model.transition, model.room, model.head.end, _kind(model.n_classes)
@@ -462,4 +465,5 @@ def score(docs: DataFrame, clustered: int = CLUSTERED, classes: int = CLASSES) -
     return scored.select(
         "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(model.base_room)).alias("base_score"), (F.col("logs") + F.col("classed")).alias("score"),
+        F.pow(F.lit(10.0), -(F.col("logs") + F.col("classed")) / F.col("n_tokens")).alias("perplexity"),
     )

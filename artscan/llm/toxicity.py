@@ -11,9 +11,10 @@ of words, with the strongest word and the sum of strong evidence beside it, as
 a few words make a long text toxic.  A logistic curve fitted on a separate part
 of the sample, weighted to the true share of toxic texts, gives the score.
 
-Models are learned from at most about ``per_class`` labelled texts of each
-class outside the held-out fold.  The label sample, bounded by that, is
-broadcast; texts are never shuffled.
+Models are learned from at most about ``per_class`` labelled documents of each
+class outside the held-out fold; different texts under one id count each, rows
+that repeat a text once.  The label sample, bounded by that, is broadcast; of
+the texts only those of the sample are shuffled.
 
 Null and empty texts score what the curve gives for no evidence.  Each input
 row gives one output row, also for repeated rows and null ids.  A document with
@@ -155,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     share = F.when(F.col("y") == 1, min(1.0, per_class / sizes.get(1, per_class))).otherwise(min(1.0, per_class / sizes.get(0, per_class)))
     drawn = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     for_curve = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(3)) == 0
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.filter(drawn < share).select("doc_id", "y", for_curve.alias("for_curve"))), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(known.filter(drawn < share).select("doc_id", "y", for_curve.alias("for_curve"))), "doc_id").distinct()
 
     def count(batches):
         for batch in batches:

@@ -340,6 +340,46 @@ def test_scores(spark, module, label, least, odd, none):
     assert module.score(none, few).count() == 0
 
 
+def test_smoothed_models_equal_plain_ones():
+    """Log-ratios of words, of unknown words by stem, and of others, from the definitions with dictionaries."""
+    import collections
+    import math
+
+    given = [("the cat abcdefgh abcdefxy abcdzz cat", 0), ("the dog abcdefgh idiot", 1), ("idiot idiotic the", 1), ("the the abcd", 0)]
+    words = sorted({w for t, _ in given for w in t.split()})
+    n = [collections.Counter(w for t, y in given for w in t.split() if y == c) for c in (0, 1)]
+    stem, root, d = (lambda w: w[:6]), (lambda w: w[:4]), toxicity.DISCOUNT
+    stems, roots = {stem(w) for w in words}, {root(w) for w in words}
+
+    def models(w):
+        out = []
+        for c in (0, 1):
+            tokens, types = sum(n[c].values()), len(n[c])
+            seen_stems = {stem(x) for x in n[c]}
+            seen_roots = {root(x) for x in n[c]}
+            pooled = (len({s for s in stems if root(s) == root(w)}) + 1) / (len(stems) + len(roots) + 1)
+            p_root = max(len({s for s in seen_stems if root(s) == root(w)}) - d, 0) / len(seen_stems) + d * len(seen_roots) / len(seen_stems) * pooled
+            p_stem = max(len({x for x in n[c] if stem(x) == stem(w)}) - d, 0) / types + d * len(seen_stems) / types * p_root / max(1, len({s for s in stems if root(s) == root(w)}))
+            out.append((max(n[c][w] - d, 0) / tokens + d * types / tokens * p_stem / max(1, len({x for x in words if stem(x) == stem(w)})), d * types / tokens * p_stem, d * types / tokens * d * len(seen_stems) / types * p_root))
+        return [math.log(b / a) for a, b in zip(*out)]
+
+    hashes = [next(toxicity._words(pa.array([" ".join(words)])))[i] for i in (2, 3, 4)]
+    m = toxicity.Model(*hashes, np.array([[n[0][w], n[1][w]] for w in words]))
+    look = lambda w: float(m.ratios(*next(toxicity._words(pa.array([w])))[2:])[0])
+    for w in words:
+        assert abs(look(w) - models(w)[0]) < 1e-9
+    assert abs(look("abcdefnew") - models("abcdefnew")[1]) < 1e-9 and abs(look("abcdqq") - models("abcdqq")[2]) < 1e-9 and look("qqqq") == m.unknown
+
+
+def test_repeated_rows_are_learned_once(spark):
+    rows = [(i, f"{'idiot fool' if i % 2 else 'kind words'} number {i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    make = lambda r: rows_of(toxicity.score(spark.createDataFrame(r, "doc_id long, text string"), labels))
+    rows_of = lambda df: {r["doc_id"]: r["score"] for r in df.collect()}
+    one, many = make(rows), make(rows + [r for r in rows if r[0] % 4 == 1] * 30)
+    assert all(abs(one[i] - many[i]) < 1e-9 for i in one)
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([0, 3, 1, 4]), np.array([2, 4, 2, 4])).tolist() == [0, 4 / 6, 4 / 6, 1]
 
@@ -460,6 +500,57 @@ def test_class_model(tables, head, monkeypatch):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+@pytest.mark.parametrize("head", [1 << 16, 60])
+def test_scores_equal_a_plain_class_model(tables, head, monkeypatch):
+    """Given the learned classes, transitions, emissions, scores and perplexity follow from their definitions."""
+    import collections
+    import math
+
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    learned = {}
+    whole = class_lm.Model.__init__
+    monkeypatch.setattr(class_lm.Model, "__init__", lambda self, *a, **k: (whole(self, *a, **k), learned.update(model=self))[0])
+    docs = tables("documents").limit(120)
+    given = texts(docs)
+    got = rows(class_lm.score(docs, clustered=40, classes=6))
+    m = learned["model"]
+    of = {np.uint64(r["word"] % (1 << 64)): r["class"] for r in m.table.collect()}
+    tokens = {}
+    for i, t in given:
+        _, h, shape, _ = next(class_lm._tokens(pa.array([t or ""])))
+        tokens[i] = [(w, of.get(w, m.head.first_shape + s) if w != class_lm.END else m.head.end) for w, s in zip(h, shape)]
+    count, size, kinds, pairs = collections.Counter(), collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for i, seq in tokens.items():
+        before = m.head.end
+        for w, c in seq if brute.fold(i, 7) != 2 else ():
+            count[w] += 1
+            size[c] += 1
+            kinds[c].add(w)
+            pairs[before, c] += 1
+            before = c
+    total, k = sum(pairs.values()), m.n_classes
+    into, after, follow = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, b), n in pairs.items():
+        into[b] += n
+        after[a] += n
+        follow[a] += 1
+    for i, seq in tokens.items():
+        before, log = m.head.end, 0.0
+        for w, c in seq:
+            alone = (into[c] + 0.5) / (total + 0.5 * k)
+            p = (pairs[before, c] + follow[before] * alone) / (after[before] + follow[before]) if after[before] else alone
+            log += math.log10(p) + math.log10((count[w] + 1) / (size[c] + len(kinds[c]) + 1))
+            before = c
+        assert abs(got[i]["score"] - log) < 1e-6 * max(1, len(seq)) ** 0.5 and math.isclose(got[i]["perplexity"], 10 ** (-got[i]["score"] / len(seq)), rel_tol=1e-9)
+
+
+def test_commonest_words_of_one_level_fill_the_head(spark, monkeypatch):
+    monkeypatch.setattr(class_lm, "HEAD", 40)
+    training = keep(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(200))) for i in range(3)], "doc_id long, text string"))
+    m = class_lm.Model(training, class_lm.count_words(training), 8, 2)
+    assert 10 < len(m.head.words) <= 60
+
+
 def test_class_model_is_a_distribution(spark):
     """Known words and one unseen word in each class share at most the whole probability."""
     docs = spark.createDataFrame([(i, "a b c dd ee ff a b") for i in range(8)], "doc_id long, text string")
