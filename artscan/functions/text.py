@@ -46,10 +46,10 @@ def looks_like_base64(s: Column) -> Column:
 
 def entropy(s: Column) -> Column:
     """Shannon entropy of a text's characters, in bits; 0 for an empty text."""
-    chars = F.split(s, "")
-    counts = F.map_values(F.aggregate(chars, F.create_map().cast("map<string,int>"), lambda m, c: F.map_concat(F.map_filter(m, lambda k, _: k != c), F.create_map(c, F.coalesce(F.try_element_at(m, c), F.lit(0)) + 1))))
     n = F.length(s).cast("double")
-    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n))).otherwise(0.0)
+    # How often a character occurs is what the text loses without it.
+    share = F.transform(F.array_distinct(F.filter(F.split(s, ""), lambda c: c != "")), lambda c: (n - F.length(F.replace(s, c, F.lit("")))) / n)
+    return F.when(n > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
 def url_host(url: Column) -> Column:

@@ -3,7 +3,8 @@
 One Arrow pass per class emits all that later operators need, so the bytes are
 read once and never shuffled.  Everything is bounded by the class itself.  A
 class that is no class gives no row; one whose code ends inside a switch table
-gives a row with ``error``.
+gives a row with ``error``, as does one with a method that can't be analysed
+(``FAILED``), which keeps what its other methods give.
 """
 from __future__ import annotations
 
@@ -23,6 +24,8 @@ UTF8, INTEGER, FLOAT, LONG, DOUBLE, CLASS, STRING, FIELD, METHOD, IMETHOD, NAMET
 #: Bytes of a constant by its tag; UTF8 has its own length.
 CONSTANT_SIZE = {INTEGER: 4, FLOAT: 4, LONG: 8, DOUBLE: 8, CLASS: 2, STRING: 2, FIELD: 4, METHOD: 4, IMETHOD: 4, NAMETYPE: 4, HANDLE: 3, MTYPE: 2, INDY: 4}
 INVOKES = {182: "invokevirtual", 183: "invokespecial", 184: "invokestatic", 185: "invokeinterface", 186: "invokedynamic"}
+#: How the error of a class begins whose method could not be analysed.
+FAILED = "analysis failed"
 MAX_SWITCH = 65_536
 MAX_ELEMENTS = 5000
 PLAUSIBLE = re.compile(r"[\x20-\x7E\t\n\r]+\Z")
@@ -376,12 +379,16 @@ def parse(data: bytes) -> dict | None:
             continue
         try:
             m = Method(method, i, code, pool, bootstraps)
+            switches, hidden = list(m.switches()), list(m.hidden())
         except TruncatedSwitch:
             row["error"] = "code ends inside a switch"
             break
+        except Exception as error:  # noqa: BLE001 - one method must not end the scan of all others
+            row["error"] = f"{FAILED}: {type(error).__name__} in {method}"
+            continue
         row["invokes"] += [{"method": method, "method_idx": i, "offset": o, "opcode": op, "owner": a, "name": n, "descriptor": d} for o, op, a, n, d in m.calls]
-        row["switches"] += [{"method": method, "offset": o, "targets": t, "gotos": g, "back": b} for o, t, g, b in m.switches()]
-        row["recon"] += [{"method": method, "offset": o, "value": v.encode("utf-8", "replace").decode(), "technique": t} for o, v, t in m.hidden()]
+        row["switches"] += [{"method": method, "offset": o, "targets": t, "gotos": g, "back": b} for o, t, g, b in switches]
+        row["recon"] += [{"method": method, "offset": o, "value": v.encode("utf-8", "replace").decode(), "technique": t} for o, v, t in hidden]
     return row
 
 

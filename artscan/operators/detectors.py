@@ -5,13 +5,17 @@ once: no join, no shuffle, one read of the classes.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from artscan.functions import decode
 from artscan.functions import signatures as sig
 from artscan.functions import text as fn
-from artscan.schemas import CRITICAL, HIGH, INFO, LOW, MEDIUM, context
+from artscan.operators import classfile
+from artscan.schemas import CRITICAL, HIGH, INFO, LOW, MEDIUM, context, evidence
 
 _TYPE = "struct<detector_id:string,severity:int,method_name:string,offset:int,description:string,matched_value:string,context:map<string,string>>"
 _NONE = f"array<{_TYPE}>"
@@ -204,16 +208,39 @@ def trace_evidence() -> Column:
     return F.transform(rebuilt, lambda r: _row("string_reconstruction", severity(r), F.concat(F.lit("Reconstructed string: "), F.left(r["value"], F.lit(80))), F.left(r["value"], F.lit(200)), context(technique=r["technique"]), r["method"], r["offset"]))
 
 
-def class_evidence(classes: DataFrame) -> DataFrame:
-    """Evidence of all classes that could be read, in a defined order."""
-    ready = resolved(classes.filter("error IS NULL"))
+@functools.lru_cache(maxsize=4)
+def _rows(application: str) -> Column:
+    """All rows of a class, as one expression; it is large, so an application builds it once."""
     path = F.concat("level_path", F.lit("!/"), "name")
     placed = lambda rows: F.transform(rows, lambda e: e.withField("context", F.map_concat(e["context"], context(archive_path=path))))
     marked = lambda rows: F.transform(rows, lambda e: e.withField("context", F.map_concat(e["context"], context(reconstructed="1"))))
     values = F.filter(F.transform("recon", lambda r: r["value"]), lambda s: s != "")
-    rows = F.concat(
+    return F.concat(
         placed(F.concat(call_evidence(), string_evidence(F.col("utf8"), False), shape_evidence(), mixin_evidence())),
         marked(string_evidence(values, True)), trace_evidence(),
     )
-    out = ready.select("artifact_id", "class_name", "ordinal", F.posexplode(rows).alias("i", "e"))
-    return out.select("artifact_id", "class_name", "e.*", F.array(F.col("ordinal"), F.col("i")).cast("array<bigint>").alias("seq"))
+
+
+#: Further detectors, in order: each takes the classes (see ``schemas.CLASSES``) and gives evidence rows with ``seq``.
+Detector = Callable[[DataFrame], DataFrame]
+
+
+def failures(classes: DataFrame) -> DataFrame:
+    """One row for each class with a method that could not be analysed."""
+    path = F.concat("level_path", F.lit("!/"), "name")
+    text = F.concat(F.lit("Detector class_analysis failed on "), path, F.lit(": "), "error")
+    failed = classes.filter(F.startswith("error", F.lit(classfile.FAILED))).withColumn("seq", F.array("ordinal").cast("array<bigint>"))
+    return evidence(failed, "class_analysis", MEDIUM, text, F.lit(""), context(archive_path=path, detector_error="1"))
+
+
+def class_evidence(classes: DataFrame, more: tuple[Detector, ...] = ()) -> DataFrame:
+    """Evidence of all classes, in a defined order; a class that could not be analysed as a whole gives one row more.
+
+    ``more`` are detectors of the caller's own.
+    """
+    ready = resolved(classes.filter(F.col("error").isNull() | F.startswith("error", F.lit(classfile.FAILED))))
+    out = ready.select("artifact_id", "class_name", "ordinal", F.posexplode(_rows(classes.sparkSession.sparkContext.applicationId)).alias("i", "e"))
+    out = out.select("artifact_id", "class_name", "e.*", F.array(F.col("ordinal"), F.col("i")).cast("array<bigint>").alias("seq"))
+    for found in [failures(classes), *(d(ready) for d in more)]:
+        out = out.unionByName(found.select(*out.columns))
+    return out

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from re import _constants, _parser
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from artscan.functions.text import decoded
@@ -51,18 +53,50 @@ class Packs:
         return [r for rules in self.rules.values() for r in rules]
 
 
+def translated(value: str) -> str | None:
+    """A pattern in the JVM's dialect with the meaning it has in Python's; None if there is none.
+
+    Named groups become plain ones, letters fold and character classes count
+    beyond ASCII as they do there.
+    """
+    try:
+        names = re.compile(value).groupindex
+    except re.error:
+        return None
+    out = re.sub(r"\(\?P<\w+>", "(", value)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"(?:\\{names[m[1]]})", out)
+    out = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
+    wide = re.search(r"\\[wWdDsSbB]", out)
+    out = f"(?iu{'U' if wide else ''}){out}"
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        try:
+            session._jvm.java.util.regex.Pattern.compile(out)
+        except Py4JJavaError:
+            return None
+    return out
+
+
+def needed(value: str) -> str:
+    """The longest run of plain characters without case that every match of a pattern holds, or none."""
+    best, now = "", ""
+    for kind, argument in _parser.parse(value):
+        c = chr(argument) if kind is _constants.LITERAL else ""
+        if c and c.isascii() and not c.isalpha():
+            now += c
+        else:
+            now = ""
+        best = max(best, now, key=len)
+    return best
+
+
 def usable(pattern: Pattern) -> bool:
-    """Whether a pattern can match at all: compiles, and is no risk for time."""
+    """Whether a pattern can match at all: compiles, in the JVM as well, and is no risk for time."""
     if pattern.kind == "regex":
-        if RISKY.search(pattern.value):
-            return False
-        try:
-            re.compile(pattern.value)
-        except re.error:
-            return False
+        return not RISKY.search(pattern.value) and translated(pattern.value) is not None
     if pattern.kind == "hex":
         return re.fullmatch(r"(?:[0-9a-fA-F]{2})+", pattern.value.replace(" ", "")) is not None
-    return pattern.kind in ("literal", "regex", "hex")
+    return pattern.kind == "literal"
 
 
 def pattern_values(pattern: Pattern, text: Column, data: Column) -> Column:
@@ -75,9 +109,10 @@ def pattern_values(pattern: Pattern, text: Column, data: Column) -> Column:
     if pattern.kind == "hex":
         digits = pattern.value.replace(" ", "").lower()
         return F.when(F.contains(data, F.unhex(F.lit(digits))), F.array(F.lit(digits))).otherwise(none)
-    groups = re.compile(pattern.value).groups
-    found = F.regexp_extract_all(F.substring(text, 1, REGEX_CHARS), F.lit("(?i)" + pattern.value), F.lit(1 if groups else 0))
-    return F.coalesce(found, none)
+    groups, part = re.compile(pattern.value).groups, needed(pattern.value)
+    found = F.coalesce(F.regexp_extract_all(F.substring(text, 1, REGEX_CHARS), F.lit(translated(pattern.value)), F.lit(1 if groups else 0)), none)
+    # Texts without a part that every match holds are not searched.
+    return F.when(F.contains(text, F.lit(part)), found).otherwise(none) if part else found
 
 
 def chunked(entries: DataFrame) -> DataFrame:

@@ -51,19 +51,19 @@ def gate(artifacts: DataFrame, excluded: tuple[str, ...] = (), good: DataFrame |
     return rest, done.select("artifact_id", "sha256", F.lit(CLEAN).alias("verdict"), F.lit(1.0).alias("confidence"), "why")
 
 
-def archive_findings(archives: DataFrame, packs: list[Rule], max_depth: int = archive.MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def archive_findings(archives: DataFrame, packs: list[Rule], max_depth: int = archive.MAX_DEPTH, more: tuple[detectors.Detector, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Findings, ids of archives that can't be read, manifests, and rebuilt strings of archives."""
     rows = keep(archive.explode(archives, max_depth))
     found = rows.filter("kind = 'entry'")
     classes = keep(classfile.classes(found))
     plain = found.filter(~F.startswith(F.col("data"), F.lit(classfile.MAGIC)))
     bad = entries.bad_json(plain.filter("NOT nested"))
-    broken_class = classes.filter("error IS NOT NULL").join(rows.select("artifact_id", "ordinal", "depth").distinct(), ["artifact_id", "ordinal"])
+    broken_class = classes.filter(~F.startswith("error", F.lit(classfile.FAILED))).join(rows.select("artifact_id", "ordinal", "depth").distinct(), ["artifact_id", "ordinal"])
     at_fault = bad.select("artifact_id", "level_path", "depth", "ordinal").unionByName(broken_class.select("artifact_id", "level_path", "depth", "ordinal"))
     unreadable = rows.filter("kind = 'error'").select("artifact_id").unionByName(at_fault.filter("depth = 0").select("artifact_id")).distinct()
     inner = at_fault.filter("depth > 0").select("artifact_id", "level_path", F.array("ordinal").cast("array<bigint>").alias("seq")).dropDuplicates(["artifact_id", "level_path"])
     parts = [
-        detectors.class_evidence(classes), entries.resource_evidence(plain), entries.mixin_config_evidence(plain), entries.coremod_evidence(plain),
+        detectors.class_evidence(classes, more), entries.resource_evidence(plain), entries.mixin_config_evidence(plain), entries.coremod_evidence(plain),
         rules.scan(found, packs), entries.broken_evidence(rows), entries.undeclared_evidence(found), entries.unsigned_evidence(found), entries.class_path_evidence(plain),
         evidence(inner, "archive", MEDIUM, F.concat(F.lit("Nested archive cannot be read: "), "level_path"), F.col("level_path")),
     ]
@@ -77,11 +77,11 @@ def archive_findings(archives: DataFrame, packs: list[Rule], max_depth: int = ar
     return ev, unreadable, entries.manifests(plain), rebuilt
 
 
-def scan(artifacts: DataFrame, packs: list[Rule], excluded: tuple[str, ...] = (), good: DataFrame | None = None, max_depth: int = archive.MAX_DEPTH) -> Scan:
-    """Findings and one verdict per artifact (artifact_id, path, content)."""
+def scan(artifacts: DataFrame, packs: list[Rule], excluded: tuple[str, ...] = (), good: DataFrame | None = None, max_depth: int = archive.MAX_DEPTH, more: tuple[detectors.Detector, ...] = ()) -> Scan:
+    """Findings and one verdict per artifact (artifact_id, path, content); ``more`` are further detectors of classes."""
     rest, passed = gate(artifacts, excluded, good)
     archives = rest.filter(F.col("path").rlike(ARCHIVE_SUFFIX))
-    found, unreadable, manifests, rebuilt = archive_findings(archives, packs, max_depth)
+    found, unreadable, manifests, rebuilt = archive_findings(archives, packs, max_depth, more)
     found = keep(found)
     texts = rest.withColumn("name", _named()).withColumnRenamed("content", "data").withColumn("text", fn.decoded(F.col("data")))
     single = keep(scripts.script_evidence(texts.filter(F.col("path").rlike(SCRIPT_SUFFIX))).unionByName(scripts.config_evidence(texts.filter(F.col("path").rlike(CONFIG_SUFFIX)))))

@@ -28,6 +28,8 @@ from artscan.sources import archive, files
 
 PENDING, COMPLETED, FAILED = "PENDING", "COMPLETED", "FAILED"
 MAX_RUNNING, MAX_EVENTS, MAX_FINISHED = 2, 500, 50
+#: Levels of nesting that a job follows; the command line follows fewer.
+MAX_DEPTH = 50
 
 
 class Busy(Exception):
@@ -86,7 +88,7 @@ class Service:
         try:
             self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", job.job_id)
             found = files.read(self.spark, job.roots)
-            result = scan(found, self.packs.all(), good=self.good)
+            result = scan(found, self.packs.all(), good=self.good, max_depth=MAX_DEPTH)
             job.findings, job.verdicts = keep(result.findings), result.verdicts
             total = job.verdicts.count()
             for n, r in enumerate(job.verdicts.orderBy("artifact_id").toLocalIterator(), 1):

@@ -200,3 +200,35 @@ def test_rule_proposal_matches_its_samples(spark):
     rule = rulegen.as_rule(rulegen.propose(kept, "fam", condition="any"))
     assert rule.patterns == (Pattern("literal", "https://evil.test/x"),) and rule.rule_id.startswith("fam_")
     assert isinstance(rule, Rule)
+
+
+def test_a_method_that_cannot_be_analysed_gives_a_row(spark, monkeypatch):
+    """One failing method leaves the rest of the archive's evidence alone; own detectors add theirs."""
+    from artscan.operators import detectors
+    from artscan.plans import samples
+    from artscan.schemas import evidence
+
+    call = lambda a: a.call("java/lang/Runtime", "exec", "(Ljava/lang/String;)Ljava/lang/Process;", 182)
+    a = samples.Assembler("m/C")
+    a.methods += [("bad", a.push(1) + samples.RETURN), ("run", call(a) * 2 + samples.RETURN)]
+    whole = classfile.Method.hidden
+    monkeypatch.setattr(classfile.Method, "hidden", lambda self: 1 / 0 if self.name == "bad" else whole(self))
+    row = classfile.parse(a.build())
+    assert row["error"] == "analysis failed: ZeroDivisionError in bad" and [v["name"] for v in row["invokes"]] == ["exec", "exec"]
+    own = {"artifact_id": "a", "level": 0, "level_path": "a.jar", "ordinal": 1, "name": "C.class"} | row
+    classes = spark.createDataFrame([own], "artifact_id string, level int, level_path string, ordinal int, name string, " + classfile.CLASSES)
+    more = lambda c: evidence(c.withColumn("seq", F.array(F.lit(9))), "own", 1, "found", F.col("class_name"))
+    got = [(r["detector_id"], r["matched_value"]) for r in detectors.class_evidence(classes, (more,)).orderBy("detector_id").collect()]
+    assert got == [("class_analysis", "")] + [("d01", "java/lang/Runtime.exec(Ljava/lang/String;)Ljava/lang/Process;")] * 2 + [("own", "m/C")]
+
+
+def test_regexes_mean_what_they_mean_in_packs(spark):
+    from artscan.operators import rules
+
+    texts = ["abcabc CAFÉ", "x@y.example z", "no", None, "straße ", "é9"]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "k string, i int, text string").fillna("")
+    given = [r"(?P<first_part>abc)(?P=first_part)", "café", r"[a-z]{1,9}@[a-z]{1,9}[.]example", "(?<=a", r"\w9\Z", "[a-z", "a++b(?<n_x>c)"]
+    own = [Rule("p", str(n), "f", "LOW", "d", (Pattern("regex", v),)) for n, v in enumerate(given)]
+    got = {(r["entry_order"], r["rule_id"]): list(r["values"]) for r in rules.matches(df, own, ["k"], "i").collect()}
+    assert got == {(0, "0"): ["abc"], (0, "1"): ["CAFÉ"], (1, "2"): ["x@y.example"], (5, "4"): ["é9"]}
+    assert [rules.needed(v) for v in ("a.b", "[a-z]+://x", "(?:a|@)", "x{2}--y")] == ["", "://", "", "--"]
