@@ -17,12 +17,25 @@ def to_values(data: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
 
 
+#: Bytes that are XORed at once: as many as fit a long without its sign.
+PIECE = 7
+
+
 def xor_bytes(data: Column, key: bytes) -> Column:
-    """Bytes under a repeating key; an empty key gives no bytes."""
+    """Bytes under a repeating key, by pieces of seven bytes as one number each; an empty key gives no bytes.
+
+    The key's pieces repeat after as many pieces as it has bytes, so they are
+    constants; the last, shorter piece of the data takes the key's first bytes.
+    """
     if not key:
         return F.lit(b"")
-    keys = F.array(*[F.lit(b) for b in key])
-    return to_bytes(F.transform(to_values(data), lambda v, i: v.bitwiseXOR(F.element_at(keys, (i % len(key) + 1).cast("int")))))
+    keys = F.array(*[F.lit(int.from_bytes((key * (PIECE + 1))[PIECE * i % len(key) :][:PIECE], "big")) for i in range(len(key))])
+
+    def one(piece: Column, i: Column) -> Column:
+        under = F.call_function("shiftright", F.get(keys, (i % len(key)).cast("int")), 8 * PIECE - 4 * F.length(piece))
+        return F.lpad(F.hex(F.conv(piece, 16, 10).cast("long").bitwiseXOR(under)), F.length(piece), "0")
+
+    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(F.hex(data), F.lit(f"(.{{1,{2 * PIECE}}})"), F.lit(1)), one), ""))
 
 
 def aes_ecb(data: Column, key: Column) -> Column:
@@ -68,6 +81,10 @@ def base64_text(s: Column) -> Column:
 
 
 def reversed_builders(source: Column) -> Column:
-    """Literals that a builder reverses in source text, put right again."""
-    found = F.regexp_extract_all(source, F.lit(r'new\s+StringBuilder\s*\(\s*"([^"]*)"\s*\)\s*\.\s*reverse\s*\(\s*\)'), F.lit(1))
-    return F.transform(found, lambda s: F.reverse(s))
+    """Literals that builders in source text reverse, put right again, then pairs of literals that one joins."""
+    reverse = r'new\s+StringBuilder\s*\(\s*"([^"]*)"\s*\)\s*\.\s*reverse\s*\(\s*\)\s*\.\s*toString\s*\(\s*\)'
+    literal = r'\s*\.\s*append\s*\(\s*"([^"]*)"\s*\)'
+    pairs = r"new\s+StringBuilder\s*\(\s*\)" + literal + literal
+    turned = F.transform(F.regexp_extract_all(source, F.lit(reverse), F.lit(1)), lambda s: F.reverse(s))
+    halves = [F.regexp_extract_all(source, F.lit(pairs), F.lit(i)) for i in (1, 2)]
+    return F.concat(turned, F.zip_with(*halves, lambda a, b: F.concat(a, b)))

@@ -1,6 +1,10 @@
 """Evidence from entries that are no classes: resources, configs, manifests, signatures."""
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,26 +130,54 @@ def unsigned_evidence(entries: DataFrame) -> DataFrame:
     return evidence(hit, "d14", HIGH, text, F.col("entry"), context(signature_file=F.col("sf")), class_name=F.col("entry"))
 
 
+def _plugin(text: str | None) -> str | None:
+    """The fields of a plugin's YAML as JSON; an empty object for what is no mapping, and no value for nested ones."""
+    if text is None:
+        return None
+    try:
+        given = yaml.safe_load(text)
+    except (yaml.YAMLError, ValueError, RecursionError):
+        given = None
+    if not isinstance(given, dict):
+        return "{}"
+    plain = lambda v: not isinstance(v, (dict, list, set, bytes))
+    out: dict = {k: str(given[k]) for k in ("name", "version", "main") if k in given and plain(given[k])}
+    authors, commands = given.get("authors"), given.get("commands")
+    out["authors"] = [str(a) for a in authors if plain(a)] if isinstance(authors, list) else [authors] if isinstance(authors, str) else []
+    out["commands"] = [str(k) for k in commands] if isinstance(commands, dict) else []
+    return json.dumps(out)
+
+
+def plugin_json(text: Column) -> Column:
+    """Plugin manifests from YAML to JSON, a batch at a time; null stays null."""
+
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(_plugin, na_action="ignore")
+
+    return convert(text)
+
+
 def manifests(entries: DataFrame) -> DataFrame:
     """One row per archive with a manifest: loader, ids, people, and the inner archives it declares.
 
     Of several manifests the first in precedence speaks; declared archives of the
-    bundling format always count.  ``plugin.yml`` is read for its plain keys.
+    bundling format always count.  Commands of a plugin are its entry points.
     """
     named = entries.filter((F.col("depth") == 0) & (F.col("name").isin(*PRECEDENCE, JARJAR) | F.endswith("name", F.lit("mods.toml"))))
-    named = named.withColumn("text", fn.decoded(F.col("data"))).withColumn("doc", F.try_parse_json("text"))
+    named = named.withColumn("text", fn.decoded(F.col("data")))
+    named = named.withColumn("doc", F.try_parse_json(F.coalesce(plugin_json(F.when(F.col("name") == "plugin.yml", F.col("text"))), F.col("text"))))
     rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in PRECEDENCE]), F.col("name")), F.lit(0))
     rank = F.when(F.col("name") == JARJAR, 99).when(rank == 0, 5).otherwise(rank)
     get = lambda path, kind="string": F.try_variant_get("doc", path, kind)
     none = F.array().cast("array<string>")
     mod = lambda field: F.coalesce(get(f"$.modList[0].{field}"), get(f"$.mods[0].{field}"))
     toml = lambda key: F.when(F.regexp_extract("text", key, 1) != "", F.regexp_extract("text", key, 1))
-    yml = lambda key: F.when(F.regexp_extract("text", rf"(?m)^{key}:\s*['\"]?([^'\"\r\n#]+)", 1) != "", F.trim(F.regexp_extract("text", rf"(?m)^{key}:\s*['\"]?([^'\"\r\n#]+)", 1)))
     text = F.col("text")
     by = {
         "fabric.mod.json": (F.lit("fabric"), get("$.id"), get("$.name"), F.coalesce(get("$.version"), F.lit("unknown")), F.lit(None)),
         "mcmod.info": (F.lit("forge"), mod("modid"), mod("name"), F.coalesce(mod("version"), F.lit("unknown")), F.lit(None)),
-        "plugin.yml": (F.lit("bukkit"), F.lit(None), F.coalesce(yml("name"), F.lit("")), F.coalesce(yml("version"), F.lit("unknown")), F.coalesce(yml("main"), F.lit(""))),
+        "plugin.yml": (F.lit("bukkit"), F.lit(None), F.coalesce(get("$.name"), F.lit("")), F.coalesce(get("$.version"), F.lit("unknown")), F.coalesce(get("$.main"), F.lit(""))),
         MANIFEST: (
             F.when(header(text, "FMLModType").isNotNull(), "forge").when(header(text, "Main-Class").isNotNull(), "vanilla").otherwise("unknown"), F.lit(None),
             header(text, "Implementation-Title"), F.coalesce(header(text, "Implementation-Version"), F.lit("unknown")), header(text, "Main-Class"),
@@ -164,11 +196,11 @@ def manifests(entries: DataFrame) -> DataFrame:
     declared = F.when(F.col("name") == "fabric.mod.json", F.concat(pick("$.file"), plain)).when(F.col("name") == JARJAR, F.concat(pick("$.identifier.path"), pick("$.path"))).otherwise(none)
     listed = lambda path: F.coalesce(get(path, "array<string>"), F.when(get(path).isNotNull(), F.array(get(path))), none)
     starts = F.flatten(F.map_values(F.coalesce(get("$.entrypoints", "map<string,array<variant>>"), F.create_map().cast("map<string,array<variant>>"))))
-    people = F.when(F.col("name") == "mcmod.info", F.coalesce(*[get(f"$.{top}[0].{field}", "array<string>") for top in ("modList", "mods") for field in ("authorList", "authors")], none)).when(F.col("name") == "fabric.mod.json", listed("$.authors")).otherwise(none)
+    people = F.when(F.col("name") == "mcmod.info", F.coalesce(*[get(f"$.{top}[0].{field}", "array<string>") for top in ("modList", "mods") for field in ("authorList", "authors")], none)).when(F.col("name").isin("fabric.mod.json", "plugin.yml"), listed("$.authors")).otherwise(none)
     fabric = lambda c: F.when(F.col("name") == "fabric.mod.json", c).otherwise(none)
     cols += [
         people.alias("authors"),
-        fabric(F.array_compact(F.transform(starts, lambda e: F.coalesce(F.try_variant_get(e, "$.value", "string"), F.try_variant_get(e, "$", "string"))))).alias("entrypoints"),
+        F.when(F.col("name") == "plugin.yml", listed("$.commands")).otherwise(fabric(F.array_compact(F.transform(starts, lambda e: F.coalesce(F.try_variant_get(e, "$.value", "string"), F.try_variant_get(e, "$", "string")))))).alias("entrypoints"),
         fabric(F.coalesce(F.map_keys(get("$.depends", "map<string,variant>")), none)).alias("dependencies"),
         fabric(F.coalesce(get("$.mixins", "array<string>"), none)).alias("mixins"),
     ]

@@ -91,7 +91,9 @@ class Service:
             result = scan(found, self.packs.all(), good=self.good, max_depth=MAX_DEPTH)
             job.findings, job.verdicts = keep(result.findings), result.verdicts
             total = job.verdicts.count()
-            for n, r in enumerate(job.verdicts.orderBy("artifact_id").toLocalIterator(), 1):
+            # The log holds MAX_EVENTS events, so only the last of that many verdicts reach the driver.
+            last = job.verdicts.orderBy(F.desc("artifact_id")).limit(MAX_EVENTS).collect()[::-1]
+            for n, r in enumerate(last, total - len(last) + 1):
                 self._emit(job, type="verdict", path=r["artifact_id"], verdict=r["verdict"], confidence=r["confidence"], progress=n / total)
             job.completed_at = datetime.now(UTC).isoformat()
             if self.history:

@@ -53,11 +53,22 @@ def test_round_trips_take_whole_texts(spark, monkeypatch, tmp_path, name, decode
 def test_decoders(spark):
     df = spark.createDataFrame([([104, 105, -1],)], "a array<int>").select(
         decode.to_bytes(F.col("a")).alias("b"), decode.base64_text(F.lit("aGk=")).alias("t"), decode.base64_text(F.lit("/w==")).alias("none"),
-        decode.reversed_builders(F.lit('x = new StringBuilder("cba").reverse().toString()')).alias("r"), fn.entropy(F.lit("aabb")).alias("e"), fn.entropy(F.lit("")).alias("z"),
+        decode.reversed_builders(F.lit('x = new StringBuilder("cba").reverse().toString() + new StringBuilder().append("d").append("e")')).alias("r"), fn.entropy(F.lit("aabb")).alias("e"), fn.entropy(F.lit("")).alias("z"),
         decode.without_padding(F.lit(b"ab\x02\x02")).alias("p"), decode.without_padding(F.lit(b"ab\x03\x02")).alias("q"),
     )
     r = df.first()
-    assert (bytes(r["b"]), r["t"], r["none"], r["r"], r["e"], r["z"], bytes(r["p"]), bytes(r["q"])) == (b"hi\xff", "hi", None, ["abc"], 1.0, 0.0, b"ab", b"ab\x03\x02")
+    assert (bytes(r["b"]), r["t"], r["none"], r["r"], r["e"], r["z"], bytes(r["p"]), bytes(r["q"])) == (b"hi\xff", "hi", None, ["abc", "de"], 1.0, 0.0, b"ab", b"ab\x03\x02")
+
+
+@pytest.mark.parametrize("key", [b"k", b"key", b"sevenby", b"eight by", b"\xff\x00\x80", b"a much longer key of 32 bytes...", b""])
+def test_xor_bytes(spark, key):
+    """Every length around a piece, all byte values, and null, against plain arithmetic."""
+    given = [bytes(range(256)), *(b"\x80\xff\x00\x01" * n for n in range(1, 6)), *(b"q" * n for n in range(23)), b""]
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(given)] + [(-1, None)], "i int, d binary")
+    got = {r["i"]: r["x"] for r in df.select("i", decode.xor_bytes(F.col("d"), key).alias("x")).collect()}
+    if key:
+        assert got.pop(-1) is None
+    assert all(bytes(got[i]) == (bytes(b ^ key[n % len(key)] for n, b in enumerate(d)) if key else b"") for i, d in enumerate(given))
 
 
 def test_box_cipher(spark):

@@ -162,16 +162,17 @@ def test_manifests(spark):
     given = {
         "fabric": {"fabric.mod.json": fabric, "mcmod.info": '{"modList":[{"modid":"no"}]}', "META-INF/jarjar/metadata.json": '{"jars":[{"identifier":{"path":"j.jar"}}]}'},
         "mcmod": {"mcmod.info": '{"modList":[{"modid":"m","name":"M","authorList":["y"]}]}', "META-INF/MANIFEST.MF": "Main-Class: no\n"},
-        "plugin": {"plugin.yml": "name: P\nmain: com.x.Main\nversion: '1.2'\n"}, "plain": {"META-INF/MANIFEST.MF": "Main-Class: a.\n B\nImplementation-Version: 3\n"},
+        "plugin": {"plugin.yml": "name: \"P # 'q'\"\nmain: >-\n  com.x.Main\nversion: 1.20\nauthors: [x, 'y']\ncommands:\n  go: {name: other}\n"}, "bad": {"plugin.yml": "a: [b"}, "plain": {"META-INF/MANIFEST.MF": "Main-Class: a.\n B\nImplementation-Version: 3\n"},
         "toml": {"META-INF/mods.toml": 'modId="t"\ndisplayName = "T"\nversion="4"'}, "none": {"a.txt": ""},
     }
     df = spark.createDataFrame([(k, k, 0, bytearray(jar(v))) for k, v in given.items()], "artifact_id string, path string, length long, content binary")
     rows = archive.explode(df).filter("kind = 'entry'")
     got = {r["artifact_id"]: r for r in entries.manifests(rows).collect()}
     assert {k: (r["loader"], r["mod_id"], r["mod_name"], r["version"], r["main_class"]) for k, r in got.items()} == {
-        "fabric": ("fabric", "f", "F", "unknown", None), "mcmod": ("forge", "m", "M", "unknown", None), "plugin": ("bukkit", None, "P", "1.2", "com.x.Main"),
+        "fabric": ("fabric", "f", "F", "unknown", None), "mcmod": ("forge", "m", "M", "unknown", None), "plugin": ("bukkit", None, "P # 'q'", "1.2", "com.x.Main"), "bad": ("bukkit", None, "", "unknown", ""),
         "plain": ("vanilla", None, None, "3", "a.B"), "toml": ("forge", "t", "T", "4", None),
     }
+    assert (got["plugin"]["authors"], got["plugin"]["entrypoints"], got["bad"]["authors"]) == (["x", "y"], ["go"], [])
     f = got["fabric"]
     assert (f["authors"], sorted(f["entrypoints"]), f["dependencies"], f["mixins"], sorted(f["declared"])) == (["x"], ["a.B", "c.D"], ["q"], ["m.json"], ["j.jar", "p.jar"]) and got["mcmod"]["authors"] == ["y"]
     assert [r["artifact_id"] for r in entries.with_main_class(rows).orderBy("artifact_id").collect()] == ["mcmod", "plain"]
