@@ -50,11 +50,14 @@ def aes_ecb(data: Column, key: Column) -> Column:
 
 
 def without_padding(data: Column) -> Column:
-    """Bytes without a padding tail, if they end in one."""
-    values = to_values(data)
-    last = F.element_at(values, -1)
-    padded = (last >= 1) & (last <= 16) & (F.size(values) >= last) & F.forall(F.slice(values, -F.least(last, F.size(values)), F.least(last, F.size(values))), lambda v: v == last)
-    return F.when(F.octet_length(data) == 0, data).when(padded, F.substring(data, F.lit(1), F.octet_length(data) - last)).otherwise(data)
+    """Bytes without a padding tail, if they end in one.
+
+    ``data`` is named several times: give a column, not the expression that makes it.
+    """
+    tail = F.hex(F.substring(data, F.lit(-1), F.lit(1)))
+    n = F.conv(tail, 16, 10).cast("int")
+    padded = n.between(1, 16) & (F.octet_length(data) >= n) & (F.hex(F.substring(data, -n, n)) == F.repeat(tail, n))
+    return F.when(padded, F.substring(data, F.lit(1), F.octet_length(data) - n)).otherwise(data)
 
 
 def box_cipher(first: Column, second: Column, k1: Column, k2: Column) -> Column:

@@ -188,17 +188,24 @@ def mixin_evidence() -> Column:
 
 
 def resolved(classes: DataFrame) -> DataFrame:
-    """Classes whose enciphered candidates are tried: those with plausible text stay, as strings."""
+    """Classes whose enciphered candidates are tried: those with plausible text stay, as strings.
 
-    def of(r: Column) -> Column:
-        key, sealed = F.try_to_binary(F.split_part(r["value"], F.lit(":"), F.lit(1)), F.lit("hex")), F.try_to_binary(F.split_part(r["value"], F.lit(":"), F.lit(2)), F.lit("hex"))
-        text = F.try_validate_utf8(decode.without_padding(decode.aes_ecb(sealed, key)).cast("string"))
+    Each step is a pass of its own over the array, so that its result is a
+    variable of the next; in one expression every mention would decipher again.
+    """
+    sealed = lambda r: F.when(r["technique"] == "aes_candidate", r["value"])
+    part = lambda v, i: F.try_to_binary(F.split_part(v, F.lit(":"), F.lit(i)), F.lit("hex"))
+    parts = F.transform("recon", lambda r: F.struct(r.alias("r"), part(sealed(r), 1).alias("key"), part(sealed(r), 2).alias("data")))
+    opened = F.transform(parts, lambda x: F.struct(x["r"].alias("r"), decode.aes_ecb(x["data"], x["key"]).alias("data")))
+    texts = F.transform(opened, lambda x: F.struct(x["r"].alias("r"), F.try_validate_utf8(decode.without_padding(x["data"]).cast("string")).alias("text")))
+
+    def of(x: Column) -> Column:
+        r, text = x["r"], x["text"]
         good = F.struct(r["method"].alias("method"), r["offset"].alias("offset"), text.alias("value"), F.lit("aes_embedded_key").alias("technique"))
         return F.when(r["technique"] != "aes_candidate", r).when(fn.plausible_text(text), good)
 
-    tried = F.array_compact(F.transform("recon", of))
     has = F.exists("recon", lambda r: r["technique"] == "aes_candidate")
-    return classes.withColumn("recon", F.when(has, tried).otherwise(F.col("recon")))
+    return classes.withColumn("recon", F.when(has, F.array_compact(F.transform(texts, of))).otherwise(F.col("recon")))
 
 
 def trace_evidence() -> Column:
