@@ -4,11 +4,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from artscan.llm import bpe_codec, class_lm, decontaminate, lang_id, near_dup, oracles, quality, secret_scan, token_files, toxicity, vector_search
+from artscan.llm import bpe_codec, class_lm, conversation_repair, decontaminate, lang_id, near_dup, oracles, quality, resampling, secret_scan, token_files, toxicity, url_filter, vector_search
 from artscan.llm.shared import table
 
 CALLS: dict = {}
-ORACLES: dict[str, str] = {"op2_exact_topk": oracles.TOP_K, "op3_secret_scan": oracles.SECRETS, "op6_near_dup": oracles.NEAR_DUPLICATES, "op7_decontaminate": oracles.CONTAMINATION}
+ORACLES: dict[str, str] = {"op2_exact_topk": oracles.TOP_K, "op3_secret_scan": oracles.SECRETS, "op6_near_dup": oracles.NEAR_DUPLICATES, "op7_decontaminate": oracles.CONTAMINATION, "op11_resampling": oracles.RESAMPLING, "op12_conversation_repair": oracles.CONVERSATIONS, "op13_url_filter": oracles.URLS}
 
 
 def query(name: str):
@@ -70,6 +70,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(table(spark, sf_dir, "documents"))
 
 
+@query("op11_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_url_filter")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.decide(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return dict(CALLS)
 
