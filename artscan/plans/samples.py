@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from artscan.session import BATCH_BYTES
+
 RETURN, DUP, NEWARRAY = b"\xb1", b"\x59", 188
 #: Element code of an array and the instruction that stores into it.
 BYTES, CHARS, INTS = (8, 84), (5, 85), (10, 79)
@@ -139,12 +141,27 @@ def jar(entries: dict[str, bytes | str], stored: bool = True) -> bytes:
 
 
 def packed(rows: DataFrame, key: Column, make: Callable[[dict], bytes]) -> DataFrame:
-    """artifact_id, path, length and content: an archive for each row."""
+    """artifact_id, path, length and content: an archive for each row.
+
+    A row of a few bytes becomes an archive of up to megabytes, so rows are dealt
+    out before that, and the archives are handed on in batches of bounded size.
+    """
 
     def run(batches):
-        for batch in batches:
-            made = [make(r) for r in batch.to_pylist()]
-            paths = batch.column("_path")
-            yield pa.RecordBatch.from_arrays([paths, paths, pa.array([len(m) for m in made], pa.int64()), pa.array(made, pa.binary())], names=["artifact_id", "path", "length", "content"])
+        def batch_of(held):
+            paths = pa.array([p for p, _ in held], pa.string())
+            return pa.RecordBatch.from_arrays([paths, paths, pa.array([len(m) for _, m in held], pa.int64()), pa.array([m for _, m in held], pa.binary())], names=["artifact_id", "path", "length", "content"])
 
+        for batch in batches:
+            held, size = [], 0
+            for r in batch.to_pylist():
+                held.append((r["_path"], make(r)))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if held:
+                yield batch_of(held)
+
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return rows.withColumn("_path", F.concat(F.lit("/m/"), key.cast("string"), F.lit(".jar"))).mapInArrow(run, "artifact_id string, path string, length long, content binary")
