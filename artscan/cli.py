@@ -8,8 +8,8 @@ from pathlib import Path
 
 from artscan.operators import rulegen
 from artscan.plans.scan import sample_features, scan
-from artscan.session import local_session, prepare
-from artscan.sinks import reports, stores
+from artscan.session import keep, local_session, prepare
+from artscan.sinks import documents, reports, stores
 from artscan.sources import files, packs
 
 
@@ -59,13 +59,13 @@ def main(argv: list[str] | None = None) -> int:
     audit.log_verdicts(result.verdicts.toLocalIterator())
     malicious = settings.quarantine_malicious if a.quarantine is None else a.quarantine
     moved = stores.Quarantine(Path(settings.quarantine_dir).expanduser(), malicious, settings.quarantine_suspicious).apply(result.verdicts, audit)
-    report = reports.document(result.findings, result.verdicts, roots)
-    stores.History(home / "history", settings.history_max_entries).record(report)
-    print(reports.to_console(report, [p for p, o in moved.items() if o == stores.FAILED], settings.date_format, settings.time_format))
+    findings = keep(result.findings)
+    head = stores.History(home / "history", settings.history_max_entries).record_scan(findings, result.verdicts, roots)
+    for line in documents.console(findings, result.verdicts, head, [p for p, o in moved.items() if o == stores.FAILED], date_format=settings.date_format, time_format=settings.time_format):
+        print(line)
     if a.report:
         form = Path(a.report).suffix
-        text = reports.to_html(report) if form == ".html" else reports.to_json(reports.sarif(report) if form == ".sarif" else report)
-        Path(a.report).write_text(text)
+        documents.save(form if form in documents.FORMS else ".json", findings, result.verdicts, head, a.report)
     return reports.exit_code(result.verdicts, a.fail_on)
 
 

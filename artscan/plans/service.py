@@ -97,7 +97,7 @@ class Service:
                 self._emit(job, type="verdict", path=r["artifact_id"], verdict=r["verdict"], confidence=r["confidence"], progress=n / total)
             job.completed_at = datetime.now(UTC).isoformat()
             if self.history:
-                self.history.record(reports.document(job.findings, job.verdicts, job.roots, job.job_id))
+                self.history.record_scan(job.findings, job.verdicts, job.roots, job.job_id)
             job.status = COMPLETED
         except Exception as error:  # the job fails, the service goes on
             job.status, job.error, job.completed_at = FAILED, f"{type(error).__name__}: {error}", datetime.now(UTC).isoformat()

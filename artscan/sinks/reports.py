@@ -1,9 +1,9 @@
 """Reports of a scan: nested JSON, SARIF, HTML and console.
 
 Findings are enriched, ranked and nested by Spark; JSON is written by Spark's
-writer, one line per file, so its size does not matter.  The other forms and
-``document`` are for people and hold one report on the driver, read through an
-iterator.
+writer, one line per file, so its size does not matter.  ``documents`` writes
+whole documents of any size from the executors; what is here beside the lines
+holds one report as a Python object, for callers that look into a small one.
 """
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ from artscan.sinks.enrichment import FIELDS, context_for, enrich
 LEVELS = {"INFO": "note", "LOW": "note", "MEDIUM": "warning", "HIGH": "error", "CRITICAL": "error"}
 SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/cs01/schemas/sarif-schema-2.1.0.json"
 TOOL = "artscan"
+#: Schema of the lines that ``write_lines`` writes.
+FILES = (
+    "file_path string, sha256 string, verdict string, confidence double, findings array<struct<detector_id:string,severity:string,description:string,file_path:string,"
+    "class_name:string,method_name:string,matched_value:string,context:map<string,string>,mitre_id:string,mitre_name:string,plain_language:string,recommended_action:string>>"
+)
 
 
 def files(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -53,6 +58,11 @@ def header(roots: list[str], scan_id: str | None = None) -> dict:
     return {"scan_id": scan_id or str(uuid.uuid4()), "timestamp": datetime.now(UTC).isoformat(), "hostname": platform.node(), "os_name": platform.system(), "scanned_roots": roots}
 
 
+def summarised(verdicts: DataFrame, roots: list[str], scan_id: str | None = None) -> dict:
+    """A report without its files."""
+    return header(roots, scan_id) | {"summary": summary(verdicts).first().asDict()}
+
+
 def rows(findings: DataFrame, verdicts: DataFrame) -> Iterator[dict]:
     """File reports in order of path, one at a time."""
     nested = files(findings, verdicts)
@@ -61,7 +71,7 @@ def rows(findings: DataFrame, verdicts: DataFrame) -> Iterator[dict]:
 
 
 def document(findings: DataFrame, verdicts: DataFrame, roots: list[str], scan_id: str | None = None) -> dict:
-    return header(roots, scan_id) | {"summary": summary(verdicts).first().asDict(), "files": list(rows(findings, verdicts))}
+    return summarised(verdicts, roots, scan_id) | {"files": list(rows(findings, verdicts))}
 
 
 def to_json(report: dict) -> str:

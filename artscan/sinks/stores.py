@@ -16,6 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from artscan.sinks import reports
+
 VERSION = "1"
 SHA256 = re.compile(r"[a-f0-9]{64}\Z")
 SUCCESS, ALREADY, MISSING, FAILED = "success", "already_quarantined", "source_missing", "failed"
@@ -69,12 +71,30 @@ class AuditLog:
 
 
 class History:
-    """One report file per scan and an index, the newest kept."""
+    """An index of scans with a report each, the newest kept.
+
+    ``record_scan`` has Spark write the file reports to a table and keeps only
+    the summary and its path; ``record`` keeps a small report as a file.
+    """
 
     def __init__(self, folder: str | Path, most: int = 50):
         self.folder, self.most = Path(folder), most
         self.index = self.folder / "index.json"
 
+    def record_scan(self, findings: DataFrame, verdicts: DataFrame, roots: list[str], scan_id: str | None = None) -> dict:
+        """The report's header and summary; its files lie in ``spark.checkpoint.dir``, or beside the index where that is unset."""
+        head = reports.summarised(verdicts, roots, scan_id)
+        top = findings.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{self.folder.resolve()}/reports"
+        path = f"{top.rstrip('/')}/history-{head['scan_id']}"
+        reports.write_lines(findings, verdicts, path)
+        self._add(head, files=path)
+        return head
+
+    def files(self, spark: SparkSession, scan_id: str) -> DataFrame | None:
+        """The file reports of a scan that ``record_scan`` kept."""
+        path = next((e["files"] for e in self._read() if e.get("scan_id") == scan_id and e.get("files")), None)
+        return spark.read.schema(reports.FILES).json(path) if path else None
+
     def _report(self, scan_id: str) -> Path:
         return self.folder / "reports" / f"{scan_id}.json"
 
@@ -93,12 +113,22 @@ class History:
         path = self._report(report["scan_id"])
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(json.dumps(report, indent=2))
-        entry = {"scan_id": report["scan_id"], "timestamp": report["timestamp"], "roots": report["scanned_roots"], "summary": report["summary"]}
+        self._add(report)
+
+    def _add(self, report: dict, **more) -> None:
+        entry = {"scan_id": report["scan_id"], "timestamp": report["timestamp"], "roots": report["scanned_roots"], "summary": report["summary"]} | more
         entries = sorted([e for e in self._read() if e.get("scan_id") != report["scan_id"]] + [entry], key=lambda e: e["timestamp"])
         for old in entries[: -self.most]:
-            self._report(old["scan_id"]).unlink(missing_ok=True)
+            self._drop(old)
         self._write(entries[-self.most :])
 
+    def _drop(self, entry: dict) -> None:
+        self._report(entry["scan_id"]).unlink(missing_ok=True)
+        spark = SparkSession.getActiveSession()
+        if entry.get("files") and spark:
+            path = spark._jvm.org.apache.hadoop.fs.Path(entry["files"])
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def list(self) -> list[dict]:
         return sorted(self._read(), key=lambda e: e.get("timestamp", ""), reverse=True)
 
@@ -106,7 +136,7 @@ class History:
         try:
             return json.loads(self._report(scan_id).read_text())
         except (OSError, ValueError):
-            return None
+            return next((e for e in self._read() if e.get("scan_id") == scan_id and e.get("files")), None)
 
     def delete(self, scan_id: str) -> bool:
         entries = self._read()
@@ -114,13 +144,13 @@ class History:
         if len(left) == len(entries):
             return False
         self._write(left)
-        self._report(scan_id).unlink(missing_ok=True)
+        self._drop(next(e for e in entries if e.get("scan_id") == scan_id))
         return True
 
     def purge(self) -> int:
         entries = self._read()
         for e in entries:
-            self._report(e["scan_id"]).unlink(missing_ok=True)
+            self._drop(e)
         self._write([])
         return len(entries)
 
