@@ -38,6 +38,16 @@ def xor_bytes(data: Column, key: bytes) -> Column:
     return F.unhex(F.array_join(F.transform(F.regexp_extract_all(F.hex(data), F.lit(f"(.{{1,{2 * PIECE}}})"), F.lit(1)), one), ""))
 
 
+def xor_under(data: Column, key: Column) -> Column:
+    """Bytes under a repeating key that is a column of hexadecimal digits; by pieces of seven bytes, too."""
+    digits = F.hex(data)
+    n = F.length(digits)
+    along = F.substring(F.repeat(key, F.ceil(n / F.length(key)).cast("int")), F.lit(1), n)
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f"(.{{1,{2 * PIECE}}})"), F.lit(1))
+    number = lambda c: F.conv(c, 16, 10).cast("long")
+    return F.unhex(F.array_join(F.zip_with(cut(digits), cut(along), lambda a, b: F.lpad(F.hex(number(a).bitwiseXOR(number(b))), F.length(a), "0")), ""))
+
+
 def aes_ecb(data: Column, key: Column) -> Column:
     """Whole blocks deciphered without padding; null if lengths do not fit.
 

@@ -1,23 +1,26 @@
 """Compiled classes as rows: names, strings, calls, dispatch switches, hidden strings.
 
-One Arrow pass per class emits all that later operators need, so the bytes are
-read once and never shuffled.  Everything is bounded by the class itself.  A
+One Arrow pass reads the class format, so the bytes are read once and never
+shuffled: constants, calls, array literals and jumps come out as arrays.  What
+they mean (dispatchers, strings that are built or enciphered) is worked out by
+column expressions in ``reconstruct``.  Everything is bounded by the class
+itself.  A
 class that is no class gives no row; one whose code ends inside a switch table
 gives a row with ``error``, as does one with a method that can't be analysed
 (``FAILED``), which keeps what its other methods give.
 """
 from __future__ import annotations
 
-import base64
-import re
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from artscan.functions import signatures as sig
-from artscan.schemas import CLASSES
+from artscan.operators import reconstruct
+from artscan.schemas import CLASSES, PARTS
 
 MAGIC = b"\xca\xfe\xba\xbe"
 UTF8, INTEGER, FLOAT, LONG, DOUBLE, CLASS, STRING, FIELD, METHOD, IMETHOD, NAMETYPE, HANDLE, MTYPE, INDY = 1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 18
@@ -28,9 +31,6 @@ INVOKES = {182: "invokevirtual", 183: "invokespecial", 184: "invokestatic", 185:
 FAILED = "analysis failed"
 MAX_SWITCH = 65_536
 MAX_ELEMENTS = 5000
-PLAUSIBLE = re.compile(r"[\x20-\x7E\t\n\r]+\Z")
-ORDINARY = re.compile(r"[A-Za-z0-9 ./:_\-]")
-BASE64 = re.compile(r"[A-Za-z0-9+/]+={0,2}\Z")
 #: Store instruction and value mask by the element code of an array: char, byte, int.
 STORES = {5: (85, 0xFFFF), 8: (84, 0xFF), 10: (79, 0xFFFFFFFF)}
 BOX_CALL = "([I[III)Ljava/lang/String;"
@@ -183,10 +183,6 @@ def _bootstraps(body: bytes) -> list[list[int]]:
     return out
 
 
-def plausible(s: str) -> bool:
-    return len(s) >= 4 and PLAUSIBLE.match(s) is not None and len(ORDINARY.findall(s)) / len(s) >= 0.85
-
-
 class Method:
     """One method's instructions and what can be read from them."""
 
@@ -240,87 +236,38 @@ class Method:
         texts = ((o, pool.literal(v) or pool.text.get(v, "")) for o, op, v in self.code if op in (18, 19))
         return [(o, s) for o, s in texts if s]
 
-    def switches(self) -> Iterator[tuple[int, int, int, int]]:
-        """(offset, targets, gotos, jumps back) of switches that look like the dispatcher of a flattened method."""
+    def switches(self) -> list[dict]:
+        """Every switch with the method's jumps: how many there are, how many lead back to it, and the opcodes before it."""
         gotos = [(o, o + v) for o, op, v in self.code if op == 167]
+        out = []
         for offset, op, targets in self.code:
-            if op not in (170, 171) or targets < sig.DISPATCH_TARGETS or len(gotos) < sig.GOTO_RATIO * targets:
-                continue
-            springs = {o for o, to in gotos if to <= offset}
-            back = sum(to <= offset or to in springs for _, to in gotos)
-            before = [p for o, p, _ in self.code if o < offset][-sig.LOOP_WINDOW :]
-            if back >= sig.BACK_FRACTION * len(gotos) and not any(p in sig.LOOP_OPCODES for p in before):
-                yield offset, targets, len(gotos), back
-
-    def hidden(self) -> Iterator[tuple[int, str, str]]:
-        """(offset, value, technique) of the strings the method builds or loads."""
-        own = self.arrays(8)
-        for offset, values in own:
-            text = _strict(bytes(values))
-            if text is not None and plausible(text):
-                yield offset, text, "byte_array_string"
-        for offset, values in self.arrays(5):
-            if len(values) > 1:
-                yield offset, "".join(map(chr, values)), "char_array_string"
-        yield from self._boxed()
-        owners = {owner for _, _, owner, _, _ in self.calls}
-        if "java/util/Base64" in owners:
-            for offset, s in self.loaded():
-                if len(s) >= 8 and len(s) % 4 == 0 and BASE64.match(s):
-                    try:
-                        text = _strict(base64.b64decode(s, validate=True))
-                    except ValueError:
-                        text = None
-                    if text and text != s:
-                        yield offset, text, "base64_string"
-        yield from self._xored(own)
-        if "javax/crypto/spec/SecretKeySpec" in owners and any(o == "javax/crypto/Cipher" and n == "doFinal" for _, _, o, n, _ in self.calls):
-            for key_at, key in own:
-                for at, sealed in own:
-                    if len(key) in (16, 24, 32) and sealed and len(sealed) % 16 == 0 and at != key_at and key != sealed:
-                        yield at, f"{bytes(key).hex()}:{bytes(sealed).hex()}", "aes_candidate"
-        for offset, s in self.loaded():
-            yield offset, s, "ldc_string"
-
-    def _boxed(self) -> Iterator[tuple[int, str, str]]:
-        arrays = self.arrays(10)
+            if op in (170, 171):
+                springs = {o for o, to in gotos if to <= offset}
+                back = sum(to <= offset or to in springs for _, to in gotos)
+                before = [p for o, p, _ in self.code if o < offset][-sig.LOOP_WINDOW :]
+                out.append({"offset": offset, "targets": targets, "gotos": len(gotos), "back": back, "before": before})
+        return out
+
+    def boxes(self) -> list[dict]:
+        """Calls that may open a box cipher, with the two numbers pushed before them."""
         places = {o: i for i, (o, _, _) in reversed(list(enumerate(self.code)))}
+        out = []
         for offset, _, _, _, descriptor in self.calls:
             at = places[offset]
-            before = sorted((a for a in arrays if a[0] < offset), key=lambda a: a[0])[-2:]
-            if descriptor != BOX_CALL or at < 2 or len(before) < 2 or len(arrays) < 2:
-                continue
-            k1, k2 = self.pushed(at - 2), self.pushed(at - 1)
-            if k1 is not None and k2 is not None:
-                text = unbox(before[0][1], before[1][1], k1, k2)
-                if len(text) > 1:
-                    yield before[0][0], text, "weedhack_xor_cipher"
-
-    def _xored(self, own) -> Iterator[tuple[int, str, str]]:
-        keys: dict[bytes, None] = {}
-        for s in self.pool.text.values():
-            if 1 <= len(s) <= 32:
-                raw = s.encode("utf-8", "replace")
-                keys.update((raw[:n], None) for n in range(1, min(16, len(raw)) + 1))
-        for offset, values in own:
-            data = bytes(values)
-            plain = _strict(data)
-            if len(data) < 6 or (plain is not None and plausible(plain)):
-                continue
-            for key in keys:
-                # A first byte that is not plain text rules a key out before the rest is decoded.
-                if 9 <= data[0] ^ key[0] <= 126:
-                    text = bytes(b ^ key[i % len(key)] for i, b in enumerate(data)).decode("utf-8", "replace")
-                    if plausible(text):
-                        yield offset, text, "generic_xor_cipher"
-                        break
+            if descriptor == BOX_CALL and at >= 2:
+                k1, k2 = self.pushed(at - 2), self.pushed(at - 1)
+                if k1 is not None and k2 is not None:
+                    out.append({"offset": offset, "k1": k1, "k2": k2})
+        return out
 
-
-def _strict(data: bytes) -> str | None:
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+    def hidden(self) -> dict:
+        """What ``reconstruct`` looks for hidden strings in: array literals, loaded strings, members called."""
+        return {
+            "method": self.name, "bytes": [{"offset": o, "data": bytes(v)} for o, v in self.arrays(8)],
+            "texts": [{"offset": o, "value": "".join(map(chr, v)).encode("utf-8", "replace").decode()} for o, v in self.arrays(5)],
+            "ints": [{"offset": o, "values": v} for o, v in self.arrays(10)], "boxes": self.boxes(), "loads": [{"offset": o, "value": v} for o, v in self.loaded()],
+            "members": list(dict.fromkeys(f"{owner}.{name}" for _, _, owner, name, _ in self.calls)), "switches": self.switches(),
+        }
 
 
 def unbox(first: list[int], second: list[int], k1: int, k2: int) -> str:
@@ -335,7 +282,7 @@ def unbox(first: list[int], second: list[int], k1: int, k2: int) -> str:
 
 
 def parse(data: bytes) -> dict | None:
-    """A row of the classes table, None for what is no class."""
+    """A row of the classes table, None for what is no class; ``switches`` and ``recon`` are filled in from ``parts`` later."""
     if len(data) < 10 or data[:4] != MAGIC:
         return None
     count = int.from_bytes(data[8:10], "big")
@@ -372,14 +319,14 @@ def parse(data: bytes) -> dict | None:
         pass
     row = {
         "class_name": name, "super_name": above, "interfaces": interfaces, "utf8": [s for s in pool.text.values() if s],
-        "literals": [s for s in map(pool.literal, pool.tag) if s], "invokes": [], "switches": [], "recon": [], "error": None,
+        "literals": [s for s in map(pool.literal, pool.tag) if s], "invokes": [], "parts": [], "switches": [], "recon": [], "error": None,
     }
     for i, (method, code) in enumerate(bodies):
         if not code:
             continue
         try:
             m = Method(method, i, code, pool, bootstraps)
-            switches, hidden = list(m.switches()), list(m.hidden())
+            parts = m.hidden()
         except TruncatedSwitch:
             row["error"] = "code ends inside a switch"
             break
@@ -387,23 +334,24 @@ def parse(data: bytes) -> dict | None:
             row["error"] = f"{FAILED}: {type(error).__name__} in {method}"
             continue
         row["invokes"] += [{"method": method, "method_idx": i, "offset": o, "opcode": op, "owner": a, "name": n, "descriptor": d} for o, op, a, n, d in m.calls]
-        row["switches"] += [{"method": method, "offset": o, "targets": t, "gotos": g, "back": b} for o, t, g, b in switches]
-        row["recon"] += [{"method": method, "offset": o, "value": v.encode("utf-8", "replace").decode(), "technique": t} for o, v, t in hidden]
+        row["parts"].append(parts)
     return row
 
 
 _ARROW = pa.schema([
     ("class_name", pa.string()), ("super_name", pa.string()), ("interfaces", pa.list_(pa.string())), ("utf8", pa.list_(pa.string())), ("literals", pa.list_(pa.string())),
     ("invokes", pa.list_(pa.struct([("method", pa.string()), ("method_idx", pa.int32()), ("offset", pa.int32()), ("opcode", pa.int32()), ("owner", pa.string()), ("name", pa.string()), ("descriptor", pa.string())]))),
-    ("switches", pa.list_(pa.struct([("method", pa.string()), ("offset", pa.int32()), ("targets", pa.int32()), ("gotos", pa.int32()), ("back", pa.int32())]))),
-    ("recon", pa.list_(pa.struct([("method", pa.string()), ("offset", pa.int32()), ("value", pa.string()), ("technique", pa.string())]))), ("error", pa.string()),
+    ("parts", pa.list_(pa.struct([
+        ("method", pa.string()), ("bytes", pa.list_(pa.struct([("offset", pa.int32()), ("data", pa.binary())]))), ("texts", pa.list_(pa.struct([("offset", pa.int32()), ("value", pa.string())]))),
+        ("ints", pa.list_(pa.struct([("offset", pa.int32()), ("values", pa.list_(pa.int64()))]))), ("boxes", pa.list_(pa.struct([("offset", pa.int32()), ("k1", pa.int32()), ("k2", pa.int32())]))),
+        ("loads", pa.list_(pa.struct([("offset", pa.int32()), ("value", pa.string())]))), ("members", pa.list_(pa.string())),
+        ("switches", pa.list_(pa.struct([("offset", pa.int32()), ("targets", pa.int32()), ("gotos", pa.int32()), ("back", pa.int32()), ("before", pa.list_(pa.int32()))]))),
+    ]))), ("error", pa.string()),
 ])
 
 
 def classes(entries: DataFrame) -> DataFrame:
     """artifact_id, level, ordinal, name of the entry, and the class in it."""
-    from pyspark.sql import functions as F
-
     found = entries.filter(F.startswith(F.col("data"), F.lit(MAGIC))).select("artifact_id", "level", "level_path", "ordinal", "name", "data")
 
     def run(batches):
@@ -414,4 +362,5 @@ def classes(entries: DataFrame) -> DataFrame:
             for part in pa.Table.from_arrays([*(batch.column(c).take(kept) for c in ("artifact_id", "level", "level_path", "ordinal", "name")), *(c.combine_chunks() for c in own.columns)], names=["artifact_id", "level", "level_path", "ordinal", "name", *own.column_names]).to_batches():
                 yield part
 
-    return found.mapInArrow(run, "artifact_id string, level int, level_path string, ordinal int, name string, " + CLASSES)
+    read = found.mapInArrow(run, f"artifact_id string, level int, level_path string, ordinal int, name string, {CLASSES.partition(', switches ')[0]}, {PARTS}, error string")
+    return read.withColumns(reconstruct.columns(read.sparkSession.sparkContext.applicationId)).select("artifact_id", "level", "level_path", "ordinal", "name", *read.columns[5:-2], "switches", "recon", "error")

@@ -196,7 +196,8 @@ for _t in ("byte_array_string", "char_array_string", "base64_string", "generic_x
 
     @query(f"hidden_{_t}", f"WITH {_P} SELECT artifact_id, 'run' AS method, concat('https://host', k, '.test/a') AS value FROM p")
     def _(spark, sf, t=_t):
-        return _hidden(spark, sf, t).select("artifact_id", F.explode("recon").alias("r")).filter(F.col("r.technique") == t).select("artifact_id", "r.method", "r.value")
+        own = F.filter("recon", lambda r: r["technique"] == t)  # explode() of a plain column would add filters that work the strings out anew
+        return _hidden(spark, sf, t).select("artifact_id", F.explode(own).alias("r")).select("artifact_id", "r.method", "r.value")
 
 
 @query("detector_trace", f"WITH {_P} SELECT artifact_id, CAST(3 AS INTEGER) AS severity, concat('https://host', k, '.test/a') AS matched_value, 'aes_embedded_key' AS technique FROM p UNION ALL SELECT artifact_id, 0, '0123456789abcdef', 'byte_array_string' FROM p")

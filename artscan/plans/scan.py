@@ -73,7 +73,8 @@ def archive_findings(archives: DataFrame, packs: list[Rule], max_depth: int = ar
     ev = correlate.correlate(keep(ev)).unionByName(entries.skip_evidence(rows))
     unread = evidence(unreadable, "archive", MEDIUM, "Archive cannot be read", F.lit(""))
     ev = ev.join(unreadable, "artifact_id", "left_anti").unionByName(unread)
-    rebuilt = detectors.resolved(classes).select("artifact_id", "class_name", F.explode("recon").alias("r")).select("artifact_id", "class_name", "r.*")
+    own = F.filter("recon", lambda r: r["value"].isNotNull())
+    rebuilt = detectors.resolved(classes).select("artifact_id", "class_name", F.explode(own).alias("r")).select("artifact_id", "class_name", "r.*")
     return ev, unreadable, entries.manifests(plain), rebuilt
 
 

@@ -17,6 +17,11 @@ CLASSES = (
     " switches array<struct<method:string,offset:int,targets:int,gotos:int,back:int>>,"
     " recon array<struct<method:string,offset:int,value:string,technique:string>>, error string"
 )
+#: By method what the class reader hands on for reconstruction.
+PARTS = (
+    "parts array<struct<method:string,bytes:array<struct<offset:int,data:binary>>,texts:array<struct<offset:int,value:string>>,ints:array<struct<offset:int,values:array<bigint>>>,"
+    "boxes:array<struct<offset:int,k1:int,k2:int>>,loads:array<struct<offset:int,value:string>>,members:array<string>,switches:array<struct<offset:int,targets:int,gotos:int,back:int,before:array<int>>>>>"
+)
 EVIDENCE = (
     "artifact_id string, class_name string, detector_id string, severity int, method_name string, offset int,"
     " description string, matched_value string, context map<string,string>, seq array<long>"

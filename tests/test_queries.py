@@ -1,4 +1,6 @@
 """Every query with an SQL form against DuckDB, on the smallest tables."""
+import random
+
 import duckdb
 import pytest
 
@@ -88,3 +90,12 @@ def test_url_legitimacy(spark, url, ok):
 @pytest.mark.parametrize(("name", "ok"), [("a.dll", True), ("a.dllx", False), ("a.so", True), ("a.sound", False), ("x.DYLIB y", True), ("soy", False)])
 def test_library_reference(spark, name, ok):
     assert spark.range(1).select(fn.library_reference(F.lit(name)).alias("x")).first()["x"] is ok
+
+
+def test_xor_under_a_key_of_each_row(spark):
+    from artscan.functions import decode
+
+    rng = random.Random(2)
+    rows = [(bytes(rng.randrange(256) for _ in range(n)), bytes(rng.randrange(256) for _ in range(k))) for n in (0, 1, 6, 7, 8, 20, 300) for k in (1, 2, 7, 8, 16)]
+    df = spark.createDataFrame([(bytearray(a), k.hex()) for a, k in rows], "d binary, k string").select(decode.xor_under(F.col("d"), F.col("k")).alias("x"))
+    assert [bytes(r["x"]) for r in df.collect()] == [bytes(b ^ k[i % len(k)] for i, b in enumerate(a)) for a, k in rows]
