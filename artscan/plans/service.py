@@ -1,15 +1,14 @@
-"""Scan jobs of a long-running driver: start, follow, look at findings, test rules.
+"""Scans by name over allowed folders: run one, replay its events, look at findings, test rules.
 
-A job is a thread that runs one scan in its own scheduler pool.  Its findings
-and verdicts are tables in the shared folder, so a job's size never weighs on
-the driver; only a bounded log of events stays in memory.
+A job is one scan that runs in the caller's thread; who wants several at once
+starts them from threads and scheduler pools of their own.  Its findings and
+verdicts are tables in the shared folder, and its events a view of them, so a
+job's size never weighs on the driver.
 """
 from __future__ import annotations
 
-import queue
 import threading
 import uuid
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -50,8 +49,18 @@ class Job:
     completed_at: str | None = None
     findings: DataFrame | None = None
     verdicts: DataFrame | None = None
-    events: deque = field(default_factory=lambda: deque(maxlen=MAX_EVENTS))
-    listeners: list[queue.Queue] = field(default_factory=list)
+
+    @property
+    def events(self) -> list[dict]:
+        """Events for replay: the last of ``MAX_EVENTS`` verdicts at most, by path, then how the job ended."""
+        out = []
+        if self.verdicts is not None:
+            total = self.verdicts.count()
+            last = self.verdicts.orderBy(F.desc("artifact_id")).limit(MAX_EVENTS).collect()[::-1]
+            out = [{"type": "verdict", "path": r["artifact_id"], "verdict": r["verdict"], "confidence": r["confidence"], "progress": n / total} for n, r in enumerate(last, total - len(last) + 1)]
+        if self.status != PENDING:
+            out += [{"type": "status", "status": self.status, "error": self.error}, {"type": "done"}]
+        return out[-MAX_EVENTS:]
 
 
 def allowed(path: str | Path, roots: list[str]) -> bool:
@@ -68,6 +77,7 @@ class Service:
         self.lock = threading.Lock()
 
     def start(self, roots: list[str]) -> Job:
+        """Runs one scan to its end, unless as many run as may."""
         if not all(allowed(r, self.roots) for r in roots):
             raise Forbidden(roots)
         with self.lock:
@@ -75,34 +85,19 @@ class Service:
                 raise Busy
             job = Job(str(uuid.uuid4()), roots)
             self.jobs[job.job_id] = job
-        threading.Thread(target=self._run, args=(job,), daemon=True).start()
+        self._run(job)
         return job
 
-    def _emit(self, job: Job, **event) -> None:
-        with self.lock:
-            job.events.append(event)
-            for q in job.listeners:
-                q.put(event)
-
     def _run(self, job: Job) -> None:
         try:
-            self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", job.job_id)
-            found = files.read(self.spark, job.roots)
-            result = scan(found, self.packs.all(), good=self.good, max_depth=MAX_DEPTH)
+            result = scan(files.read(self.spark, job.roots), self.packs.all(), good=self.good, max_depth=MAX_DEPTH)
             job.findings, job.verdicts = keep(result.findings), result.verdicts
-            total = job.verdicts.count()
-            # The log holds MAX_EVENTS events, so only the last of that many verdicts reach the driver.
-            last = job.verdicts.orderBy(F.desc("artifact_id")).limit(MAX_EVENTS).collect()[::-1]
-            for n, r in enumerate(last, total - len(last) + 1):
-                self._emit(job, type="verdict", path=r["artifact_id"], verdict=r["verdict"], confidence=r["confidence"], progress=n / total)
             job.completed_at = datetime.now(UTC).isoformat()
             if self.history:
                 self.history.record_scan(job.findings, job.verdicts, job.roots, job.job_id)
             job.status = COMPLETED
-        except Exception as error:  # the job fails, the service goes on
+        except Exception as error:  # noqa: BLE001 - the job fails, others go on
             job.status, job.error, job.completed_at = FAILED, f"{type(error).__name__}: {error}", datetime.now(UTC).isoformat()
-        self._emit(job, type="status", status=job.status, error=job.error)
-        self._emit(job, type="done")
         self._forget()
 
     def _forget(self) -> None:
@@ -112,22 +107,9 @@ class Service:
                 self.jobs.pop(j.job_id)
                 self.dismissed.discard(j.job_id)
 
-    def follow(self, job_id: str, timeout: float = 600) -> Iterator[dict]:
-        """Events so far, then new ones until the job is done."""
-        job, q = self.jobs[job_id], queue.Queue()
-        with self.lock:
-            past = list(job.events)
-            job.listeners.append(q)
-        try:
-            for event in past:
-                yield event
-            while not (past and past[-1]["type"] == "done"):
-                event = q.get(timeout=timeout)
-                yield event
-                if event["type"] == "done":
-                    break
-        finally:
-            job.listeners.remove(q)
+    def follow(self, job_id: str) -> Iterator[dict]:
+        """A job's events."""
+        yield from self.jobs[job_id].events
 
     def findings(self, severity: str | None = None) -> DataFrame | None:
         """By path the findings of the last job that saw it, of files that exist and jobs not dismissed."""
