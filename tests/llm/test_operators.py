@@ -598,9 +598,10 @@ def test_class_model_odd(odd, none):
 def test_queries_have_their_columns(spark):
     want = {
         "op2_exact_topk": {"query_id", "rank", "vec_id", "score"}, "op7_decontaminate": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
-        "op3_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+        "op3_secret_scan": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, "op11_resampling": {"doc_id", "n_features", "weight", "score", "rank"},
+        "op12_conversation_repair": {"conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"}, "op13_url_filter": {"page_id", "host", "path", "rule", "verdict"},
     }
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     for name, columns in want.items():
         assert columns <= set(queries.queries()[name](spark, SF).columns)
     assert hashlib.sha256(b"").hexdigest() == queries.queries()["op3_secret_scan"](spark, SF).filter("spans = ''").first()["base_sha256"]
