@@ -15,6 +15,9 @@ its class, (c + 1) / (C + V + 1) with the class's tokens C and distinct words V,
 so unseen words have a place in each class.  A text's perplexity is 10 to the
 power of its negative score a token.
 
+Texts are cut into tokens twice: to count words, and to write them as places among
+the commonest words with hashes of the others.  All later passes read those codes.
+
 Words have two homes.  Counts and classes of the commonest, at most ``HEAD``,
 are broadcast (a fixed size); they are most tokens.  The rest lie in a table
 that the tokens are joined with, so neither the driver nor a task holds the
@@ -41,6 +44,8 @@ from artscan.llm.shared import drop_kept, fold, keep
 HEAD = 1 << 16
 CLUSTERED = 768
 CLASSES = 64
+#: Tokens of coded texts handled at once; a longer single text forms its own piece.
+PIECE_TOKENS = 500_000
 _LENGTH_CUTS = np.array([2, 4, 6, 8, 11, 15])
 SHAPES = (len(_LENGTH_CUTS) + 1) * 3
 #: The end token's hash; no word has it but by accident of 64 bits.
@@ -157,11 +162,29 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
+def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A column of binary cells; cell i holds ``values[first[i]:first[i + 1]]``."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _cells(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of binary cells in a row, and where each cell's begin (one more than there are cells)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, dtype=kind), np.zeros(1, dtype=np.int64)
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, dtype=kind)
+    return flat, (at - at[0]) // np.dtype(kind).itemsize
+
+
 class Head:
-    """The commonest words in order of their hashes, with counts and current classes."""
+    """The commonest words in order of their hashes, with counts, shapes and current classes."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
-        self.words, self.counts = words, counts
+    def __init__(self, words: np.ndarray, counts: np.ndarray, shapes: np.ndarray):
+        self.words, self.counts, self.shapes = words, counts, shapes
         self.unit = np.zeros(len(words), dtype=np.int64)
         self.first_shape, self.end = 0, SHAPES
 
@@ -171,66 +194,120 @@ class Head:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return at, self.words[at] == h
 
-    def classes(self, h: np.ndarray, shape: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, place and whether it has one of every token; words outside have the class of their shape."""
-        at, known = self.places(h)
-        u = np.where(known, self.unit[at] if len(self.words) else 0, self.first_shape + shape)
+    def place_kind(self) -> np.dtype:
+        return np.min_scalar_type(len(self.words))
+
+    def pieces(self, batch):
+        """Yields (first row, places, first token of each text, hashes and shapes of words outside) for slices of coded texts."""
+        places, first = _cells(batch.column("places"), self.place_kind())
+        hashes, cuts = _cells(batch.column("hashes"), np.uint64)
+        shapes, _ = _cells(batch.column("shapes"), np.uint8)
+        a = 0
+        while a < len(first) - 1:
+            b = max(a + 1, int(np.searchsorted(first, first[a] + PIECE_TOKENS, "right")) - 1)
+            yield a, places[first[a] : first[b]], first[a : b + 1] - first[a], hashes[cuts[a] : cuts[b]], shapes[cuts[a] : cuts[b]]
+            a = b
+
+    def classes(self, places: np.ndarray, first: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The class of every token, and which are outside: those have the class of their shape."""
+        outside = np.flatnonzero(places == len(self.words))
+        u = np.append(self.unit, 0)[places]
+        u[outside] = self.first_shape + shapes.astype(np.int64)
         u[first[1:] - 1] = self.end
-        return u, at, known
+        return u, outside
 
 
-def class_pairs(docs: DataFrame, head: Head, units: int) -> np.ndarray:
-    """Bigram counts of classes over all training texts; a text follows an end."""
+def encode(docs: DataFrame, head: Head) -> DataFrame:
+    """doc_id, training, row, places, hashes and shapes of every text's tokens; written to the shared folder.
+
+    A token's place is that of its word in the head, or one beyond the last; hashes
+    and shapes are those of the words outside, in order.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+    id_type = dict(docs.dtypes).get("doc_id", "long")
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            for start, h, shape, first in _tokens(batch.column("_text")):
+                at, known = m.places(h)
+                rare = np.flatnonzero(~known)
+                cuts = np.searchsorted(rare, first)
+                places = np.where(known, at, len(m.words)).astype(m.place_kind())
+                cols = [*(batch.column(c).slice(start, len(first) - 1) for c in ("doc_id", "training", "row")), _binary(places, first), _binary(h[rare], cuts), _binary(shape[rare].astype(np.uint8), cuts)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "training", "row", "places", "hashes", "shapes"])
+
+    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id")
+    ready = docs.select(doc_id, "training", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
+    return keep(ready.mapInArrow(run, f"doc_id {id_type}, training boolean, row long, places binary, hashes binary, shapes binary"))
+
+
+def class_pairs(coded: DataFrame, head: Head, units: int) -> np.ndarray:
+    """Bigram counts of classes over all coded texts; a text follows an end."""
 
     def run(batch) -> np.ndarray:
         total = np.zeros(units * units)
-        for _, h, shape, first in _tokens(batch.column("text")):
-            u, _, _ = head.classes(h, shape, first)
+        for _, places, first, _, shapes in head.pieces(batch):
+            u, _ = head.classes(places, first, shapes)
             before = np.concatenate(([head.end], u[:-1]))
             total += np.bincount(before * units + u, minlength=units * units)
         return total
 
-    return summed(docs.select("text"), run, units * units).reshape(units, units)
+    return summed(coded.select("places", "hashes", "shapes"), run, units * units).reshape(units, units)
 
 
-def contexts(docs: DataFrame, head: Head, units: int, every: bool) -> DataFrame:
+def contexts(coded: DataFrame, head: Head, units: int, every: bool) -> DataFrame:
     """word, shape, and the classes of its neighbours with their counts; a word has several rows.
 
     Neighbours after the word have their class plus ``units``.  Without
     ``every`` only the head's words have rows.
     """
+    near = 2 * units
+
+    def rows(words, shapes, code):
+        """Rows of words from a code, word times ``near`` plus neighbour, for each time that they meet."""
+        if not len(code):
+            return
+        code, n = np.unique(code, return_counts=True)
+        of = code // near
+        cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+        of = of[cuts[:-1]]
+        cols = [pa.array(words[of].view(np.int64)), pa.array(shapes[of].astype(np.int32)), _binary((code % near).astype(np.uint16), cuts), _binary(n.astype(np.uint32), cuts)]
+        whole = pa.RecordBatch.from_arrays(cols, names=["word", "shape", "near", "n"])
+        for a in range(0, len(of), 20_000):
+            yield whole.slice(a, 20_000)
 
     def run(batches):
-        held, size = [], 0
+        inside, outside, size = [], [], 0
 
         def flush():
-            h, shape, before, after = (np.concatenate(x) for x in zip(*held))
-            words, at, back = np.unique(h, return_index=True, return_inverse=True)
-            code, n = np.unique(np.concatenate((back * (2 * units) + before, back * (2 * units) + units + after)), return_counts=True)
-            cuts = np.searchsorted(code, np.arange(len(words) + 1) * (2 * units))
-            lists = [
-                pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
-                for x in ((code % (2 * units)).astype(np.uint16), n.astype(np.uint32))
-            ]
-            whole = pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(shape[at].astype(np.int32)), *lists], names=["word", "shape", "near", "n"])
-            for a in range(0, len(words), 20_000):
-                yield whole.slice(a, 20_000)
+            yield from rows(head.words, head.shapes, np.concatenate([np.zeros(0, dtype=np.int64), *inside]))
+            if outside:
+                h, shape, before, after = (np.concatenate(x) for x in zip(*outside))
+                words, at, back = np.unique(h, return_index=True, return_inverse=True)
+                yield from rows(words, shape[at], np.concatenate((back * near + before, back * near + units + after)))
 
         for batch in batches:
-            for _, h, shape, first in _tokens(batch.column("text")):
-                u, _, known = head.classes(h, shape, first)
-                used = known.copy() if not every else np.ones(len(h), dtype=bool)
-                used[first[1:] - 1] = False
-                used = np.flatnonzero(used)
-                held.append((h[used], shape[used], np.concatenate(([head.end], u[:-1]))[used], u[used + 1]))
-                size += len(used)
+            for _, places, first, hashes, shapes in head.pieces(batch):
+                u, rare = head.classes(places, first, shapes)
+                before, after = np.concatenate(([head.end], u[:-1])), np.append(u[1:], head.end)
+                word = places < len(head.words)
+                word[first[1:] - 1] = False
+                code = places[word].astype(np.int64) * near
+                inside += [code + before[word], code + (units + after[word])]
+                size += len(code)
+                if every and len(rare):
+                    ends = np.isin(rare, first[1:] - 1) if not len(head.words) else np.zeros(len(rare), dtype=bool)
+                    rare, hashes, shapes = rare[~ends], hashes[~ends], shapes[~ends]
+                    outside.append((hashes, shapes, before[rare], after[rare]))
+                    size += len(rare)
                 if size > 2_000_000:
                     yield from flush()
-                    held, size = [], 0
+                    inside, outside, size = [], [], 0
         if size:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "word long, shape int, near binary, n binary")
+    return coded.select("places", "hashes", "shapes").mapInArrow(run, "word long, shape int, near binary, n binary")
 
 
 def choices(near: np.ndarray, n: np.ndarray, first: np.ndarray, now: np.ndarray, pair: np.ndarray, k: int) -> np.ndarray:
@@ -241,6 +318,7 @@ def choices(near: np.ndarray, n: np.ndarray, first: np.ndarray, now: np.ndarray,
     """
     units = len(pair)
     to = np.concatenate((pair[:, :k], pair[:k].T))
+    to_log = _xlogx(to)
     row, col = pair[:k].sum(axis=1), pair[:, :k].sum(axis=0)
     out = np.empty(len(now), dtype=np.int64)
     at = 0
@@ -250,9 +328,14 @@ def choices(near: np.ndarray, n: np.ndarray, first: np.ndarray, now: np.ndarray,
         v, sizes = n[a:b, None].astype(np.float64), np.diff(first[at : end + 1])
         # A word that is in a learned class is taken out of it first.
         own = np.where((now[at:end, None] == np.arange(k)), 1.0, 0.0)
-        was = np.maximum(to[near[a:b]] - v * np.repeat(own, sizes, axis=0), 0)
+        was, was_log = to[near[a:b]], to_log[near[a:b]]
+        mine = np.repeat(now[at:end], sizes)
+        i = np.flatnonzero(mine < k)
+        mine = mine[i]
+        was[i, mine] = np.maximum(was[i, mine] - v[i, 0], 0)
+        was_log[i, mine] = _xlogx(was[i, mine])
         begin = first[at:end] - a
-        gain = np.add.reduceat(_xlogx(was + v) - _xlogx(was), begin, axis=0)
+        gain = np.add.reduceat(_xlogx(was + v) - was_log, begin, axis=0)
         after = near[a:b, None] >= units
         for total, part in ((row, after), (col, ~after)):
             s = np.add.reduceat(v * part, begin, axis=0)
@@ -263,20 +346,19 @@ def choices(near: np.ndarray, n: np.ndarray, first: np.ndarray, now: np.ndarray,
     return out
 
 
-def exchange_round(docs: DataFrame, head: Head, pair: np.ndarray, every: bool) -> DataFrame:
+def exchange_round(coded: DataFrame, head: Head, pair: np.ndarray, every: bool) -> DataFrame:
     """word, n, class, and whether it is in the head; words that occur once have the class of their shape."""
     units, k = len(pair), head.first_shape
-    sent = docs.sparkSession.sparkContext.broadcast((head, pair))
+    sent = coded.sparkSession.sparkContext.broadcast((head, pair))
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         head, pair = sent.value
         word = rows["word"].to_numpy()
         new = np.concatenate(([True], word[1:] != word[:-1]))
-        near = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in rows["near"]]
-        of = np.repeat(np.cumsum(new) - 1, [len(x) for x in near])
-        code = of * (2 * units) + np.concatenate(near)
+        near, at = _cells(rows["near"], np.uint16)
+        code = np.repeat(np.cumsum(new) - 1, np.diff(at)) * (2 * units) + near
         order = np.argsort(code, kind="stable")
-        n = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in rows["n"]]).astype(np.int64)[order]
+        n = _cells(rows["n"], np.uint32)[0].astype(np.int64)[order]
         code = code[order]
         begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         n, code = np.add.reduceat(n, begin), code[begin]
@@ -287,7 +369,9 @@ def exchange_round(docs: DataFrame, head: Head, pair: np.ndarray, every: bool) -
         at, known = head.places(word.view(np.uint64))
         shaped = head.first_shape + shape.astype(np.int64)
         now = np.where(known, head.unit[at] if len(head.words) else 0, shaped)
-        best = np.where(times > 1, choices(near, n, first, now, pair, k), shaped)
+        best, often, sizes = shaped, times > 1, np.diff(first)
+        used = np.repeat(often, sizes)
+        best[often] = choices(near[used], n[used], np.concatenate(([0], np.cumsum(sizes[often]))), now[often], pair, k)
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(times), pa.array(best.astype(np.int32)), pa.array(known)], names=["word", "n", "class", "head"])
 
     def run(batches):
@@ -303,7 +387,7 @@ def exchange_round(docs: DataFrame, head: Head, pair: np.ndarray, every: bool) -
         if held is not None and len(held):
             yield settle(held.combine_chunks())
 
-    ordered = contexts(docs, head, units, every).repartition("word").sortWithinPartitions("word")
+    ordered = contexts(coded, head, units, every).repartition("word").sortWithinPartitions("word")
     return keep(ordered.mapInArrow(run, "word long, n long, class int, head boolean"))
 
 
@@ -328,8 +412,7 @@ class Model:
         found = counts.filter(common).toArrow()
         word, n, shape = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["shape"].to_numpy()
         order = np.argsort(word)
-        self.head = head = Head(word[order], n[order])
-        shape = shape[order].astype(np.int64)
+        self.head = head = Head(word[order], n[order], shape[order].astype(np.int64))
         totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = int(totals["n"] or 0), int(totals["v"])
         # Units at first: the clustered words, then the shapes, then the end.
@@ -337,11 +420,13 @@ class Model:
         common = common[head.words[common] != END][:clustered]
         m = len(common)
         head.first_shape, head.end = m, m + SHAPES
-        head.unit = m + shape
+        head.unit = m + head.shapes
         head.unit[common] = np.arange(m)
         head.unit[head.words == END] = head.end
         units = m + SHAPES + 1
-        pairs = class_pairs(docs, head, units)
+        encoded = encode(docs.withColumn("training", F.lit(True)) if whole is None else whole, head)
+        learned = encoded.filter("training")
+        pairs = class_pairs(learned, head, units)
         of = exchange(pairs, classes, SHAPES + 1)
         self.n_classes = int(of.max()) + 1
         onehot = np.zeros((units, self.n_classes))
@@ -349,12 +434,13 @@ class Model:
         pairs = onehot.T @ pairs @ onehot
         head.unit = of[head.unit]
         head.first_shape, head.end = int(of[m]), int(of[m]) + SHAPES
-        self._take(exchange_round(docs, head, pairs, False))
-        self.table = exchange_round(docs, head, class_pairs(docs, head, self.n_classes), True)
+        self._take(exchange_round(learned, head, pairs, False))
+        self.table = exchange_round(learned, head, class_pairs(learned, head, self.n_classes), True)
         self._take(self.table)
         self.unit, self.counts = head.unit, head.counts
 
-        self.coded = code(docs.withColumn("training", F.lit(True)) if whole is None else whole, head, self.table, self.n_classes)
+        self.coded = in_classes(encoded, head, self.table, self.n_classes)
+        drop_kept(encoded)
         size, end, kind = self.n_classes, head.end, _kind(self.n_classes)
 
         def follow(batch) -> np.ndarray:
@@ -390,54 +476,52 @@ def _kind(classes: int) -> type:
     return np.uint8 if classes <= 256 else np.uint16
 
 
-def code(docs: DataFrame, head: Head, table: DataFrame, classes: int) -> DataFrame:
+def in_classes(coded: DataFrame, head: Head, table: DataFrame, classes: int) -> DataFrame:
     """Texts as classes: doc_id, training, n_tokens, n_known, logs, classes, fills; written to the shared folder.
 
     ``classes`` holds those of shapes for words outside the head; ``fills`` are
     the (place, class) of those that the table knows.  ``logs`` sums log10(c + 1).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(head)
+    sent = coded.sparkSession.sparkContext.broadcast(head)
     kind = _kind(classes)
-    id_type = dict(docs.dtypes).get("doc_id", "long")
+    id_type = dict(coded.dtypes)["doc_id"]
 
-    def run(batches):
+    def texts(batches):
         m = sent.value
+        log = np.append(np.log10(m.counts + 1.0), 0.0)
         for batch in batches:
-            for start, h, shape, first in _tokens(batch.column("_text")):
-                u, at, known = m.classes(h, shape, first)
-                logs = np.zeros(len(h))
-                if len(m.words):
-                    logs[known] = np.log10(m.counts[at[known]] + 1.0)
-                u, n = u.astype(kind), np.diff(first)
-                rare = np.flatnonzero(~known)
-                cuts = np.searchsorted(rare, first).astype(np.int32)
-                place = rare - np.repeat(first[:-1], np.diff(cuts))
+            for start, places, first, _, shapes in m.pieces(batch):
+                u, outside = m.classes(places, first, shapes)
+                n = np.diff(first)
                 cols = [
-                    *(batch.column(c).slice(start, len(n)) for c in ("doc_id", "training", "row")), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(known, first[:-1], dtype=np.int64)),
-                    pa.array(np.add.reduceat(logs, first[:-1])), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(((first - first[0]) * u.itemsize).astype(np.int32)), pa.py_buffer(u)]),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(h[rare].view(np.int64)), pa.array(place.astype(np.int32))], names=["word", "place"])),
+                    *(batch.column(c).slice(start, len(n)) for c in ("doc_id", "training", "row")), pa.array(n), pa.array(n - np.diff(np.searchsorted(outside, first))),
+                    pa.array(np.add.reduceat(log[places], first[:-1])), _binary(u.astype(kind), first),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "training", "row", "n_tokens", "n_known", "logs", "classes", "rare"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "training", "row", "n_tokens", "n_known", "logs", "classes"])
 
-    doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long").alias("doc_id")
-    ready = docs.select(doc_id, "training", F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("_text"))
-    read = keep(ready.mapInArrow(run, f"doc_id {id_type}, training boolean, row long, n_tokens long, n_known long, logs double, classes binary, rare array<struct<word:long,place:int>>"))
-    rare = read.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.place")
-    more = rare.join(table.filter("NOT head").select("word", "n", "class"), "word")
+    def rare(batches):
+        m = sent.value
+        for batch in batches:
+            for start, places, first, hashes, _ in m.pieces(batch):
+                outside = np.flatnonzero(places == len(m.words))
+                n = np.diff(np.searchsorted(outside, first))
+                row = np.repeat(batch.column("row").to_numpy()[start : start + len(n)], n)
+                place = outside - np.repeat(first[:-1], n)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(hashes.view(np.int64)), pa.array(place.astype(np.int32))], names=["row", "word", "place"])
+
+    read = coded.mapInArrow(texts, f"doc_id {id_type}, training boolean, row long, n_tokens long, n_known long, logs double, classes binary")
+    more = coded.select("row", "places", "hashes", "shapes").mapInArrow(rare, "row long, word long, place int")
+    more = more.join(table.filter("NOT head").select("word", "n", "class"), "word")
     more = more.groupBy("row").agg(F.count("*").alias("known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.collect_list(F.struct("place", "class")).alias("fills"))
-    out = read.drop("rare").join(more, "row", "left").select(
+    return keep(read.join(more, "row", "left").select(
         "doc_id", "training", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"), "classes", "fills"
-    )
-    out = keep(out)
-    drop_kept(read)
-    return out
+    ))
 
 
 def _filled(batch, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the batch's texts in a row, and where each begins."""
-    texts = [np.frombuffer(x.as_buffer(), dtype=kind) for x in batch.column("classes")]
-    first = np.concatenate(([0], np.cumsum([len(x) for x in texts], dtype=np.int64)))
-    u = np.concatenate([np.zeros(0, dtype=kind), *texts]).astype(np.int64)
+    u, first = _cells(batch.column("classes"), kind)
+    u = u.astype(np.int64)
     fills = batch.column("fills")
     flat = fills.flatten()
     begin = np.repeat(first[:-1], fills.value_lengths().fill_null(0).to_numpy())
