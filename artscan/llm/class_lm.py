@@ -403,12 +403,14 @@ class Model:
         levels = sorted(((r["level"], r["words"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()), reverse=True)
         room, common = HEAD, F.col("word") == F.lit(int(END))
         for value, n in levels:
-            # Of a level that is too large as a whole, the share of words (by hash) that there is room for.
-            share = min(1.0, 0.95 * room / n)
-            below = F.col("word") < F.lit(int((2 * share - 1) * (1 << 63))) if n > room else F.lit(True)
-            common, room = common | ((level == F.lit(value)) & below), room - n
-            if room <= 0:
+            if n > room:
+                # All levels above, and of this one the share of words (by hash) that there is room for.
+                below = F.col("word") < F.lit(int((2 * 0.95 * room / n - 1) * (1 << 63)))
+                common = common | (level > F.lit(value)) | ((level == F.lit(value)) & below)
                 break
+            room -= n
+        else:
+            common = F.lit(True)
         found = counts.filter(common).toArrow()
         word, n, shape = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy(), found["shape"].to_numpy()
         order = np.argsort(word)
