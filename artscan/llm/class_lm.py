@@ -391,6 +391,11 @@ def exchange_round(coded: DataFrame, head: Head, pair: np.ndarray, every: bool)
     return keep(ordered.mapInArrow(run, "word long, n long, class int, head boolean"))
 
 
+def _release(df: DataFrame) -> None:
+    """Lets the driver's JVM see which finished stages are unreachable, so that their shuffle files are deleted now."""
+    df.sparkSession._jvm.System.gc()
+
+
 class Model:
     """Classes of all words, and what scoring needs besides those of rare words: a bounded amount.
 
@@ -417,6 +422,7 @@ class Model:
         self.head = head = Head(word[order], n[order], shape[order].astype(np.int64))
         totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = int(totals["n"] or 0), int(totals["v"])
+        _release(docs)
         # Units at first: the clustered words, then the shapes, then the end.
         common = np.lexsort((head.words, -head.counts))
         common = common[head.words[common] != END][:clustered]
@@ -436,9 +442,13 @@ class Model:
         pairs = onehot.T @ pairs @ onehot
         head.unit = of[head.unit]
         head.first_shape, head.end = int(of[m]), int(of[m]) + SHAPES
-        self._take(exchange_round(learned, head, pairs, False))
+        first = exchange_round(learned, head, pairs, False)
+        self._take(first)
+        drop_kept(first)
+        _release(docs)
         self.table = exchange_round(learned, head, class_pairs(learned, head, self.n_classes), True)
         self._take(self.table)
+        _release(docs)
         self.unit, self.counts = head.unit, head.counts
 
         self.coded = in_classes(encoded, head, self.table, self.n_classes)
