@@ -347,24 +347,40 @@ def choices(near: np.ndarray, n: np.ndarray, first: np.ndarray, now: np.ndarray,
 
 
 def exchange_round(coded: DataFrame, head: Head, pair: np.ndarray, every: bool) -> DataFrame:
-    """word, n, class, and whether it is in the head; words that occur once have the class of their shape."""
+    """word, n, class, and whether it is in the head; words that occur once have the class of their shape.
+
+    A task adds a word's rows up batch by batch, so a word that every text holds
+    takes as much memory as it has neighbour classes.
+    """
     units, k = len(pair), head.first_shape
     sent = coded.sparkSession.sparkContext.broadcast((head, pair))
 
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        head, pair = sent.value
-        word = rows["word"].to_numpy()
+    def sums(batch) -> tuple:
+        """Words of sorted rows, their shapes, the neighbours of each with their counts, and where each word's begin."""
+        word = batch.column("word").to_numpy()
         new = np.concatenate(([True], word[1:] != word[:-1]))
-        near, at = _cells(rows["near"], np.uint16)
+        near, at = _cells(batch.column("near"), np.uint16)
         code = np.repeat(np.cumsum(new) - 1, np.diff(at)) * (2 * units) + near
         order = np.argsort(code, kind="stable")
-        n = _cells(rows["n"], np.uint32)[0].astype(np.int64)[order]
+        n = _cells(batch.column("n"), np.uint32)[0].astype(np.int64)[order]
         code = code[order]
         begin = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         n, code = np.add.reduceat(n, begin), code[begin]
-        word, shape = word[new], rows["shape"].to_numpy()[new]
-        first = np.searchsorted(code, np.arange(len(word) + 1) * (2 * units))
-        near = code % (2 * units)
+        first = np.searchsorted(code, np.arange(int(new.sum()) + 1) * (2 * units))
+        return word[new], batch.column("shape").to_numpy()[new], code % (2 * units), n, first
+
+    def onto(last: tuple, then: tuple) -> tuple:
+        """``then`` with the counts of ``last`` added to its first word, which is the same."""
+        word, shape, near, n, first = then
+        total = np.zeros(2 * units, dtype=np.int64)
+        total[last[2]] = last[3]
+        total[near[: first[1]]] += n[: first[1]]
+        there = np.flatnonzero(total)
+        moved = np.concatenate(([0], first[1:] + len(there) - first[1]))
+        return word, shape, np.concatenate((there, near[first[1] :])), np.concatenate((total[there], n[first[1] :])), moved
+
+    def settle(word, shape, near, n, first) -> pa.RecordBatch:
+        head, pair = sent.value
         times = np.add.reduceat(n * (near < units), first[:-1])
         at, known = head.places(word.view(np.uint64))
         shaped = head.first_shape + shape.astype(np.int64)
@@ -375,17 +391,23 @@ def exchange_round(coded: DataFrame, head: Head, pair: np.ndarray, every: bool)
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(times), pa.array(best.astype(np.int32)), pa.array(known)], names=["word", "n", "class", "head"])
 
     def run(batches):
-        held = None  # the last word's rows may go on in the next batch
+        last = None  # sums of the last word alone: its rows may go on in the next batch, and a common word has rows from every task
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            word = rows["word"].to_numpy()
-            cut = int(np.searchsorted(word, word[-1])) if len(word) else 0
-            if cut:
-                yield settle(rows.slice(0, cut).combine_chunks())
-            held = rows.slice(cut)
-        if held is not None and len(held):
-            yield settle(held.combine_chunks())
+            if not batch.num_rows:
+                continue
+            found = sums(batch)
+            if last is not None:
+                if last[0][0] == found[0][0]:
+                    found = onto(last, found)
+                else:
+                    yield settle(*last)
+            word, shape, near, n, first = found
+            cut = first[-2]
+            if len(word) > 1:
+                yield settle(word[:-1], shape[:-1], near[:cut], n[:cut], first[:-1])
+            last = word[-1:], shape[-1:], near[cut:], n[cut:], first[-2:] - cut
+        if last is not None:
+            yield settle(*last)
 
     ordered = contexts(coded, head, units, every).repartition("word").sortWithinPartitions("word")
     return keep(ordered.mapInArrow(run, "word long, n long, class int, head boolean"))

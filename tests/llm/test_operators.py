@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from artscan.llm import bpe, bpe_codec, class_lm, decontaminate, lang_id, near_dup, pretokens, quality, queries, secret_scan, textkit, token_files, toxicity, vector_search
 from artscan.llm.shared import keep
@@ -579,6 +580,28 @@ def test_every_repeated_word_has_a_learned_class(spark, head, monkeypatch):
     assert got[hashes["once"]] == (1, m.head.first_shape + 3 + 0)
 
 
+@pytest.mark.parametrize("head", [1 << 16, 20])
+def test_a_words_rows_are_added_up_over_batches(spark, head, monkeypatch):
+    """Rows of one word from many tasks, cut into batches anywhere, choose the class that its whole counts choose."""
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{min(int(rng.expovariate(0.15)), 59)}" for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    training = keep(docs)
+    m = class_lm.Model(training, class_lm.count_words(training), 8, 3)
+    coded = class_lm.encode(training.withColumn("training", F.lit(True)), m.head)
+    pair = class_lm.class_pairs(coded, m.head, m.n_classes)
+    choose = lambda parts: {r["word"]: (r["n"], r["class"], r["head"]) for r in class_lm.exchange_round(coded.repartition(parts), m.head, pair, True).collect()}
+    want = choose(1)
+    assert len(want) > 40 and max(n for n, _, _ in want.values()) > 100
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert choose(12) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     counts = rng.poisson(0.2, (24, 24)).astype(float)
