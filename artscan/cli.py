@@ -8,7 +8,7 @@ from pathlib import Path
 
 from artscan.operators import rulegen
 from artscan.plans.scan import sample_features, scan
-from artscan.session import keep, local_session, prepare
+from artscan.session import drop_kept, keep, local_session, prepare
 from artscan.sinks import documents, reports, stores
 from artscan.sources import files, packs
 
@@ -42,9 +42,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "rulegen":
         result = scan(files.read(spark, [a.samples], scripts=False, configs=False), packs.load_packs().all())
         ev, rebuilt = sample_features(result)
-        kept = rulegen.generalize(rulegen.candidates(ev, rebuilt), a.min_sample_fraction, result.verdicts.count())
-        proposal = rulegen.propose(kept, a.family, None, a.severity.upper(), a.condition)
-        packs.write_proposal(proposal, a.output, datetime.now(UTC).isoformat())
+        found = keep(rulegen.candidates(ev, rebuilt))
+        kept = keep(rulegen.generalize(found, a.min_sample_fraction, result.verdicts.count()))
+        proposal = rulegen.propose(kept, found, a.family, None, a.severity.upper(), a.condition)
+        packs.write_proposal(proposal, rulegen.sources(found, kept), a.output, datetime.now(UTC).isoformat())
+        drop_kept(found, kept)
         return 0
     loaded = packs.load_packs(home / "rules")
     for path in a.rule_pack:

@@ -176,6 +176,33 @@ def _(spark, sf):
     return findings.latest(table(spark, sf, "events"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type")
 
 
+_JOBS = """j AS (SELECT concat('p', l_partkey) AS path, l_orderkey AS job_id, max(l_shipdate) AS finished_at FROM lineitem GROUP BY ALL)"""
+
+
+def _job_findings(spark, sf) -> DataFrame:
+    """Line items as findings: the part is the file, the order the job."""
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").alias("finished_at"))
+    return rows.groupBy("path", "job_id").agg(F.max("finished_at").alias("finished_at"))
+
+
+@query("findings_current", f"""WITH {_JOBS}
+SELECT path, job_id FROM j WHERE job_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+  AND path IN (SELECT concat('p', p_partkey) FROM part WHERE p_size > 10)
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY finished_at DESC, job_id DESC) = 1""")
+def _(spark, sf):
+    dismissed = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("job_id"))
+    existing = table(spark, sf, "part").filter("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    return findings.current(_job_findings(spark, sf), dismissed, existing).select("path", "job_id")
+
+
+@query("finding_lookup", """SELECT doc_id, path FROM (SELECT doc_id, concat('/m/', source, '/', doc_id, '.jar') AS path, coalesce(sha256(text), '') AS h FROM documents)
+WHERE h = '7.jar' OR ends_with(path, '7.jar') QUALIFY row_number() OVER (ORDER BY CASE WHEN h = '7.jar' THEN 0 ELSE 1 END, path) = 1""")
+def _(spark, sf):
+    path = F.concat(F.lit("/m/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jar"))
+    rows = table(spark, sf, "documents").select("doc_id", path.alias("path"), F.coalesce(F.sha2(F.encode("text", "UTF-8"), 256), F.lit("")).alias("sha256"))
+    return findings.lookup(rows, "7.jar").select("doc_id", "path")
+
+
 @query("findings_severity_filter", f"WITH {EV} SELECT event_id FROM ev WHERE EXISTS (SELECT 1 FROM ev e WHERE e.class_name = ev.class_name AND e.artifact_id = ev.artifact_id AND e.severity = 4)")
 def _(spark, sf):
     return findings.with_severity(events_as_evidence(spark, sf), ["artifact_id", "class_name"], 4).select(F.col("seq")[0].alias("event_id"))
@@ -449,7 +476,26 @@ def _(spark, sf):
 
 @query("rulegen_rule_id", f"{_CANDIDATES}, {_KEPT} SELECT concat('fam_', left(sha256(string_agg(value, '|' ORDER BY value)), 8)) AS rule_id FROM k")
 def _(spark, sf):
-    return rulegen.propose(rulegen.generalize(_candidates(spark, sf), 0.5), "fam").select("rule_id")
+    found = _candidates(spark, sf)
+    return rulegen.propose(rulegen.generalize(found, 0.5), found, "fam").select("rule_id")
+
+
+_SOURCES = "s AS (SELECT DISTINCT sample_hash FROM c WHERE value IN (SELECT value FROM k))"
+
+
+@query("rulegen_sources", f"{_CANDIDATES}, {_KEPT}, {_SOURCES} SELECT * FROM s")
+def _(spark, sf):
+    found = _candidates(spark, sf)
+    return rulegen.sources(found, rulegen.generalize(found, 0.5))
+
+
+@query("rulegen_proposal", f"""{_CANDIDATES}, {_KEPT}, {_SOURCES}
+SELECT string_agg(value, '|' ORDER BY value) AS patterns, (SELECT count(*) FROM s) AS n_samples,
+  concat(count(*), ' candidate pattern(s) from ', (SELECT count(*) FROM s), ' sample(s).') AS notes FROM k""")
+def _(spark, sf):
+    found = _candidates(spark, sf)
+    one = rulegen.propose(rulegen.generalize(found, 0.5), found, "fam")
+    return one.select(F.array_join(F.transform("strings", lambda s: s["value"]), "|").alias("patterns"), "n_samples", "notes")
 
 
 # --- decoders (no SQL form) ------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Rule packs, known-good files and settings from YAML, and the built-in packs."""
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
@@ -74,13 +75,18 @@ def pack_yaml(pack_id: str, rules: list[Rule], description: str = "", **more) ->
     return yaml.safe_dump({"pack_id": pack_id, "description": description, "rules": out} | more, sort_keys=False, allow_unicode=True)
 
 
-def write_proposal(proposal: DataFrame, path: str | Path, generated_at: str, version: str = "1") -> None:
-    """A proposed rule with what it rests on, for a person to review."""
+def write_proposal(proposal: DataFrame, samples: DataFrame, path: str | Path, generated_at: str, version: str = "1") -> None:
+    """A proposed rule with what it rests on, for a person to review; ``samples`` (sample_hash) are written in order as a stream."""
     from artscan.operators.rulegen import as_rule
 
-    row, rule = proposal.first(), as_rule(proposal)
-    about = {"status": "proposed", "source_samples": list(row["source_samples"]), "generated_at": generated_at, "generator_version": version, "notes": row["notes"]}
-    Path(path).write_text(pack_yaml(f"{rule.family}_proposed", [rule], f"Auto-generated proposal for family '{rule.family}' — requires human review before use.", proposal_metadata=about))
+    row = proposal.first()
+    rule = as_rule(row)
+    about = {"status": "proposed", "generated_at": generated_at, "generator_version": version, "notes": row["notes"]}
+    text = pack_yaml(f"{rule.family}_proposed", [rule], f"Auto-generated proposal for family '{rule.family}' — requires human review before use.", proposal_metadata=about)
+    with Path(path).open("w", encoding="utf-8") as out:
+        out.write(text + "  source_samples:" + ("\n" if row["n_samples"] else " []\n"))
+        for r in samples.orderBy("sample_hash").toLocalIterator():
+            out.write(f"  - {json.dumps(r['sample_hash'])}\n")
 
 
 def newer(found: str, held: str) -> bool:

@@ -193,14 +193,26 @@ def test_malformed_classes():
     assert classfile.decode(bytes([16, 255, 17, 1, 0])) == [(0, 16, -1), (2, 17, 256)]
 
 
-def test_rule_proposal_matches_its_samples(spark):
+def test_rule_proposal_matches_its_samples(spark, tmp_path):
+    import yaml
+
     from artscan.operators import rulegen
+    from artscan.sources import packs
 
     ev = spark.createDataFrame([("s1", "d02", "https://evil.test/x", {}), ("s2", "d02", "https://evil.test/x", {}), ("s2", "d01", "run", {"invoke_owner": "a/Owner", "invoke_name": "run"})], "sample_hash string, detector_id string, matched_value string, context map<string,string>")
-    kept = rulegen.generalize(rulegen.candidates(ev), 1.0)
-    rule = rulegen.as_rule(rulegen.propose(kept, "fam", condition="any"))
+    found = rulegen.candidates(ev)
+    kept = rulegen.generalize(found, 1.0)
+    proposal = rulegen.propose(kept, found, "fam", condition="any")
+    rule = rulegen.as_rule(proposal.first())
     assert rule.patterns == (Pattern("literal", "https://evil.test/x"),) and rule.rule_id.startswith("fam_")
     assert isinstance(rule, Rule)
+    packs.write_proposal(proposal, rulegen.sources(found, kept), tmp_path / "p.yaml", "now")
+    about = yaml.safe_load((tmp_path / "p.yaml").read_text())["proposal_metadata"]
+    assert about["source_samples"] == ["s1", "s2"] and about["notes"] == "1 candidate pattern(s) from 2 sample(s)."
+    assert packs.load_pack(packs.Packs(), tmp_path / "p.yaml").all() == [Rule("fam_proposed", rule.rule_id, "fam", "MEDIUM", rule.description, rule.patterns, "any")]
+    none = rulegen.propose(kept.limit(0), found, "fam")
+    packs.write_proposal(none, rulegen.sources(found, kept.limit(0)), tmp_path / "q.yaml", "now")
+    assert none.first()["strings"] == [] and yaml.safe_load((tmp_path / "q.yaml").read_text())["proposal_metadata"]["source_samples"] == []
 
 
 def test_a_method_that_cannot_be_analysed_gives_a_row(spark, monkeypatch):
