@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from artscan.operators import classfile, detectors, entries, rules, scripts
+from artscan.operators import detectors, entries, rules, scripts
 from artscan.operators.rules import Pattern, Rule
 from artscan.plans import samples
 from artscan.plans import scan as scans
@@ -30,20 +30,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+
+
 def jars(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    return samples.packed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s")), F.col("k"), make)
+    return samples.packed(parts(spark, sf_dir), F.col("k"), make)
 
 
-def rows_of(spark, sf_dir, make) -> DataFrame:
-    return archive.explode(jars(spark, sf_dir, make))
+def rows_of(spark, sf_dir, make, wanted=None) -> DataFrame:
+    return samples.unpacked(parts(spark, sf_dir), F.col("k"), make, wanted)
 
 
-def entries_of(spark, sf_dir, make) -> DataFrame:
-    return rows_of(spark, sf_dir, make).filter("kind = 'entry'")
+def entries_of(spark, sf_dir, make, wanted=None) -> DataFrame:
+    return rows_of(spark, sf_dir, make, wanted).filter("kind = 'entry'")
 
 
 def classes_of(spark, sf_dir, make) -> DataFrame:
-    return classfile.classes(entries_of(spark, sf_dir, make))
+    return samples.unpacked_classes(parts(spark, sf_dir), F.col("k"), make)
 
 
 _P = "p AS (SELECT concat('/m/', p_partkey, '.jar') AS artifact_id, p_partkey AS k, p_size AS s FROM part)"
@@ -188,8 +192,7 @@ def _hidden(spark, sf, technique: str) -> DataFrame:
         key = KEY if technique == "aes_embedded_key" else b"key"
         return samples.jar({"C.class": samples.compiled("m/C", samples.hidden(technique, r["text"], r["sealed"], key))})
 
-    found = classfile.classes(archive.explode(samples.packed(rows, F.col("k"), make)).filter("kind = 'entry'"))
-    return detectors.resolved(found)
+    return detectors.resolved(samples.unpacked_classes(rows, F.col("k"), make))
 
 
 for _t in ("byte_array_string", "char_array_string", "base64_string", "generic_xor_cipher", "aes_embedded_key", "weedhack_xor_cipher"):
