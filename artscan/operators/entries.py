@@ -1,7 +1,9 @@
 """Evidence from entries that are no classes: resources, configs, manifests, signatures."""
 from __future__ import annotations
 
+import functools
 import json
+import operator
 
 import pandas as pd
 import yaml
@@ -15,6 +17,8 @@ from artscan.schemas import HIGH, LOW, MEDIUM, context, evidence
 MANIFEST = "META-INF/MANIFEST.MF"
 JARJAR = "META-INF/jarjar/metadata.json"
 PRECEDENCE = ("fabric.mod.json", "mcmod.info", "plugin.yml", MANIFEST)
+#: How the names of entries end that may be evidence by themselves.
+RESOURCES = (".png", ".json", ".mcmeta", ".mcfunction")
 
 
 def is_class(data: Column) -> Column:
@@ -56,18 +60,21 @@ def bad_json(entries: DataFrame) -> DataFrame:
 
 
 def resource_evidence(entries: DataFrame) -> DataFrame:
-    """Oversized images, text chunks, scripts in pack descriptions, floods of calls."""
-    e = entries.filter("NOT nested").withColumn("seq", F.array("ordinal").cast("array<bigint>"))
-    name, data = F.col("name"), F.col("data")
-    png = e.filter(F.endswith("name", F.lit(".png")))
-    big = evidence(png.filter(F.length("data") > sig.PNG_LIMIT), "d12", MEDIUM, F.concat(F.lit("Oversized PNG: "), name, F.lit(" ("), F.length("data").cast("string"), F.lit(" bytes)")), name, _at(e))
-    chunk = evidence(png.filter(F.contains(data, _bytes("tEXt")) | F.contains(data, _bytes("iTXt"))), "d12", LOW, F.concat(F.lit("Text chunk in PNG: "), name), name, _at(e))
-    packs = e.filter(F.endswith("name", F.lit(".json")) | F.endswith("name", F.lit(".mcmeta")))
+    """Oversized images, text chunks, scripts in pack descriptions, floods of calls: one pass over the entries."""
+    name, data, size = F.col("name"), F.col("data"), F.length("data")
+    ends = lambda *suffixes: functools.reduce(operator.or_, [F.endswith(name, F.lit(s)) for s in suffixes])
     told = F.try_variant_get(F.try_parse_json(fn.decoded(data)), "$.pack.description", "string")
-    script = evidence(packs.filter(F.contains(told, F.lit("eval(")) | F.contains(told, F.lit("javascript:"))), "d12", HIGH, F.concat(F.lit("Embedded script in pack.mcmeta: "), name), name, _at(e))
     calls = F.size(F.regexp_extract_all(fn.decoded(data), F.lit(r"function\s+(\S+)"), F.lit(1)))
-    flood = evidence(e.filter(F.endswith("name", F.lit(".mcfunction")) & (calls > sig.FUNCTION_LIMIT)), "d12", MEDIUM, F.concat(F.lit("Excessive function calls in mcfunction: "), name), name, _at(e))
-    return big.unionByName(chunk).unionByName(script).unionByName(flood)
+    found = [
+        (ends(".png") & (size > sig.PNG_LIMIT), MEDIUM, F.concat(F.lit("Oversized PNG: "), name, F.lit(" ("), size.cast("string"), F.lit(" bytes)"))),
+        (ends(".png") & (F.contains(data, _bytes("tEXt")) | F.contains(data, _bytes("iTXt"))), LOW, F.concat(F.lit("Text chunk in PNG: "), name)),
+        (ends(".json", ".mcmeta") & (F.contains(told, F.lit("eval(")) | F.contains(told, F.lit("javascript:"))), HIGH, F.concat(F.lit("Embedded script in pack.mcmeta: "), name)),
+        (ends(".mcfunction") & (calls > sig.FUNCTION_LIMIT), MEDIUM, F.concat(F.lit("Excessive function calls in mcfunction: "), name)),
+    ]
+    rows = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(severity).alias("severity"), text.alias("text"))) for condition, severity, text in found]))
+    e = entries.filter(~F.col("nested") & ends(*RESOURCES))
+    hit = e.select("artifact_id", "level_path", "name", "ordinal", F.explode(rows).alias("e")).withColumn("seq", F.array("ordinal").cast("array<bigint>"))
+    return evidence(hit, "d12", F.col("e.severity"), F.col("e.text"), F.col("name"), _at(hit))
 
 
 def mixin_config_evidence(entries: DataFrame) -> DataFrame:

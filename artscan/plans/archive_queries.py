@@ -321,8 +321,9 @@ def with_extras(r: dict) -> bytes:
     return samples.jar(out)
 
 
-def _extras(spark, sf) -> DataFrame:
-    return entries_of(spark, sf, with_extras)
+def _extras(spark, sf, *ends: str) -> DataFrame:
+    """Entries, with the bytes of those whose names end so: what a detector looks at by name leaves the others' bytes where they are read."""
+    return entries_of(spark, sf, with_extras, lambda name: name.endswith(ends))
 
 
 @query("detector_d14_signature", f"WITH {_P} SELECT artifact_id, CAST(3 AS INTEGER) AS severity, concat('B', k, '.class') AS matched_value, 'META-INF/X.SF' AS signature FROM p WHERE k % 2 = 0")
@@ -332,17 +333,17 @@ def _(spark, sf):
 
 @query("detector_d14_class_path", f"WITH {_P} SELECT artifact_id, CAST(2 AS INTEGER) AS severity, concat('lib', k, '.jar more.jar') AS matched_value FROM p WHERE k % 5 = 0")
 def _(spark, sf):
-    return entries.class_path_evidence(_extras(spark, sf)).select("artifact_id", "severity", "matched_value")
+    return entries.class_path_evidence(_extras(spark, sf, entries.MANIFEST)).select("artifact_id", "severity", "matched_value")
 
 
 @query("detector_d13_coremod", f"WITH {_P} SELECT artifact_id, CAST(2 AS INTEGER) AS severity, 'FMLCorePlugin: x.Y' AS matched_value FROM p WHERE k % 3 = 0")
 def _(spark, sf):
-    return entries.coremod_evidence(_extras(spark, sf)).select("artifact_id", "severity", "matched_value")
+    return entries.coremod_evidence(_extras(spark, sf, "MANIFEST.MF")).select("artifact_id", "severity", "matched_value")
 
 
 @query("detector_d13_mixin_config", f"WITH {_P} SELECT artifact_id, concat('p', k, '.SessionMixin') AS class_name, CAST(2 AS INTEGER) AS severity, 'SessionMixin' AS matched_value FROM p WHERE k % 4 = 0")
 def _(spark, sf):
-    return entries.mixin_config_evidence(_extras(spark, sf)).select("artifact_id", "class_name", "severity", "matched_value")
+    return entries.mixin_config_evidence(_extras(spark, sf, ".mixins.json")).select("artifact_id", "class_name", "severity", "matched_value")
 
 
 for _kind, _start, _where, _level, _value in (
@@ -351,7 +352,7 @@ for _kind, _start, _where, _level, _value in (
 
     @query(f"detector_d12_{_kind}", f"WITH {_P} SELECT artifact_id, CAST({_level} AS INTEGER) AS severity, {_value} AS matched_value FROM p WHERE {_where}")
     def _(spark, sf, start=_start):
-        return entries.resource_evidence(_extras(spark, sf)).filter(F.startswith("description", F.lit(start))).select("artifact_id", "severity", "matched_value")
+        return entries.resource_evidence(_extras(spark, sf, *entries.RESOURCES)).filter(F.startswith("description", F.lit(start))).select("artifact_id", "severity", "matched_value")
 
 
 def with_mixin(r: dict) -> bytes:

@@ -47,3 +47,8 @@ def test_few_classes_are_held_as_objects():
     cut = list(classfile.read(iter(one)))
     assert len(cut) >= size // (classfile.READ_BYTES + 5000) > 1
     assert pa.Table.from_batches(out).equals(pa.Table.from_batches(cut))
+
+
+@pytest.mark.parametrize("name", ["detector_d12_image", "detector_d12_chunk", "detector_d12_pack", "detector_d12_calls", "detector_d13_coremod", "detector_d14_class_path", "archive_entries"])
+def test_archives_are_read_once(spark, name):
+    assert passes(archive_queries.queries()[name](spark, SMALL)) == 1
