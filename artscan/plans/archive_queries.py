@@ -12,7 +12,7 @@ from artscan.operators import detectors, entries, rules, scripts
 from artscan.operators.rules import Pattern, Rule
 from artscan.plans import samples
 from artscan.plans import scan as scans
-from artscan.sources import archive
+from artscan.session import keep
 
 CALLS: dict = {}
 ORACLES: dict[str, str] = {}
@@ -328,7 +328,9 @@ def _extras(spark, sf, *ends: str) -> DataFrame:
 
 @query("detector_d14_signature", f"WITH {_P} SELECT artifact_id, CAST(3 AS INTEGER) AS severity, concat('B', k, '.class') AS matched_value, 'META-INF/X.SF' AS signature FROM p WHERE k % 2 = 0")
 def _(spark, sf):
-    return entries.unsigned_evidence(_extras(spark, sf)).select("artifact_id", "severity", "matched_value", F.col("context")["signature_file"].alias("signature"))
+    top = _extras(spark, sf, ".SF", ".class").filter("depth = 0 AND data IS NOT NULL")
+    head = F.when(F.endswith("name", F.lit(".class")), F.substring("data", 1, 4)).otherwise(F.col("data"))  # a class counts by its name, once it is one
+    return entries.unsigned_evidence(keep(top.select("artifact_id", "depth", "name", head.alias("data")))).select("artifact_id", "severity", "matched_value", F.col("context")["signature_file"].alias("signature"))
 
 
 @query("detector_d14_class_path", f"WITH {_P} SELECT artifact_id, CAST(2 AS INTEGER) AS severity, concat('lib', k, '.jar more.jar') AS matched_value FROM p WHERE k % 5 = 0")

@@ -52,3 +52,8 @@ def test_few_classes_are_held_as_objects():
 @pytest.mark.parametrize("name", ["detector_d12_image", "detector_d12_chunk", "detector_d12_pack", "detector_d12_calls", "detector_d13_coremod", "detector_d14_class_path", "archive_entries"])
 def test_archives_are_read_once(spark, name):
     assert passes(archive_queries.queries()[name](spark, SMALL)) == 1
+
+
+@pytest.mark.parametrize("name", ["detector_d14_signature"])
+def test_archives_of_several_branches_are_written_once(spark, name):
+    assert passes(archive_queries.queries()[name](spark, SMALL)) == 0
