@@ -33,6 +33,11 @@ def with_suffix(entries: DataFrame, suffix: str) -> DataFrame:
     return entries.filter(F.endswith("name", F.lit(suffix)))
 
 
+def may_be_manifest(name: str) -> bool:
+    """Whether ``manifests`` reads an entry of this name."""
+    return name in (*PRECEDENCE, JARJAR) or name.endswith("mods.toml")
+
+
 def with_main_class(entries: DataFrame) -> DataFrame:
     """(artifact_id, level) of archives whose manifest names a main class."""
     return entries.filter((F.col("name") == MANIFEST) & F.contains(fn.decoded(F.col("data")), F.lit("Main-Class"))).select("artifact_id", "level").distinct()
@@ -221,9 +226,12 @@ def manifests(entries: DataFrame) -> DataFrame:
     )
 
 
-def undeclared_evidence(entries: DataFrame) -> DataFrame:
-    """Inner archives at the top of an archive with a manifest that does not declare them."""
-    known = manifests(entries)
+def undeclared_evidence(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Inner archives at the top of an archive with a manifest that does not declare them.
+
+    ``known`` are the ``manifests`` of the entries, read twice, where they are at hand as a table.
+    """
+    known = manifests(entries) if known is None else known
     declared = known.select("artifact_id", F.explode("declared").alias("d")).select("artifact_id", F.regexp_replace("d", "^/+", "").alias("name")).distinct()
     inner = entries.filter((F.col("depth") == 0) & F.col("nested")).join(known.select("artifact_id"), "artifact_id", "left_semi")
     hit = inner.join(declared, ["artifact_id", "name"], "left_anti").withColumn("seq", F.array(F.lit(1 << 30)).cast("array<bigint>"))

@@ -225,7 +225,7 @@ def with_levels(r: dict) -> bytes:
 @query("archive_entries", f"""WITH {_P}, d AS (SELECT *, unnest(range(0, s % 4 + 1)) AS depth FROM p WHERE k % 11 > 0)
 SELECT artifact_id, CAST(depth AS INTEGER) AS depth, concat(k, '.jar', repeat('!/in.zip', CAST(depth AS INTEGER))) AS level_path, 'a.txt' AS name, CAST(length(concat('text ', k)) AS BIGINT) AS size, sha256(concat('text ', k)) AS sha256 FROM d""")
 def _(spark, sf):
-    return entries_of(spark, sf, with_levels).filter("name = 'a.txt'").select("artifact_id", "depth", "level_path", "name", "size", F.sha2("data", 256).alias("sha256"))
+    return entries_of(spark, sf, with_levels, lambda name: name == "a.txt").filter("name = 'a.txt'").select("artifact_id", "depth", "level_path", "name", "size", F.sha2("data", 256).alias("sha256"))
 
 
 @query("archive_nested", f"WITH {_P} SELECT artifact_id, CAST(s % 4 AS BIGINT) AS n_nested, CAST(s % 4 AS INTEGER) AS deepest FROM p WHERE k % 11 > 0")
@@ -287,19 +287,21 @@ for _i, (_loader, _id, _name, _version, _main) in enumerate(_MANIFESTS):
 
     @query(f"manifest_{_title}", f"WITH {_P} SELECT artifact_id, '{_loader}' AS loader, CAST({_id} AS VARCHAR) AS mod_id, {_name} AS mod_name, concat('{_version}.', k) AS version, CAST({_main} AS VARCHAR) AS main_class FROM p WHERE k % 6 = {_i}")
     def _(spark, sf, i=_i):
-        found = entries.manifests(entries_of(spark, sf, with_manifest))
+        found = entries.manifests(entries_of(spark, sf, with_manifest, entries.may_be_manifest))
         number = F.regexp_extract("artifact_id", "([0-9]+)", 1).cast("long")
         return found.filter(number % 6 == i).select("artifact_id", "loader", "mod_id", "mod_name", "version", "main_class")
 
 
 @query("undeclared_archives", f"""WITH {_P} SELECT artifact_id, unnest(CASE WHEN k % 6 = 0 THEN ['in/b.jar'] ELSE [concat('in/a', k, '.jar'), 'in/b.jar'] END) AS matched_value, '1' AS undeclared FROM p WHERE k % 6 < 5""")
 def _(spark, sf):
-    return entries.undeclared_evidence(entries_of(spark, sf, with_manifest)).select("artifact_id", "matched_value", F.col("context")["undeclared_nested"].alias("undeclared"))
+    top = keep(entries_of(spark, sf, with_manifest, entries.may_be_manifest).filter("depth = 0 AND (nested OR data IS NOT NULL)"))
+    known = keep(entries.manifests(top).select("artifact_id", "declared"))
+    return entries.undeclared_evidence(top, known).select("artifact_id", "matched_value", F.col("context")["undeclared_nested"].alias("undeclared"))
 
 
 @query("main_classes", f"WITH {_P} SELECT artifact_id FROM p WHERE k % 6 IN (1, 3)")
 def _(spark, sf):
-    return entries.with_main_class(entries_of(spark, sf, with_manifest)).select("artifact_id")
+    return entries.with_main_class(entries_of(spark, sf, with_manifest, lambda name: name == entries.MANIFEST)).select("artifact_id")
 
 
 # --- signatures, class paths, coremods, mixins, resources ---------------------------------------

@@ -54,6 +54,6 @@ def test_archives_are_read_once(spark, name):
     assert passes(archive_queries.queries()[name](spark, SMALL)) == 1
 
 
-@pytest.mark.parametrize("name", ["detector_d14_signature"])
+@pytest.mark.parametrize("name", ["detector_d14_signature", "undeclared_archives"])
 def test_archives_of_several_branches_are_written_once(spark, name):
     assert passes(archive_queries.queries()[name](spark, SMALL)) == 0
