@@ -24,6 +24,8 @@ KEY_BYTES, KEY_TEXT = 16, 32
 TRIED = 6
 #: Hexadecimal digits of bytes that plain text has: blanks, line ends, printable ASCII.
 PLAIN = "^(?:09|0A|0D|[2-6][0-9A-F]|7[0-9A-E])*$"
+#: The bits that no byte of plain text has, in each of the first bytes: one comparison rules out most keys.
+NEVER_PLAIN = int.from_bytes(b"\x80" * TRIED, "big")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,7 +75,8 @@ def _unreadable(b: Column) -> Column:
 def xor_keys(utf8: Column) -> Column:
     """Keys in order of the strings and of length, each as hexadecimal digits and as the number that the first bytes are XORed with."""
     short = F.filter(utf8, lambda s: F.length(s).between(1, KEY_TEXT))
-    prefixes = lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY_BYTES), F.octet_length(s))), lambda n: F.substring(F.hex(s.cast("binary")), F.lit(1), 2 * n))
+    begins = lambda digits: F.transform(F.sequence(F.lit(1), (F.length(digits) / 2).cast("int")), lambda n: F.substring(digits, F.lit(1), 2 * n))
+    prefixes = lambda s: let(F.hex(F.substring(s.cast("binary"), 1, KEY_BYTES)), begins)
     number = lambda k: F.conv(F.substring(F.repeat(k, F.lit(TRIED)), 1, 2 * TRIED), 16, 10).cast("long")
     return F.transform(F.array_distinct(F.flatten(F.transform(short, prefixes))), lambda k: F.struct(k.alias("key"), number(k).alias("head")))
 
@@ -83,7 +86,9 @@ def xor_ciphers(p: Column, keys: Column) -> Column:
 
     def of(b: Column) -> Column:
         head = F.conv(F.substring(F.hex(b["data"]), 1, 2 * TRIED), 16, 10).cast("long")
-        fits = lambda h: F.filter(keys, lambda k: F.lpad(F.hex(k["head"].bitwiseXOR(h)), 2 * TRIED, "0").rlike(PLAIN))
+        under = lambda k, h: k["head"].bitwiseXOR(h)
+        may = lambda k, h: under(k, h).bitwiseAND(F.lit(NEVER_PLAIN).cast("long")) == 0
+        fits = lambda h: F.filter(keys, lambda k: may(k, h) & F.lpad(F.hex(under(k, h)), 2 * TRIED, "0").rlike(PLAIN))
         opened = F.transform(let(head, fits), lambda k: fn.decoded(decode.xor_under(b["data"], k["key"])))
         return _found(b["offset"], F.get(F.filter(opened, fn.plausible_text), F.lit(0)))
 
