@@ -30,6 +30,19 @@ def _row(detector: str, severity, description, matched: Column, ctx: Column | No
     ).cast(_TYPE)
 
 
+#: Detectors that are wanted; None for all.
+Only = frozenset[str] | None
+
+
+def _wanted(only: Only, *detectors: str) -> bool:
+    return only is None or not only.isdisjoint(detectors)
+
+
+def _some(rows: list[Column]) -> Column:
+    """Those of the rows that are there; none is an array of rows, too."""
+    return F.array_compact(F.array(*rows)) if rows else F.array().cast(_NONE)
+
+
 def _named(calls: tuple, v: Column) -> Column:
     found = F.lit(False)
     for owner, name in calls:
@@ -37,8 +50,10 @@ def _named(calls: tuple, v: Column) -> Column:
     return found
 
 
-def call_evidence() -> Column:
+def call_evidence(only: Only = None) -> Column:
     """Rows that single calls give, in order of the calls."""
+    if not _wanted(only, "d01", "d02", "d03", "d04", "d06", "d07", "d08", "d10", "d11"):
+        return F.array().cast(_NONE)
 
     def of(v: Column) -> Column:
         shown = F.concat(v["owner"], F.lit("."), v["name"])
@@ -46,13 +61,13 @@ def call_evidence() -> Column:
         names = context(invoke_owner=v["owner"], invoke_name=v["name"])
         std = fn.starts_any(F.col("class_name"), sig.STDLIB_PREFIXES)
 
-        def when(condition: Column, detector: str, severity, text, matched=full, ctx=names) -> Column:
-            return F.when(condition, _row(detector, severity, text, matched, ctx, v["method"], v["offset"]))
+        def when(condition: Column, detector: str, severity, text, matched=full, ctx=names) -> Column | None:
+            return None if not _wanted(only, detector) else F.when(condition, _row(detector, severity, text, matched, ctx, v["method"], v["offset"]))
 
         soft = lambda hard, mild: F.when(std, mild).otherwise(hard)
         crypto = context(crypto_call="1", invoke_owner=v["owner"], invoke_name=v["name"])
         other = (v["opcode"] == 186) & (v["owner"] != "") & (v["owner"] != F.col("class_name"))
-        return F.array_compact(F.array(
+        rows = [
             when(_named(sig.PROCESS_CALLS[:1], v), "d01", HIGH, "Runtime.exec() call detected"),
             when(_named(sig.PROCESS_CALLS[1:], v), "d01", HIGH, "ProcessBuilder usage detected"),
             when(v["owner"].isin(*sig.NETWORK_OWNERS), "d02", INFO, F.concat(F.lit("Network I/O: "), shown)),
@@ -65,12 +80,13 @@ def call_evidence() -> Column:
             when(v["owner"].isin(*sig.INDIRECT_OWNERS), "d10", soft(MEDIUM, INFO), F.concat(F.lit("Indirect access: "), shown)),
             when(other, "d10", LOW, F.concat(F.lit("Method reference resolves to a different class: "), shown), shown, context(cross_class_method_ref="1", target_class=v["owner"])),
             when(v["owner"].isin(*sig.CRYPTO_OWNERS) & v["name"].isin(*sig.CRYPTO_NAMES), "d11", INFO, F.concat(F.lit("RSA/Signature operation: "), shown), full, crypto),
-        ))
+        ]
+        return _some([row for row in rows if row is not None])
 
     return F.flatten(F.transform("invokes", of))
 
 
-def string_evidence(strings: Column, hidden: bool) -> Column:
+def string_evidence(strings: Column, hidden: bool, only: Only = None) -> Column:
     """Rows that a class's strings give: plain ones, or those found hidden."""
     prefix = "Obfuscated " if hidden else ""
     rate = lambda plain, found: found if hidden else plain
@@ -85,22 +101,28 @@ def string_evidence(strings: Column, hidden: bool) -> Column:
         one = lambda condition, row: F.when(condition, F.array(row)).otherwise(F.array().cast(_NONE))
         chain = context(onchain_indicator="1")
         parts = [
-            F.transform(urls, lambda u: _row("d02", rate(LOW, MEDIUM), F.concat(F.lit(f"{prefix}Suspicious URL in constant pool: "), F.left(u, F.lit(100))), u)),
-            one(fn.contains_any(s, sig.WEBHOOKS), _row("d02", rate(HIGH, CRITICAL), f"{prefix}Discord webhook URL detected", cut(s))),
-            one(s.rlike("(?i)" + sig.SELECTOR), _row("d11", CRITICAL, f"{prefix}Ethereum function selector 0xce6d41de (getText) detected", cut(s), chain)),
-            per_hit(sig.CHAIN_MARKERS, "d11", rate(MEDIUM, HIGH), f"{prefix}Ethereum RPC endpoint: ", s, fold=True, ctx=chain),
-            per_hit(sig.CREDENTIAL_STRINGS, "d08", rate(HIGH, CRITICAL), f"{prefix}Credential store reference: ", s),
-            one(s.isin(*sig.CREDENTIAL_NAMES), _row("d08", rate(HIGH, CRITICAL), F.concat(F.lit(f"{prefix}Credential access: "), s), cut(s))),
-            one(F.contains(s, F.lit("session.json")) & fn.contains_any(s, sig.CREDENTIAL_PLACES), _row("d08", rate(HIGH, CRITICAL), f"{prefix}Credential store reference: session.json", cut(s))),
+            ("d02", F.transform(urls, lambda u: _row("d02", rate(LOW, MEDIUM), F.concat(F.lit(f"{prefix}Suspicious URL in constant pool: "), F.left(u, F.lit(100))), u))),
+            ("d02", one(fn.contains_any(s, sig.WEBHOOKS), _row("d02", rate(HIGH, CRITICAL), f"{prefix}Discord webhook URL detected", cut(s)))),
+            ("d11", one(s.rlike("(?i)" + sig.SELECTOR), _row("d11", CRITICAL, f"{prefix}Ethereum function selector 0xce6d41de (getText) detected", cut(s), chain))),
+            ("d11", per_hit(sig.CHAIN_MARKERS, "d11", rate(MEDIUM, HIGH), f"{prefix}Ethereum RPC endpoint: ", s, fold=True, ctx=chain)),
+            ("d08", per_hit(sig.CREDENTIAL_STRINGS, "d08", rate(HIGH, CRITICAL), f"{prefix}Credential store reference: ", s)),
+            ("d08", one(s.isin(*sig.CREDENTIAL_NAMES), _row("d08", rate(HIGH, CRITICAL), F.concat(F.lit(f"{prefix}Credential access: "), s), cut(s)))),
+            ("d08", one(F.contains(s, F.lit("session.json")) & fn.contains_any(s, sig.CREDENTIAL_PLACES), _row("d08", rate(HIGH, CRITICAL), f"{prefix}Credential store reference: session.json", cut(s)))),
         ]
         if hidden:
-            parts.append(per_hit(sig.PROCESS_STRINGS, "d01", CRITICAL, "Obfuscated reference to process execution API: ", s))
+            parts.append(("d01", per_hit(sig.PROCESS_STRINGS, "d01", CRITICAL, "Obfuscated reference to process execution API: ", s)))
         else:
-            parts.append(per_hit(sig.ACCOUNT_FILES, "d04", HIGH, "Suspicious path reference: ", s))
-        return F.concat(*parts)
+            parts.append(("d04", per_hit(sig.ACCOUNT_FILES, "d04", HIGH, "Suspicious path reference: ", s)))
+        return F.concat(*[rows for detector, rows in parts if _wanted(only, detector)])
 
-    each = F.flatten(F.transform(strings, of))
-    return F.concat(each, _persistence(strings, hidden, cut), _native(strings, hidden, cut))
+    found = []
+    if _wanted(only, "d02", "d11", "d08", "d01" if hidden else "d04"):
+        found.append(F.flatten(F.transform(strings, of)))
+    if _wanted(only, "d05"):
+        found.append(_persistence(strings, hidden, cut))
+    if _wanted(only, "d07"):
+        found.append(_native(strings, hidden, cut))
+    return F.concat(*found) if found else F.array().cast(_NONE)
 
 
 def _persistence(strings: Column, hidden: bool, cut) -> Column:
@@ -215,17 +237,18 @@ def trace_evidence() -> Column:
     return F.transform(rebuilt, lambda r: _row("string_reconstruction", severity(r), F.concat(F.lit("Reconstructed string: "), F.left(r["value"], F.lit(80))), F.left(r["value"], F.lit(200)), context(technique=r["technique"]), r["method"], r["offset"]))
 
 
-@functools.lru_cache(maxsize=4)
-def _rows(application: str) -> Column:
-    """All rows of a class, as one expression; it is large, so an application builds it once."""
+@functools.lru_cache(maxsize=32)
+def _rows(application: str, only: Only = None) -> Column:
+    """All rows of a class, or those of some detectors, as one expression; it is large, so an application builds it once."""
     path = F.concat("level_path", F.lit("!/"), "name")
     placed = lambda rows: F.transform(rows, lambda e: e.withField("context", F.map_concat(e["context"], context(archive_path=path))))
     marked = lambda rows: F.transform(rows, lambda e: e.withField("context", F.map_concat(e["context"], context(reconstructed="1"))))
     values = F.filter(F.transform("recon", lambda r: r["value"]), lambda s: s != "")
-    return F.concat(
-        placed(F.concat(call_evidence(), string_evidence(F.col("utf8"), False), shape_evidence(), mixin_evidence())),
-        marked(string_evidence(values, True)), trace_evidence(),
-    )
+    plain = [call_evidence(only), string_evidence(F.col("utf8"), False, only)]
+    plain += [shape_evidence()] if _wanted(only, "d09") else []
+    plain += [mixin_evidence()] if _wanted(only, "d13") else []
+    parts = [placed(F.concat(*plain)), marked(string_evidence(values, True, only))]
+    return F.concat(*parts, *([trace_evidence()] if _wanted(only, "string_reconstruction") else []))
 
 
 #: Further detectors, in order: each takes the classes (see ``schemas.CLASSES``) and gives evidence rows with ``seq``.
@@ -240,14 +263,16 @@ def failures(classes: DataFrame) -> DataFrame:
     return evidence(failed, "class_analysis", MEDIUM, text, F.lit(""), context(archive_path=path, detector_error="1"))
 
 
-def class_evidence(classes: DataFrame, more: tuple[Detector, ...] = ()) -> DataFrame:
+def class_evidence(classes: DataFrame, more: tuple[Detector, ...] = (), only: tuple[str, ...] | None = None) -> DataFrame:
     """Evidence of all classes, in a defined order; a class that could not be analysed as a whole gives one row more.
 
-    ``more`` are detectors of the caller's own.
+    ``more`` are detectors of the caller's own.  ``only`` names the detectors whose
+    rows are wanted: no other one is worked out, and hidden strings only if those take them.
     """
+    some = None if only is None else frozenset(only)
     ready = resolved(classes.filter(F.col("error").isNull() | F.startswith("error", F.lit(classfile.FAILED))))
-    out = ready.select("artifact_id", "class_name", "ordinal", F.posexplode(_rows(classes.sparkSession.sparkContext.applicationId)).alias("i", "e"))
+    out = ready.select("artifact_id", "class_name", "ordinal", F.posexplode(_rows(classes.sparkSession.sparkContext.applicationId, some)).alias("i", "e"))
     out = out.select("artifact_id", "class_name", "e.*", F.array(F.col("ordinal"), F.col("i")).cast("array<bigint>").alias("seq"))
-    for found in [failures(classes), *(d(ready) for d in more)]:
+    for found in [*([failures(classes)] if _wanted(some, "class_analysis") else []), *(d(ready) for d in more)]:
         out = out.unionByName(found.select(*out.columns))
     return out

@@ -126,7 +126,7 @@ for _d in ("d01", "d02", "d03", "d04", "d05", "d06", "d07", "d08", "d10", "d11")
 
     @query(f"detector_{_d}", f"WITH {_FOUND} SELECT artifact_id, class_name, severity, matched_value, hidden FROM e WHERE detector_id = '{_d}'")
     def _(spark, sf, d=_d):
-        return detectors.class_evidence(classes_of(spark, sf, with_call_and_string)).filter(F.col("detector_id") == d).select("artifact_id", "class_name", "severity", "matched_value", F.col("context")["reconstructed"].isNotNull().alias("hidden"))
+        return detectors.class_evidence(classes_of(spark, sf, with_call_and_string), only=(d,)).select("artifact_id", "class_name", "severity", "matched_value", F.col("context")["reconstructed"].isNotNull().alias("hidden"))
 
 
 def with_reference(r: dict) -> bytes:
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query("detector_d10_references", f"WITH {_P} SELECT artifact_id, CAST(1 AS INTEGER) AS severity, 'java/lang/Integer.parseInt' AS matched_value, 'java/lang/Integer' AS target FROM p WHERE s % 3 = 0")
 def _(spark, sf):
-    ev = detectors.class_evidence(classes_of(spark, sf, with_reference)).filter("detector_id = 'd10'")
+    ev = detectors.class_evidence(classes_of(spark, sf, with_reference), only=("d10",))
     return ev.select("artifact_id", "severity", "matched_value", F.col("context")["target_class"].alias("target"))
 
 
@@ -156,7 +156,7 @@ def with_shapes(r: dict) -> bytes:
 
 
 def _shapes(spark, sf):
-    return detectors.class_evidence(classes_of(spark, sf, with_shapes)).filter("detector_id = 'd09'")
+    return detectors.class_evidence(classes_of(spark, sf, with_shapes), only=("d09",))
 
 
 @query("detector_d09_names", f"WITH {_P} SELECT artifact_id, CAST(2 AS INTEGER) AS severity, concat('a/b/C', k) AS matched_value FROM p WHERE k % 3 = 0")
@@ -205,7 +205,7 @@ for _t in ("byte_array_string", "char_array_string", "base64_string", "generic_x
 
 @query("detector_trace", f"WITH {_P} SELECT artifact_id, CAST(3 AS INTEGER) AS severity, concat('https://host', k, '.test/a') AS matched_value, 'aes_embedded_key' AS technique FROM p UNION ALL SELECT artifact_id, 0, '0123456789abcdef', 'byte_array_string' FROM p")
 def _(spark, sf):
-    ev = detectors.class_evidence(_hidden(spark, sf, "aes_embedded_key")).filter("detector_id = 'string_reconstruction'")
+    ev = detectors.class_evidence(_hidden(spark, sf, "aes_embedded_key"), only=("string_reconstruction",))
     return ev.select("artifact_id", "severity", "matched_value", F.col("context")["technique"].alias("technique"))
 
 
@@ -368,7 +368,7 @@ def with_mixin(r: dict) -> bytes:
 @query("detector_d13_mixin", f"""WITH {_P} SELECT artifact_id, CAST(CASE WHEN s % 2 = 0 THEN 2 WHEN k % 3 = 2 THEN 4 ELSE 3 END AS INTEGER) AS severity,
   CASE WHEN s % 2 = 1 THEN 'net/minecraft/client/util/Session' ELSE 'net/minecraft/class_2540' END AS matched_value FROM p WHERE k % 3 > 0""")
 def _(spark, sf):
-    return detectors.class_evidence(classes_of(spark, sf, with_mixin)).filter("detector_id = 'd13'").select("artifact_id", "severity", "matched_value")
+    return detectors.class_evidence(classes_of(spark, sf, with_mixin), only=("d13",)).select("artifact_id", "severity", "matched_value")
 
 
 # --- rules, gates, verdicts -------------------------------------------------------------------
