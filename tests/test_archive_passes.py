@@ -1,4 +1,7 @@
 """Passes over archives: how often they run, what they hold, and that parts of a result equal the same parts of the whole."""
+import itertools
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 
@@ -74,3 +77,24 @@ def test_detectors_worked_out_singly_give_the_same_rows(spark):
     hidden = archive_queries._hidden(spark, SMALL, "aes_embedded_key")
     whole = detectors.class_evidence(hidden).filter("detector_id = 'd02'").drop("seq").collect()
     assert whole and sorted(map(str, whole)) == sorted(map(str, detectors.class_evidence(hidden, only=("d02",)).drop("seq").collect()))
+
+
+@pytest.mark.parametrize("make", [archive_queries.with_reference, archive_queries.with_call_and_string, archive_queries.with_shapes])
+def test_a_pass_holds_no_more_for_more_rows(make):
+    """What the Python of detector_d10_references, detector_d03 and class_switches holds at most is the same for three times the rows."""
+
+    def most(n: int) -> int:
+        rows = ({"k": k, "s": k % 50, "_path": f"/m/{k}.jar"} for k in range(n))
+        given = (pa.RecordBatch.from_pylist(list(some)) for some in iter(lambda: list(itertools.islice(rows, 500)), []))
+        before, count, arrow = pa.total_allocated_bytes(), 0, 0
+        tracemalloc.start()
+        for b in classfile.read(archive.exploded(samples.archives(given, make))):
+            count, arrow = count + b.num_rows, max(arrow, pa.total_allocated_bytes() - before)
+        objects = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == n
+        return objects + arrow
+
+    most(100)
+    few = most(2000)
+    assert most(6000) < 1.2 * few < 64 << 20
